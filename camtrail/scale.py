@@ -95,6 +95,26 @@ def previous_in_time(
     )
 
 
+def carry_forward(
+    df: DataFrame, key: Sequence[str], time_us: str, value: str, out: str, chunk_us: int = 86_400_000_000
+) -> DataFrame:
+    """Add ``out``: the last non-null ``value`` at or before the row, in time chunks as above."""
+    keys = list(key)
+    rows = df.withColumn("_chunk", floor_div(F.col(time_us), chunk_us))
+    last = rows.groupBy(*keys, "_chunk").agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(time_us))).alias("_last")
+    )
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = last.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    upto = W.partitionBy(*keys, "_chunk").orderBy(time_us).rangeBetween(W.unboundedPreceding, 0)
+    return (
+        rows.withColumn("_inside", F.last(value, ignorenulls=True).over(upto))
+        .join(carry, [*keys, "_chunk"])
+        .withColumn(out, F.coalesce("_inside", "_carry"))
+        .drop("_chunk", "_inside", "_carry")
+    )
+
+
 def running_counts(df: DataFrame, key: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
     """Add ``before_<c>``: per key, the sum of ``c`` over rows with a smaller ``order`` value.
 
