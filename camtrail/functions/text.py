@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -11,6 +11,11 @@ from camtrail.functions import vocabulary as V
 WINDOW_TYPE = "struct<t_start:timestamp_ntz,t_end:timestamp_ntz,span:string>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once; keeps nested expressions linear in size."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _word_map(words: dict[str, list[str]]) -> Column:
     return F.create_map(*[c for k, v in words.items() for c in (F.lit(k), F.array(*[F.lit(x) for x in v]))])
 
@@ -31,7 +36,10 @@ def _ago(now: Column, hours: Column, minutes: Column) -> Column:
 
 def time_window(text: Column, now: Column) -> Column:
     """Time window asked for by a question: STRUCT<t_start, t_end, span>, null without a time phrase."""
-    low = F.lower(text)
+    return _let(F.lower(text), lambda low: _window(low, text, now))
+
+
+def _window(low: Column, text: Column, now: Column) -> Column:
 
     def number(pattern: str, group: int) -> Column:
         return F.regexp_extract(low, pattern, group).try_cast("int")
@@ -85,6 +93,10 @@ def without_span(text: Column, span: Column) -> Column:
 
 def place_and_rest(text: Column) -> Column:
     """First place named in the text and the text without it: STRUCT<place, rest>."""
+    return _let(text, _place)
+
+
+def _place(text: Column) -> Column:
     out = F.struct(F.lit(None).cast("string").alias("place"), text.alias("rest"))
     for pattern in reversed(V.PLACE_PATTERNS):
         whole = r"(?is)^(.*?)" + pattern + r"(.*)$"
@@ -103,10 +115,9 @@ def object_prompt(rest: Column) -> Column:
         words = F.regexp_replace(words, "(?i)" + pattern, " ")
     words = F.trim(F.regexp_replace(words, r"[^\p{L}\p{N}_\s\-]", ""))
     words = F.trim(F.regexp_replace(words, r"\s+", " "))
-    words = F.when(words == "", F.lit("person or vehicle")).otherwise(words)
-    return F.when(F.split_part(F.lower(words), F.lit(" "), F.lit(1)).isin("a", "an", "the"), words).otherwise(
-        F.concat(F.lit("a "), words)
-    )
+    words = F.coalesce(F.nullif(words, F.lit("")), F.when(rest.isNotNull(), F.lit("person or vehicle")))
+    has_article = r"^(?i)(?:a|an|the)(?: |$)"
+    return _let(words, lambda w: F.when(w.rlike(has_article), w).otherwise(F.concat(F.lit("a "), w)))
 
 
 def bare_prompt(prompt: Column) -> Column:
@@ -133,8 +144,7 @@ def target_labels(text: Column) -> Column:
 
 def alias_name(name: Column) -> Column:
     """Alias key: lower case, no leading "the", no punctuation, single spaces."""
-    low = F.lower(F.trim(name))
-    low = F.when(low.startswith("the "), F.trim(F.substr(low, F.lit(5)))).otherwise(low)
+    low = F.trim(F.regexp_replace(F.lower(F.trim(name)), "^the ", ""))
     low = F.regexp_replace(low, r"[^\p{L}\p{N}_\s\-]", "")
     return F.trim(F.regexp_replace(low, r"\s+", " "))
 
@@ -156,8 +166,12 @@ def object_group(label: Column) -> Column:
 def detector_label(raw: Column, classes: Sequence[str]) -> Column:
     """Canonical label of a free-text detector label: exact class, keyword rule, contained class, else as is."""
     s = F.trim(F.lower(raw))
-    for article in ("a ", "an ", "the "):
-        s = F.when(s.startswith(article), F.trim(F.substr(s, F.lit(len(article) + 1)))).otherwise(s)
+    for article in ("a", "an", "the"):
+        s = F.trim(F.regexp_replace(s, f"^{article} ", ""))
+    return _let(s, lambda s: _canonical(s, classes))
+
+
+def _canonical(s: Column, classes: Sequence[str]) -> Column:
     exact = F.coalesce(*[F.when(s == c.lower(), F.lit(c)) for c in classes], F.lit(None).cast("string"))
     keyword = F.when(s.contains("juice") & s.contains("bottle"), F.lit("juice bottle")).when(
         s.contains("juice"), F.lit("juice box")
@@ -311,24 +325,28 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
         plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[.,]", ""), r"\s+", " "))
         return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
-    ref, hyp = words(reference), words(hypothesis)
-    known = F.array_union(ref, hyp)
+    def edits(pair: Column) -> Column:
+        ref, hyp = pair["ref"], pair["hyp"]
+        known = F.array_union(ref, hyp)
+        distance = F.levenshtein(spell(ref, known), spell(hyp, known))
+        return F.struct(distance.alias("edits"), F.size(ref).alias("n_ref"), F.size(hyp).alias("n_hyp"))
 
-    def spell(tokens: Column) -> Column:
+    def spell(tokens: Column, known: Column) -> Column:
         def code(token: Column) -> Column:
             point = F.array_position(known, token) + F.lit(0x10000)
             return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
 
         return F.array_join(F.transform(tokens, code), "")
 
-    return F.struct(F.levenshtein(spell(ref), spell(hyp)).alias("edits"), F.size(ref).alias("n_ref"),
-                    F.size(hyp).alias("n_hyp"))
+    return _let(F.struct(words(reference).alias("ref"), words(hypothesis).alias("hyp")), edits)
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    e = word_edits(reference, hypothesis)
-    empty = F.when(e["n_hyp"] == 0, F.lit(0.0)).otherwise(F.lit(1.0))
-    return F.when(e["n_ref"] == 0, empty).otherwise(F.try_divide(e["edits"].cast("double"), e["n_ref"]))
+    def rate(e: Column) -> Column:
+        empty = F.when(e["n_hyp"] == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+        return F.when(e["n_ref"] == 0, empty).otherwise(F.try_divide(e["edits"].cast("double"), e["n_ref"]))
+
+    return _let(word_edits(reference, hypothesis), rate)
 
 
 def judgement(response: Column) -> Column:

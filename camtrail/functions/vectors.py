@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -49,13 +49,13 @@ def nearest_class(vector: Column, classes: Column) -> Column:
     return F.struct(best.alias("score"), F.array_min(names).alias("name"))
 
 
-@pandas_udf("array<float>")
+@pandas_udf(T.ArrayType(T.FloatType()))
 def decode_f4(blob: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to a vector."""
     return blob.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def encode_f4(vector: pd.Series) -> pd.Series:
     """Vector to little-endian float32 bytes, without a header."""
     return vector.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())

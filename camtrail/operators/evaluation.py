@@ -135,8 +135,8 @@ def class_ranks(crops: DataFrame, prompts: DataFrame, target: str) -> DataFrame:
     shuffled nor paired up.
     """
     classes = prompts.agg(F.collect_list(F.struct(F.col("name"), F.col("vec")))).scalar()
-    with_scores = crops.withColumn(
-        "_s", F.transform(classes, lambda c: F.struct(vectors.dot(F.col("emb"), c["vec"]).alias("s"), c["name"].alias("n")))
+    with_scores = crops.withColumn("_c", classes).withColumn(
+        "_s", F.transform("_c", lambda c: F.struct(vectors.dot(F.col("emb"), c["vec"]).alias("s"), c["name"].alias("n")))
     )
     own = F.filter("_s", lambda x: x["n"] == F.col(target))
     return with_scores.withColumn("_own", F.try_element_at(own, F.lit(1))).select(

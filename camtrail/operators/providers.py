@@ -150,7 +150,7 @@ def match_spoken_cameras(phrases: DataFrame, cameras: Sequence[str], column: str
 
     cleaned = text.clean_spoken(F.col(column))
     for prefix in V.SPOKEN_PREFIXES:
-        cleaned = F.when(cleaned.startswith(prefix), F.trim(F.substr(cleaned, F.lit(len(prefix) + 1)))).otherwise(cleaned)
+        cleaned = F.trim(F.regexp_replace(cleaned, "^" + prefix, ""))
     distinct = phrases.select(column).distinct().withColumn("_c", cleaned)
     return distinct.select(column, best(F.col("_c")).alias("camera"))
 

@@ -181,6 +181,17 @@ def top_k(
         )
 
 
+def all_candidates(queries: DataFrame, tracks: DataFrame, frames: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Complete candidate sets (query_id, score, result columns) under the frame fallback rule, without a cut."""
+    low = -2.0 if threshold is None else threshold
+    found = scoring.score(track_rows(tracks), queries, RESULT, minimum=low)
+    scene = queries.filter(F.col("polygon").isNull()).drop("labels", "polygon", "colours")
+    seen = scoring.score(frame_rows(frames), scene, RESULT, minimum=low)
+    named = queries.filter(F.col("labels").isNotNull()).select("query_id")
+    answered = found.select("query_id").distinct().join(named, "query_id", "left_semi")
+    return found.unionByName(seen.join(answered, "query_id", "left_anti"))
+
+
 _KEPT = "array<struct<camera:string,ts_us:bigint,span:bigint,id:string>>"
 
 
