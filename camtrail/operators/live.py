@@ -22,14 +22,25 @@ def conflate(frames: DataFrame, every: str) -> DataFrame:
     )
 
 
-def effective_fps(n: Column, first_us: Column, last_us: Column, window_s: float) -> Column:
+def frame_rate(n: Column, first_us: Column, last_us: Column, window_s: float) -> Column:
+    """Frames per second inside a window; the plain count over the window when it spans no time."""
     span = (last_us - first_us) / 1e6
     moving = F.try_divide((n - 1).cast("double"), span)
-    return F.round(F.when((n > 1) & (span > 0.1), moving).otherwise(n / float(window_s)), 1)
+    return F.when((n > 1) & (span > 0.1), moving).otherwise(n / float(window_s))
+
+
+def effective_fps(n: Column, first_us: Column, last_us: Column, window_s: float) -> Column:
+    return F.round(frame_rate(n, first_us, last_us, window_s), 1)
 
 
 def trailing_fps(frames: DataFrame, window_s: float = 3.0, chunk_windows: int = 200) -> DataFrame:
-    """Effective frame rate over the trailing window at every frame.
+    """Effective frame rate over the trailing window at every frame."""
+    out = trailing_counts(frames, window_s, chunk_windows)
+    return out.select("camera", "us", "n", effective_fps(F.col("n"), F.col("first"), F.col("us"), window_s).alias("fps"))
+
+
+def trailing_counts(frames: DataFrame, window_s: float, chunk_windows: int = 200) -> DataFrame:
+    """Frames inside the trailing window at every frame, and the first of them.
 
     Timelines are cut into chunks of ``chunk_windows`` windows; a frame less
     than one window before a chunk border also joins the next chunk, so every
@@ -44,9 +55,7 @@ def trailing_fps(frames: DataFrame, window_s: float = 3.0, chunk_windows: int =
     trail = W.partitionBy("camera", "_chunk").orderBy("us").rangeBetween(-span, 0)
     n, first = F.sum("c").over(trail), F.min("us").over(trail)
     out = spread.withColumn("n", n).withColumn("first", first).filter(F.col("_home") == F.col("_chunk"))
-    return out.select(
-        "camera", "us", "n", effective_fps(F.col("n"), F.col("first"), F.col("us"), window_s).alias("fps")
-    )
+    return out.select("camera", "us", "n", "first")
 
 
 def with_lag(frames: DataFrame) -> DataFrame:

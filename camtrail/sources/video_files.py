@@ -27,10 +27,14 @@ def read_queries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest {file name: {start_time, camera, start_source}} as rows."""
-    raw = spark.read.text(path, wholetext=True)
+    """Manifest file {file name: {start_time, camera, start_source}} as rows."""
+    return manifest_rows(spark.read.text(path, wholetext=True))
+
+
+def manifest_rows(documents: DataFrame) -> DataFrame:
+    """Entries of manifest documents (``value``)."""
     kind = "map<string,struct<start_time:string,camera:string,start_source:string>>"
-    return raw.select(F.explode(F.from_json("value", kind)).alias("file", "e")).select(
+    return documents.select(F.explode(F.from_json("value", kind)).alias("file", "e")).select(
         "file", F.col("e.start_time").try_cast("timestamp_ntz").alias("start_time"), "e.camera", "e.start_source"
     )
 

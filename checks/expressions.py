@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from camtrail.functions import boxes, text, vectors, vocabulary as V
-from camtrail.operators import evaluation, places, search, tracks as T
+from camtrail.operators import evaluation, places, search
 from camtrail.plans.ask import reference_now
-from camtrail.scale import micros
 from camtrail.sources import video_files
 from checks.registry import query
 from checks.views import POLYGONS
@@ -520,6 +519,3 @@ def _(d):
 @query("a07_reference_now", "SELECT max(start_time) AS now_ref FROM videos")
 def _(d):
     return d.videos.agg(F.max("start_time").alias("now_ref")).select(F.coalesce("now_ref", reference_now(d.videos)).alias("now_ref"))
-
-
-__all__ = ["CLASSES_SQL", "LABELS", "PARSED", "T", "class_vectors", "dot", "micros", "norm", "polygon_test"]
