@@ -131,8 +131,8 @@ def top_k(
     if dedup_s is None:
         return _candidates(queries, tracks, frames, k, threshold, False, gated)
     span = int(round(dedup_s * 1_000_000))
-    prefix = max(32, 4 * k)
-    pending, done = queries, None
+    prefix = max(128, 8 * k)
+    pending, done = cut_lineage(queries), None
     while True:
         rows = _candidates(pending, tracks, frames, prefix, threshold, True, gated)
         packed = F.struct("rank", "score", *RESULT)
@@ -173,7 +173,7 @@ def top_k(
         base = pending
         if "kept" not in pending.columns:
             base = pending.withColumn("kept", F.array().cast(_KEPT)).withColumn("no_frames", F.lit(False))
-        pending = (
+        pending = cut_lineage(
             base.join(again, "query_id")
             .withColumn("kept", F.concat("kept", "_new"))
             .withColumn("no_frames", F.col("no_frames") | (F.col("labels").isNotNull() & F.col("tracked")))

@@ -48,14 +48,14 @@ def summarise(observations: DataFrame, key: Sequence[str] = KEY, tie: str = "rid
         F.max(F.struct(at.alias("at"), F.col("ts").alias("ts"), F.col("offset_s").alias("offset_s"))).alias("last"),
         F.min(F.struct(best.alias("rank"), shown.alias("obs"))).alias("best"),
     )
-    vote = F.struct(F.round("weight", 9).alias("w"), (-F.col("first.at.frame_idx")).alias("seen"))
+    vote = F.struct((-F.round("weight", 9)).alias("w"), F.col("first.at").alias("seen"))
     track = per_label.groupBy(*keys).agg(
         F.sum("n").alias("hits"),
         (F.sum("weight") / F.sum("n")).alias("mean_conf"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
         F.min("best").alias("best"),
-        F.max_by("label", vote).alias("label"),
+        F.min_by("label", vote).alias("label"),
     )
     return track.select(
         *keys,
@@ -75,15 +75,15 @@ def summarise(observations: DataFrame, key: Sequence[str] = KEY, tie: str = "rid
     )
 
 
-def label_votes(observations: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def label_votes(observations: DataFrame, key: Sequence[str] = KEY, tie: str = "rid") -> DataFrame:
     """Voted label of each track with its weight."""
     keys = list(key)
     votes = observations.groupBy(*keys, "label").agg(
-        F.sum("conf").alias("weight"), F.min("frame_idx").alias("seen")
+        F.sum("conf").alias("weight"), F.min(F.struct("frame_idx", tie)).alias("seen")
     )
-    rank = F.struct(F.round("weight", 9).alias("w"), (-F.col("seen")).alias("s"), F.col("label").alias("l"))
-    return votes.groupBy(*keys).agg(F.max(rank).alias("v")).select(
-        *keys, F.col("v.l").alias("label"), F.col("v.w").alias("weight")
+    rank = F.struct((-F.round("weight", 9)).alias("w"), F.col("seen"), F.col("label"))
+    return votes.groupBy(*keys).agg(F.min(rank).alias("v")).select(
+        *keys, F.col("v.label").alias("label"), (-F.col("v.w")).alias("weight")
     )
 
 

@@ -11,17 +11,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 BROADCAST_ROWS = 200_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors can read: the one the session names, a temporary one only for a local session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is not None:
+        return folder
+    current = spark.sparkContext.getCheckpointDir()
+    if current is not None:
+        return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names; survives the loss of executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        context.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

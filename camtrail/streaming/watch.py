@@ -24,6 +24,7 @@ def new_files(
     kinds = "*.{" + ",".join([*extensions, *[e.upper() for e in extensions]]) + "}"
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", kinds)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", per_batch)

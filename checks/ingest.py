@@ -303,8 +303,8 @@ def _(d):
     return greedy.suppress_overlaps(d.detections, ["frame_idx", "grp"], threshold=0.50).select("frame_idx", "grp", "rid")
 
 
-VOTES = """(SELECT camera, video, track_id, label, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY camera, video, track_id ORDER BY w DESC, seen, label DESC) AS rn FROM (
-  SELECT camera, video, track_id, label, round(sum(conf), 9) AS w, min(frame_idx) AS seen FROM observations GROUP BY camera, video, track_id, label)) WHERE rn = 1)"""
+VOTES = """(SELECT camera, video, track_id, label, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY camera, video, track_id ORDER BY w DESC, seen) AS rn FROM (
+  SELECT camera, video, track_id, label, round(sum(conf), 9) AS w, min((frame_idx, rid)) AS seen FROM observations GROUP BY camera, video, track_id, label)) WHERE rn = 1)"""
 SUMMARY = f"""(SELECT o.*, v.label FROM (SELECT camera, video, track_id, count(*) AS hits, round(avg(conf), 9) AS mean_conf,
    arg_min(ts, (frame_idx, rid)) AS t_start, arg_max(ts, (frame_idx, rid)) AS t_end, arg_min(ts, (-quality, frame_idx, rid)) AS t_best,
    arg_min(offset_s, (frame_idx, rid)) AS offset_start, arg_max(offset_s, (frame_idx, rid)) AS offset_end, arg_min(x1, (-quality, frame_idx, rid)) AS bx1,
