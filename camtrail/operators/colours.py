@@ -9,24 +9,34 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from camtrail.functions import vocabulary as V
 
 
-def lab_name(L: Column, a: Column, b: Column) -> Column:
-    """Colour name of one 8-bit Lab point: neutral rules first, else the nearest centre."""
+def name_pixels(pixels: DataFrame, out: str = "color") -> DataFrame:
+    """Add the colour name of every 8-bit Lab pixel: neutral rules first, else the nearest centre.
+
+    Distances, their minimum and the name are separate projections, so each
+    distance is computed once inside one generated stage.
+    """
+    L, a, b = F.col("L"), F.col("a"), F.col("b")
     chroma = F.sqrt((a - 128.0) * (a - 128.0) + (b - 128.0) * (b - 128.0))
-    distances = []
-    for i, (name, cl, ca, cb) in enumerate(V.LAB_CENTRES):
-        d = 0.5 * (L - cl) * (L - cl) + 1.2 * (a - ca) * (a - ca) + 1.2 * (b - cb) * (b - cb)
-        distances.append(F.struct(d.alias("d"), F.lit(i).alias("i"), F.lit(name).alias("n")))
-    nearest = F.array_min(F.array(*distances))["n"]
-    return (
-        F.when((L < 45) & (chroma < 35), "black")
-        .when((L > 225) & (chroma < 25), "white")
-        .when((chroma < 18) & (L < 50), "black")
-        .when((chroma < 18) & (L < 165), "grey")
-        .when((chroma < 18) & (L < 220), "silver")
-        .when(chroma < 18, "white")
+    distances = [
+        (0.5 * (L - cl) * (L - cl) + 1.2 * (a - ca) * (a - ca) + 1.2 * (b - cb) * (b - cb)).alias(f"_d{i}")
+        for i, (_, cl, ca, cb) in enumerate(V.LAB_CENTRES)
+    ]
+    names = [f"_d{i}" for i in range(len(distances))]
+    rows = pixels.select("*", chroma.alias("_c"), *distances).withColumn("_near", F.least(*names))
+    # Centres in order, so the first of equally near ones wins.
+    nearest = F.coalesce(*[F.when(F.col(n) == F.col("_near"), F.lit(name)) for n, (name, *_) in zip(names, V.LAB_CENTRES)])
+    c = F.col("_c")
+    name = (
+        F.when((L < 45) & (c < 35), "black")
+        .when((L > 225) & (c < 25), "white")
+        .when((c < 18) & (L < 50), "black")
+        .when((c < 18) & (L < 165), "grey")
+        .when((c < 18) & (L < 220), "silver")
+        .when(c < 18, "white")
         .when(L < 35, "black")
         .otherwise(nearest)
     )
+    return rows.select(*pixels.columns, name.alias(out))
 
 
 def hsv_name(h: Column, s: Column, v: Column) -> Column:
@@ -65,9 +75,7 @@ def dominant(pixels: DataFrame, keys: Sequence[str] = ("crop_id",), top: int = 2
     Pixels collapse to at most a dozen colours per crop before the first
     shuffle, so a crop with very many pixels costs no more than any other.
     """
-    named = pixels.groupBy(*keys, lab_name(F.col("L"), F.col("a"), F.col("b")).alias("color")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    named = name_pixels(pixels.select(*keys, "L", "a", "b")).groupBy(*keys, "color").agg(F.count(F.lit(1)).alias("n"))
     each = W.partitionBy(*keys)
     share = F.round(F.col("n") / F.sum("n").over(each), 3)
     rank = F.row_number().over(each.orderBy(F.desc("n"), "color"))

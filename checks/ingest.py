@@ -593,7 +593,7 @@ CENTRE = f"(SELECT * FROM {NAMED} WHERE x >= floor(width * 0.1) AND x < floor(wi
 
 @query("u06_lab_colour_name", f"SELECT crop_id, x, y, L, a, b, color FROM {NAMED}")
 def _(d):
-    return d.pixels.select("crop_id", "x", "y", "L", "a", "b", colours.lab_name(F.col("L"), F.col("a"), F.col("b")).alias("color"))
+    return colours.name_pixels(d.pixels).select("crop_id", "x", "y", "L", "a", "b", "color")
 
 
 @query("a18_named_colour_histogram", f"SELECT crop_id, rank, color, fraction FROM {tops_sql('crop_id', CENTRE)}")
