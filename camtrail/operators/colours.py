@@ -12,19 +12,19 @@ from camtrail.functions import vocabulary as V
 def name_pixels(pixels: DataFrame, out: str = "color") -> DataFrame:
     """Add the colour name of every 8-bit Lab pixel: neutral rules first, else the nearest centre.
 
-    Distances, their minimum and the name are separate projections, so each
-    distance is computed once inside one generated stage.
+    The distances are one array in a projection of its own: each is computed
+    once, and the generated method stays under the 8000 bytes of bytecode beyond
+    which the JVM would only interpret it.
     """
     L, a, b = F.col("L"), F.col("a"), F.col("b")
     chroma = F.sqrt((a - 128.0) * (a - 128.0) + (b - 128.0) * (b - 128.0))
     distances = [
-        (0.5 * (L - cl) * (L - cl) + 1.2 * (a - ca) * (a - ca) + 1.2 * (b - cb) * (b - cb)).alias(f"_d{i}")
-        for i, (_, cl, ca, cb) in enumerate(V.LAB_CENTRES)
+        0.5 * (L - cl) * (L - cl) + 1.2 * (a - ca) * (a - ca) + 1.2 * (b - cb) * (b - cb) for _, cl, ca, cb in V.LAB_CENTRES
     ]
-    names = [f"_d{i}" for i in range(len(distances))]
-    rows = pixels.select("*", chroma.alias("_c"), *distances).withColumn("_near", F.least(*names))
-    # Centres in order, so the first of equally near ones wins.
-    nearest = F.coalesce(*[F.when(F.col(n) == F.col("_near"), F.lit(name)) for n, (name, *_) in zip(names, V.LAB_CENTRES)])
+    rows = pixels.select("*", chroma.alias("_c"), F.array(*distances).alias("_d"))
+    # The first of equally near centres wins.
+    order = F.array_position("_d", F.array_min("_d")).cast("int")
+    nearest = F.element_at(F.array(*[F.lit(name) for name, *_ in V.LAB_CENTRES]), order)
     c = F.col("_c")
     name = (
         F.when((L < 45) & (c < 35), "black")
