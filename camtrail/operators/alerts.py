@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from camtrail.operators import scoring
+from camtrail.scale import broadcast_if_small
 
 DEFAULT_SCORE = 0.05
 
@@ -61,7 +62,7 @@ def evaluate(rules: DataFrame, tracks: DataFrame, fired: DataFrame | None = None
         rows, probes, ["track_id", "camera", "label", "t_start", "snapshot"], minimum=floor, cosine=True, raw=True
     )
     rule = live.select(F.col("id").alias("rule_id"), "rule_name", "query_text", "min_score")
-    events = hits.withColumnRenamed("query_id", "rule_id").join(rule, "rule_id").filter(F.col("score") >= F.col("min_score"))
+    events = hits.withColumnRenamed("query_id", "rule_id").join(broadcast_if_small(rule), "rule_id").filter(F.col("score") >= F.col("min_score"))
     if fired is not None:
         events = events.join(fired.select("rule_id", "track_id"), ["rule_id", "track_id"], "left_anti")
     return events.select(

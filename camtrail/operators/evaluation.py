@@ -128,24 +128,40 @@ def precision_recall_at(scores: DataFrame, key: str, score: str, positive: str,
     )
 
 
-def class_ranks(crops: DataFrame, prompts: DataFrame, target: str) -> DataFrame:
-    """Rank of the target class of every crop among all prompts; the score order breaks ties by name.
+def class_blocks(prompts: DataFrame, block: int = 1_000) -> list[Column]:
+    """Class prompts (name, vec) as scalar arrays of at most about ``block`` entries each."""
+    parts = max(1, -(-prompts.count() // block))
+    pick = F.pmod(F.xxhash64("name"), F.lit(parts))
+    return [
+        prompts.filter(pick == i).agg(F.collect_list(F.struct(F.col("name"), F.col("vec")))).scalar() for i in range(parts)
+    ]
 
-    The prompt table is small: it travels as one array, so crops are neither
-    shuffled nor paired up.
+
+def zero_shot(crops: DataFrame, prompts: DataFrame, block: int = 1_000) -> DataFrame:
+    """Best class of every crop with its score; ties go to the smaller name.
+
+    Prompts travel as bounded arrays, so crops are neither shuffled nor paired up.
     """
-    classes = prompts.agg(F.collect_list(F.struct(F.col("name"), F.col("vec")))).scalar()
-    with_scores = crops.withColumn("_c", classes).withColumn(
-        "_s", F.transform("_c", lambda c: F.struct(vectors.dot(F.col("emb"), c["vec"]).alias("s"), c["name"].alias("n")))
-    )
-    own = F.filter("_s", lambda x: x["n"] == F.col(target))
-    return with_scores.withColumn("_own", F.try_element_at(own, F.lit(1))).select(
-        *crops.columns,
-        (
-            F.size(F.filter("_s", lambda x: (x["s"] > F.col("_own.s")) | ((x["s"] == F.col("_own.s")) & (x["n"] < F.col("_own.n")))))
-            + 1
-        ).alias("target_rank"),
-    )
+    out = crops.withColumn("_b", F.lit(None).cast("struct<score:double,name:string>"))
+    for classes in class_blocks(prompts, block):
+        out = out.withColumn("_c", classes).withColumn("_n", vectors.nearest_class(F.col("emb"), F.col("_c")))
+        better = F.col("_b").isNull() | (F.col("_n.score") > F.col("_b.score"))
+        better = better | ((F.col("_n.score") == F.col("_b.score")) & (F.col("_n.name") < F.col("_b.name")))
+        out = out.withColumn("_b", F.when(better & F.col("_n.name").isNotNull(), F.col("_n")).otherwise(F.col("_b")))
+    return out.select(*crops.columns, F.col("_b.name").alias("best"), F.col("_b.score").alias("best_score"))
+
+
+def class_ranks(crops: DataFrame, prompts: DataFrame, target: str, block: int = 1_000) -> DataFrame:
+    """Rank of the target class of every crop among all prompts; equal scores are ordered by name."""
+    own = prompts.select(F.col("name").alias(target), F.col("vec").alias("_vec"))
+    out = crops.join(broadcast_if_small(own, 10_000), target)
+    out = out.withColumn("_own", vectors.dot(F.col("emb"), F.col("_vec"))).withColumn("target_rank", F.lit(1))
+    for classes in class_blocks(prompts, block):
+        out = out.withColumn("_c", classes)
+        scores = F.transform("_c", lambda c: F.struct(vectors.dot(F.col("emb"), c["vec"]).alias("s"), c["name"].alias("n")))
+        ahead = F.filter(scores, lambda x: (x["s"] > F.col("_own")) | ((x["s"] == F.col("_own")) & (x["n"] < F.col(target))))
+        out = out.withColumn("target_rank", F.col("target_rank") + F.size(ahead))
+    return out.select(*crops.columns, "target_rank")
 
 
 def top1_accuracy(ranked: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from camtrail.scale import carry_forward, floor_div, micros, previous_in_time
+from camtrail.scale import (
+    broadcast_if_small, carry_forward, cut_lineage, floor_div, micros, previous_in_time, running_counts,
+)
 
 
 def conflate(frames: DataFrame, every: str) -> DataFrame:
@@ -88,21 +90,21 @@ def reconnect_summary(gaps: DataFrame, keep: int = 10) -> DataFrame:
 def recording_sessions(frames: DataFrame, gap_s: float = 4.0) -> DataFrame:
     """Unbroken recordings per camera: a frame later than ``gap_s`` after the last one starts a new recording.
 
-    A recording's number is the running count of starts; starts are few, so
-    only they are ordered per camera, and frames find their start in time chunks.
+    A recording's number is the running count of starts, which is range
+    partitioned; its end is the frame before the next start.
     """
     rows = frames.select("camera", "frame_no", micros(F.col("recv_ts")).alias("us"))
     linked = previous_in_time(rows, ["camera"], "us", "us", ["frame_no"])
     gap = F.col("us") - F.col("prev_us")
-    edge = linked.withColumn("is_start", F.col("prev_us").isNull() | (gap > int(gap_s * 1_000_000)))
-    starts = edge.filter("is_start").select("camera", F.col("us").alias("start_us"), F.col("prev_us"))
-    order = W.partitionBy("camera").orderBy("start_us")
-    starts = starts.select(
-        "camera", "start_us", F.row_number().over(order).alias("recording"), F.lead("prev_us").over(order).alias("end_us")
-    )
-    ends = frames.groupBy("camera").agg(F.max(micros(F.col("recv_ts"))).alias("_last"))
-    return starts.join(ends, "camera").select(
-        "camera", "recording", "start_us", F.coalesce("end_us", "_last").alias("end_us")
+    edge = linked.filter(F.col("prev_us").isNull() | (gap > int(gap_s * 1_000_000)))
+    starts = edge.select("camera", F.col("us").alias("start_us"), "prev_us", F.lit(1).cast("long").alias("one"))
+    numbered = running_counts(starts, ["camera"], "start_us", ["one"])
+    numbered = cut_lineage(numbered.select("camera", (F.col("before_one") + 1).alias("recording"), "start_us", "prev_us"))
+    ends = numbered.select("camera", (F.col("recording") - 1).alias("recording"), F.col("prev_us").alias("end_us"))
+    last = frames.groupBy("camera").agg(F.max(micros(F.col("recv_ts"))).alias("_last"))
+    return (
+        numbered.drop("prev_us").join(ends, ["camera", "recording"], "left").join(broadcast_if_small(last), "camera")
+        .select("camera", "recording", "start_us", F.coalesce("end_us", "_last").alias("end_us"))
     )
 
 

@@ -10,7 +10,7 @@ from camtrail.functions import vectors
 from camtrail.operators.scoring import matrix, round4, unit_rows
 from camtrail.scale import broadcast_if_small, cut_lineage, floor_div, micros
 
-CHUNK_ROWS = 2_000
+CHUNK_ROWS = 8_000
 
 
 def matches_of(

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from camtrail.scale import cut_lineage
+
 QUERY_BLOCK = 4_096
 _CELLS = 4_000_000  # scores held at once in a task
 _MIN, _MAX = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -76,6 +78,8 @@ def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[Query
     """Read the queries block by block; the driver never holds more than about one block."""
     n = queries.count()
     parts = max(1, -(-n // block))
+    if parts > 1:
+        queries = cut_lineage(queries)  # read once, not once per block
     for i in range(parts):
         part = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
         table = part.toArrow()

@@ -8,25 +8,57 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from camtrail.functions import boxes, text, vectors
 from camtrail.operators import greedy
-from camtrail.scale import band_join, broadcast_if_small, follow_pointers
+from camtrail.scale import band_join, broadcast_if_small, cut_lineage, follow_pointers
 
 KEY = ("camera", "video", "track_id")
 
 
-def suppress_secondary(primary: DataFrame, secondary: DataFrame, frame: Sequence[str], threshold: float = 0.40) -> DataFrame:
+def _box(side: str) -> dict[str, Column]:
+    return {c: F.col(f"{side}.{c}") for c in ("x1", "y1", "x2", "y2")}
+
+
+def suppress_secondary(
+    primary: DataFrame, secondary: DataFrame, frame: Sequence[str], threshold: float = 0.40, tie: str = "rid", max_frame: int = 5_000
+) -> DataFrame:
     """Drop a secondary box that overlaps any primary box of its frame by more than ``threshold``.
 
-    An anti join on the frame with the overlap as residual condition: no pair is emitted.
+    An anti join on the frame with the overlap as residual condition: no pair
+    is emitted. Equal primary boxes count once. A frame with more than
+    ``max_frame`` boxes on a side is cut into chunks on both sides; the
+    secondary boxes hit in any pair of chunks are collected by id (``tie``).
     """
-    p, s = primary.alias("p"), secondary.alias("s")
+    keys = list(frame)
+    p = primary.select(*keys, "x1", "y1", "x2", "y2").distinct()
+    sizes = p.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        secondary.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b"))
+    ).groupBy(*keys).agg(F.sum("a").alias("_np"), F.sum("b").alias("_ns"))
+    hot = cut_lineage(sizes.filter((F.col("_np") > max_frame) | (F.col("_ns") > max_frame)))
+
+    def overlap(on: Sequence[str]) -> Column:
+        test = boxes.iou(_box("s"), _box("p")) > threshold
+        for c in on:
+            test = (F.col(f"s.{c}") == F.col(f"p.{c}")) & test
+        return test
+
+    if hot.isEmpty():
+        return secondary.alias("s").join(p.alias("p"), overlap(keys), "left_anti")
+    hot = broadcast_if_small(
+        hot.select(*keys, F.ceil(F.col("_np") / max_frame).cast("int").alias("_i"), F.ceil(F.col("_ns") / max_frame).cast("int").alias("_j"))
+    )
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
 
-    def box(side: str) -> dict[str, Column]:
-        return {c: F.col(f"{side}.{c}") for c in ("x1", "y1", "x2", "y2")}
+    def chunk(n: str, *by: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.greatest(F.col(n), F.lit(1))).cast("int")
 
-    same = F.lit(True)
-    for c in frame:
-        same = same & (F.col(f"s.{c}") == F.col(f"p.{c}"))
-    return s.join(p, same & (boxes.iou(box("s"), box("p")) > threshold), "left_anti")
+    rest = secondary.join(hot, keys, "left_anti")
+    quiet = rest.alias("s").join(p.alias("p"), overlap(keys), "left_anti")
+    dense = secondary.join(hot.select(*keys), keys, "left_semi")
+    ps = p.join(hot, keys).withColumn("_ci", chunk("_i", "x1", "y1", "x2", "y2")).withColumn("_cj", each("_j"))
+    ss = secondary.join(hot, keys).withColumn("_cj", chunk("_j", tie)).withColumn("_ci", each("_i"))
+    hit = ss.alias("s").join(ps.alias("p"), overlap([*keys, "_ci", "_cj"]), "left_semi").select(*keys, tie).distinct()
+    return quiet.unionByName(dense.join(hit, [*keys, tie], "left_anti").select(*quiet.columns))
 
 
 def summarise(observations: DataFrame, key: Sequence[str] = KEY, tie: str = "rid") -> DataFrame:

@@ -284,10 +284,8 @@ def class_vectors(d):
       FROM tracks t, {CLASSES_SQL} c) WHERE rn = 1""",
 )
 def _(d):
-    """The handful of class vectors travels as one scalar array; tracks are not shuffled."""
-    classes = class_vectors(d).agg(F.collect_list(F.struct("name", "vec"))).scalar()
-    rows = d.tracks.withColumn("classes", classes)
-    return rows.withColumn("b", vectors.nearest_class(F.col("emb"), F.col("classes"))).select("id", F.col("b.name").alias("best"), F.round("b.score", 6).alias("score"))
+    best = evaluation.zero_shot(d.tracks, class_vectors(d))
+    return best.select("id", "best", F.round("best_score", 6).alias("score"))
 
 
 @query(
