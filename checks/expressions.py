@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from camtrail.functions import boxes, text, vectors, vocabulary as V
-from camtrail.operators import evaluation, places, search
+from camtrail.operators import evaluation, places, scoring, search
 from camtrail.plans.ask import reference_now
 from camtrail.sources import video_files
 from checks.registry import query
@@ -110,16 +110,13 @@ TRACKS_COLS = """(SELECT *, CASE colors WHEN '{}' THEN CAST([] AS VARCHAR[])
 @query(
     "f06_similarity_threshold",
     f"""SELECT q.query_id, t.id, round({dot('q.q_emb', 't.emb')} + {BOOST}, 4) AS score
-    FROM search_questions q JOIN {TRACKS_COLS} t ON t.camera = 'cam_' || (q.query_id % 6)
-    WHERE {dot('q.q_emb', 't.emb')} + {BOOST} >= 0.2""",
+    FROM search_questions q, {TRACKS_COLS} t WHERE {dot('q.q_emb', 't.emb')} + {BOOST} >= 0.2""",
 )
 def _(d):
-    """Threshold on the unrounded boosted score of the tracks on one camera per question."""
-    q = d.search_questions.withColumn("camera", F.concat(F.lit("cam_"), F.col("query_id") % 6))
-    rows = q.join(d.tracks.select("id", "camera", "emb", "colors"), "camera")
-    boost = text.colour_boost(text.query_colours(F.col("text")), text.row_colours(F.col("colors")))
-    scored = rows.withColumn("s", vectors.dot(F.col("q_emb"), F.col("emb")) + boost).filter(F.col("s") >= 0.2)
-    return scored.select("query_id", "id", F.round("s", 4).alias("score"))
+    """Every question against every track: threshold on the unrounded boosted score."""
+    q = d.search_questions.select("query_id", "q_emb", text.query_colours(F.col("text")).alias("colours"))
+    found = scoring.score(search.track_rows(d.tracks), q, ["result_id"], minimum=0.2)
+    return found.select("query_id", F.col("result_id").alias("id"), "score")
 
 
 @query(

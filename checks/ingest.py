@@ -539,11 +539,27 @@ def _(d):
     return live.tracks_seen(d.stream_frames)
 
 
-@query("t07_box_linking")
-def _(d):
-    """Track numbers for all boxes, one second per frame, one recording per group."""
-    rows = d.detections.select(F.lit("cam_0").alias("camera"), F.col("grp").alias("video"), (F.col("frame_idx") * 1000000).alias("us"), "rid", "x1", "y1", "x2", "y2")
-    return live.link_boxes(rows)
+def link_sql(groups: str) -> str:
+    """Box by box in frame order: expire, pick the best free live box, else a new number."""
+    new = "{{'no': CAST({0} AS BIGINT), 'us': o.us, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}"
+    return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT {groups} || '_' || (frame_idx // 100) AS video, frame_idx * 1000000 AS us, rid, x1, y1, x2, y2,
+      row_number() OVER (PARTITION BY {groups}, frame_idx // 100 ORDER BY frame_idx, rid) AS rn FROM detections),
+    steps AS (SELECT video, rn, us, rid, CAST(1 AS BIGINT) AS track_no, CAST(1 AS BIGINT) AS counter, us AS stretch, [{new.format('1')}] AS live FROM o WHERE rn = 1
+      UNION ALL SELECT o.video, o.rn, o.us, o.rid, coalesce(pick, base + 1), CASE WHEN pick IS NULL THEN base + 1 ELSE base END,
+        CASE WHEN len(kept) = 0 THEN o.us ELSE stretch END,
+        CASE WHEN pick IS NULL THEN list_append(kept, {new.format('base + 1')}) ELSE list_transform(kept, lambda k: CASE WHEN k.no = pick THEN {new.format('pick')} ELSE k END) END
+      FROM (SELECT o, kept, stretch, CASE WHEN len(kept) = 0 THEN 0 ELSE counter END AS base,
+          list_sort(list_transform(list_filter(kept, lambda k: k.us < o.us AND {iou_sql('k', 'o')} > 0.25), lambda k: {{'a': -{iou_sql('k', 'o')}, 'n': k.no}}))[1].n AS pick
+        FROM (SELECT o, s.counter, s.stretch, list_filter(s.live, lambda k: o.us - k.us <= 5000000) AS kept FROM steps s JOIN o ON o.video = s.video AND o.rn = s.rn + 1)))
+    """
+
+
+@query("t07_box_linking", link_sql("grp") + "SELECT video, us, rid, stretch, track_no FROM steps")
+def _(d):
+    """Track numbers for all boxes: one second per frame, recordings of a hundred frames per object group."""
+    video = F.concat_ws("_", "grp", F.floor(F.col("frame_idx") / 100))
+    rows = d.detections.select(F.lit("cam_0").alias("camera"), video.alias("video"), (F.col("frame_idx") * 1000000).alias("us"), "rid", "x1", "y1", "x2", "y2")
+    return live.link_boxes(rows).drop("camera")
 
 
 @query(

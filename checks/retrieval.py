@@ -408,7 +408,7 @@ def _(d):
     return asked.join(after, "query_id").select("query_id", "referent", F.array_join("options", ",").alias("options"), "camera_after")
 
 
-@query("r04_embedding_provider")
+@query("r04_embedding_provider", "SELECT query_id, 1.0::DOUBLE AS length FROM questions")
 def _(d):
     """Prompts of all questions embedded by the injected provider."""
     prompts = places.parse(d.questions).select("query_id", "prompt")
@@ -446,7 +446,12 @@ class BoxesFromBytes:
         ]
 
 
-@query("r06_detector_hook")
+@query(
+    "r06_detector_hook",
+    """SELECT camera, video, CAST(floor(offset_s) AS BIGINT) AS frame_idx, t_abs AS ts, k * n AS x1, k * n AS y1, n + k * n AS x2, n + 2 * k * n AS y2,
+      CASE k WHEN 0 THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END AS conf, CASE k WHEN 0 THEN 'car' ELSE 'person' END AS label, CASE k WHEN 0 THEN 'a' ELSE 'b' END AS source
+    FROM (SELECT *, CAST(length(snapshot) AS DOUBLE) AS n FROM frames), (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) t(k)""",
+)
 def _(d):
     frames = d.frames.select("camera", "video", F.col("offset_s").cast("long").alias("frame_idx"), F.col("t_abs").alias("ts"), F.col("snapshot").alias("image"))
     return providers.detect(frames, BoxesFromBytes())
@@ -531,9 +536,19 @@ def _(d):
     return evaluation.top1_accuracy(evaluation.class_ranks(crops, class_vectors(d), "target"))
 
 
+_WORDS_OF = r"CASE WHEN trim(regexp_replace(regexp_replace(lower({0}), '[.,]', '', 'g'), '\s+', ' ', 'g')) = '' THEN [] ELSE string_split(trim(regexp_replace(regexp_replace(lower({0}), '[.,]', '', 'g'), '\s+', ' ', 'g')), ' ') END"
+
+
 @query(
     "a22_word_error_rate",
-    None,
+    f"""WITH RECURSIVE p AS MATERIALIZED (SELECT c.conv_id, c.turn, {_WORDS_OF.format('b.text')} AS r, {_WORDS_OF.format('c.text')} AS h
+      FROM conversations c JOIN conversations b ON b.conv_id = c.conv_id AND b.turn + 1 = c.turn),
+    steps AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, range(0, len(h) + 1) AS row FROM p
+      UNION ALL SELECT s.conv_id, s.turn, s.i + 1, list_reduce([[j] FOR j IN range(1, len(p.h) + 1)], lambda acc, x: list_append(acc,
+        least(s.row[x[1] + 1] + 1, acc[x[1]] + 1, s.row[x[1]] + CASE WHEN p.r[s.i + 1] = p.h[x[1]] THEN 0 ELSE 1 END)), [s.i + 1])
+      FROM steps s JOIN p ON p.conv_id = s.conv_id AND p.turn = s.turn WHERE s.i < len(p.r))
+    SELECT p.conv_id, p.turn, round(CASE WHEN len(p.r) = 0 THEN CASE WHEN len(p.h) = 0 THEN 0.0 ELSE 1.0 END ELSE s.row[len(p.h) + 1]::DOUBLE / len(p.r) END, 9) AS wer
+    FROM steps s JOIN p ON p.conv_id = s.conv_id AND p.turn = s.turn AND s.i = len(p.r)""",
 )
 def _(d):
     """Every turn of every conversation against the turn before it."""
@@ -592,9 +607,18 @@ def _(d):
     return ask_plan.answers(prompts, results, clarify)
 
 
-@query("s14_result_documents")
+@query(
+    "s14_result_documents",
+    f"""SELECT b.query_id, 'success' AS status, any_value(q.text) AS query, arg_min(result_id, rank) AS first_id, max(rank) AS n_results,
+      round(arg_max(b.score, rank), 4) AS last_score FROM {BATCH} b JOIN search_questions q ON q.query_id = b.query_id GROUP BY b.query_id""",
+)
 def _(d):
-    """One JSON document per question."""
+    """One JSON document per question, read back field by field."""
     from camtrail.sources import export
 
-    return export.documents(batch(d), d.search_questions.select("query_id", "text"))
+    docs = export.documents(batch(d), d.search_questions.select("query_id", "text"))
+    read = F.from_json("document", "status string, query string, results array<struct<rank:bigint,result_id:string,score:double>>")
+    r = docs.withColumn("r", read)
+    last = F.try_element_at("r.results", F.lit(-1))
+    return r.select("query_id", "r.status", "r.query", F.try_element_at("r.results", F.lit(1))["result_id"].alias("first_id"),
+                    last["rank"].alias("n_results"), F.round(last["score"], 4).alias("last_score"))

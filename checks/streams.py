@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from camtrail.scale import shared_folder
 from camtrail.streaming import live, sinks, watch
+from checks.ingest import link_sql
 from checks.registry import query
 from checks.retrieval import ALERTS
+from checks.views import LABEL_OF_FLAG, _case
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -100,18 +102,18 @@ def _(d):
     return out.groupBy("camera").agg(F.count(F.lit(1)).alias("tracks"))
 
 
-@query("t07_box_linking_stream")
+@query("t07_box_linking_stream", link_sql("label") + "SELECT video, us, rid, track_no FROM steps")
 def _(d):
-    """Boxes linked with keyed state; one recording per label."""
+    """Boxes linked with keyed state; recordings of a hundred frames per label."""
     d.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     x1, y1 = (F.col("l_partkey") % 8) / 20.0, (F.col("l_suppkey") % 5) / 20.0
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     rows = stream(d, "lineitem").select(
-        F.lit("cam_0").alias("camera"), F.col("l_returnflag").alias("video"), (F.floor(F.col("l_orderkey") / 8) * 1000000).alias("us"),
+        F.lit("cam_0").alias("camera"), F.concat_ws("_", _case("l_returnflag", LABEL_OF_FLAG), F.floor(F.floor(F.col("l_orderkey") / 8) / 100)).alias("video"), (F.floor(F.col("l_orderkey") / 8) * 1000000).alias("us"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("rid"), x1.alias("x1"), y1.alias("y1"),
         (x1 + 0.3 + F.col("l_quantity") / 250.0).alias("x2"), (y1 + 0.3 + F.col("l_discount")).alias("y2"),
     )
-    return run(d, live.link_boxes(rows))
+    return run(d, live.link_boxes(rows)).drop("camera")
 
 
 @query(
