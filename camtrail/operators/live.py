@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from camtrail.scale import (
-    broadcast_if_small, carry_forward, cut_lineage, floor_div, micros, previous_in_time, running_counts,
+    broadcast_if_small, carry_forward, cut_lineage, floor_div, micros, previous_in_time, running_counts, seconds,
 )
 
 
@@ -62,8 +62,7 @@ def trailing_counts(frames: DataFrame, window_s: float, chunk_windows: int = 200
 
 def with_lag(frames: DataFrame) -> DataFrame:
     """Processing lag of every frame in seconds, 3 decimals."""
-    lag = (micros(F.col("processed_ts")) - micros(F.col("recv_ts"))) / 1e6
-    return frames.withColumn("lag_s", F.round(lag, 3))
+    return frames.withColumn("lag_s", seconds(micros(F.col("processed_ts")) - micros(F.col("recv_ts")), 3))
 
 
 def reconnects(frames: DataFrame, timeout_s: float = 4.0) -> DataFrame:
@@ -72,7 +71,7 @@ def reconnects(frames: DataFrame, timeout_s: float = 4.0) -> DataFrame:
     linked = previous_in_time(rows, ["camera"], "us", "us", ["frame_no"])
     gap = F.col("us") - F.col("prev_us")
     return linked.filter(gap > int(timeout_s * 1_000_000)).select(
-        "camera", "frame_no", "us", F.round(gap / 1e6, 3).alias("gap_s")
+        "camera", "frame_no", "us", seconds(gap, 3).alias("gap_s")
     )
 
 

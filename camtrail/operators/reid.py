@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from camtrail.functions import vectors
 from camtrail.operators.scoring import matrix, round4, unit_rows
-from camtrail.scale import broadcast_if_small, cut_lineage, floor_div, micros
+from camtrail.scale import broadcast_if_small, cut_lineage, floor_div, micros, seconds
 
 CHUNK_ROWS = 8_000
 
@@ -30,7 +30,7 @@ def matches_of(
     near = tracks.filter(F.col("t_start").between(start - band, start + band))
     near = near.filter(F.col("id") != track_id if same_camera else F.col("camera") != p.camera)
     q = F.array(*[F.lit(float(v)) for v in p.emb])
-    delta = (micros(F.col("t_start")) - micros(start)) / 1e6
+    delta = micros(F.col("t_start")) - micros(start)
     found = near.withColumn("_sim", vectors.cosine(q, F.col("emb"))).filter(F.col("_sim") >= min_similarity)
     return found.select(
         F.lit(p.id).alias("query_id"),
@@ -44,7 +44,7 @@ def matches_of(
         "t_end",
         "offset_best",
         "snapshot",
-        F.round(delta, 2).alias("time_delta_s"),
+        seconds(delta, 2).alias("time_delta_s"),
         F.when(delta > 0, "after").when(delta < 0, "before").otherwise("concurrent").alias("chronological_order"),
     ).orderBy("t_start", F.desc("similarity"), "track_id")
 
@@ -191,7 +191,7 @@ def associations(
                       F.col("label").alias("label_b"))
     return (
         once.select(F.col("p.src").alias("track_a"), F.col("p.dst").alias("track_b"), "p.similarity",
-                    F.round((F.col("p.dst_us") - F.col("p.src_us")) / 1e6, 2).alias("time_delta_s"))
+                    seconds(F.col("p.dst_us") - F.col("p.src_us"), 2).alias("time_delta_s"))
         .join(a, "track_a")
         .join(b, "track_b")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from camtrail.functions import boxes, text, vectors
 from camtrail.operators import greedy
-from camtrail.scale import band_join, broadcast_if_small, cut_lineage, follow_pointers
+from camtrail.scale import band_join, broadcast_if_small, cut_lineage, follow_pointers, seconds
 
 KEY = ("camera", "video", "track_id")
 
@@ -189,7 +189,7 @@ def stitch_pairs(
         *keys,
         "base_id",
         "cand_id",
-        F.round((F.col("cand_us") - F.col("end_us")) / 1e6, 3).alias("gap_s"),
+        seconds(F.col("cand_us") - F.col("end_us"), 3).alias("gap_s"),
         F.round(F.sqrt((F.col("lx") - F.col("fx")) ** 2 + (F.col("ly") - F.col("fy")) ** 2), 4).alias("center_dist"),
         F.round(vectors.dot(F.col("base_emb"), F.col("cand_emb")), 4).alias("cosine_sim"),
     )

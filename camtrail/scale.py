@@ -66,6 +66,12 @@ def from_micros(us: Column) -> Column:
     return F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+def seconds(us: Column, digits: int) -> Column:
+    """Microseconds as seconds rounded half away from zero, decided on the integer."""
+    step = 10 ** (6 - digits)
+    return F.signum(us) * F.floor((F.abs(us) + step // 2) / step) / float(10**digits)
+
+
 def floor_div(value: Column, width: int) -> Column:
     """Integer floor division that also holds for negative values."""
     return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("long")

@@ -13,6 +13,7 @@ from camtrail.sources import index, video_files
 from checks.expressions import dot
 from checks.registry import query
 from checks.retrieval import ALERTS, greedy_sql
+from checks.views import seconds_sql
 
 # --- Index maintenance -------------------------------------------------------
 
@@ -363,7 +364,7 @@ def _(d):
 
 
 STITCH_GAP, STITCH_SIM = 600, 0.2
-STITCH_PAIRS = f"""(SELECT a.camera AS video, a.grp, a.id AS base_id, b.id AS cand_id, round((epoch_us(b.t_start) - epoch_us(a.t_end)) / 1000000.0::DOUBLE, 3) AS gap_s,
+STITCH_PAIRS = f"""(SELECT a.camera AS video, a.grp, a.id AS base_id, b.id AS cand_id, {seconds_sql('(epoch_us(b.t_start) - epoch_us(a.t_end))', 3)} AS gap_s,
    round({dot('a.emb', 'b.emb')}, 4) AS cosine_sim FROM tracks a JOIN tracks b ON a.camera = b.camera AND a.grp = b.grp AND (b.t_start, b.id) > (a.t_start, a.id)
    AND epoch_us(b.t_start) - epoch_us(a.t_end) BETWEEN 0 AND {STITCH_GAP * 1000000}
    AND sqrt(pow((a.bx1 + a.bx2) / 2.0 - (b.bx1 + b.bx2) / 2.0, 2) + pow((a.by1 + a.by2) / 2.0 - (b.by1 + b.by2) / 2.0, 2)) <= 0.6
@@ -491,13 +492,13 @@ def _(d):
     return out.select("camera", "us", "n", F.round(rate * 1000, 1).alias("fps_milli"))
 
 
-@query("t03_lag", "SELECT frame_no, round((epoch_us(processed_ts) - epoch_us(recv_ts)) / 1000000.0::DOUBLE, 3) AS lag_s FROM stream_frames")
+@query("t03_lag", f"SELECT frame_no, {seconds_sql('(epoch_us(processed_ts) - epoch_us(recv_ts))', 3)} AS lag_s FROM stream_frames")
 def _(d):
     return live.with_lag(d.stream_frames).select("frame_no", "lag_s")
 
 
 GAP_US = 1800 * 1000000
-GAPS = f"""(SELECT camera, frame_no, us, round((us - prev) / 1000000.0::DOUBLE, 3) AS gap_s FROM (SELECT camera, frame_no, epoch_us(recv_ts) AS us,
+GAPS = f"""(SELECT camera, frame_no, us, {seconds_sql('(us - prev)', 3)} AS gap_s FROM (SELECT camera, frame_no, epoch_us(recv_ts) AS us,
   lag(epoch_us(recv_ts)) OVER (PARTITION BY camera ORDER BY recv_ts, frame_no) AS prev FROM stream_frames) WHERE us - prev > {GAP_US})"""
 
 

@@ -10,6 +10,7 @@ from camtrail.plans import ask as ask_plan
 from camtrail.scale import micros
 from checks.expressions import BOOST, CLASSES_SQL, LABELS, PARSED, TRACKS_COLS, class_vectors, dot, norm, polygon_test
 from checks.registry import query
+from checks.views import seconds_sql
 
 K = 5
 DEDUP_S = 600
@@ -204,7 +205,7 @@ PAIRS = f"""(SELECT a.id AS src, b.id AS dst, a.camera AS ca, b.camera AS cb, a.
 
 @query(
     "j01_reid_of_track",
-    f"""SELECT dst AS track_id, cb AS camera, round(sim, 4) AS similarity, tb AS t_start, round((epoch_us(tb) - epoch_us(ta)) / 1000000.0::DOUBLE, 2) AS time_delta_s,
+    f"""SELECT dst AS track_id, cb AS camera, round(sim, 4) AS similarity, tb AS t_start, {seconds_sql('(epoch_us(tb) - epoch_us(ta))', 2)} AS time_delta_s,
      CASE WHEN tb > ta THEN 'after' WHEN tb < ta THEN 'before' ELSE 'concurrent' END AS chronological_order
     FROM {PAIRS} WHERE src = 't9' AND sim >= 0.05""",
 )
@@ -229,7 +230,7 @@ def _(d):
     f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY tb, round(sim, 4) DESC, dst) AS rn FROM {PAIRS} WHERE sim >= {MIN_SIM}),
     u AS (SELECT *, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ta, src) AS first FROM m WHERE rn <= 3)
     SELECT src AS track_a, dst AS track_b, ca AS camera_a, cb AS camera_b, round(sim, 4) AS similarity,
-      round((epoch_us(tb) - epoch_us(ta)) / 1000000.0::DOUBLE, 2) AS time_delta_s FROM u WHERE first = 1""",
+      {seconds_sql('(epoch_us(tb) - epoch_us(ta))', 2)} AS time_delta_s FROM u WHERE first = 1""",
 )
 def _(d):
     return reid.associations(d.tracks, MIN_SIM, GAP_S, 3).select(

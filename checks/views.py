@@ -429,3 +429,9 @@ def oracle(body: str) -> str:
     if body.upper().startswith("WITH"):
         return f"WITH {ctes},\n{body[len('WITH'):]}"
     return f"WITH {ctes}\n{body}"
+
+
+def seconds_sql(us: str, digits: int) -> str:
+    """Microseconds as seconds, rounded half away from zero on the integer."""
+    step = 10 ** (6 - digits)
+    return f"(sign({us}) * ((abs({us}) + {step // 2}) // {step}) / {10**digits}.0::DOUBLE)"
