@@ -351,12 +351,52 @@ def _(d):
     return assets.clips(items(d), d.tracks, d.frames)
 
 
-@query("j13_fuzzy_camera_match")
+SPOKEN_CANDIDATES = ["cam_landscape", "cam_landscape2", "mobile_cam01", "mobile_cam02", "cam_entrance"]
+
+
+def _share_sql(a: str, b: str) -> str:
+    """200 x longest common subsequence / total length, row by row."""
+    inner = (
+        f"list_reduce([[j] FOR j IN range(1, length({b}) + 1)], lambda acc, x: list_append(acc, CASE WHEN {a}[y[1]] = {b}[x[1]] THEN prev[x[1]] + 1 "
+        f"ELSE greatest(prev[x[1] + 1], acc[x[1]]) END), [CAST(0 AS BIGINT)])"
+    )
+    rows = f"list_reduce([[i] FOR i IN range(1, length({a}) + 1)], lambda prev, y: {inner}, [CAST(0 AS BIGINT) FOR z IN range(0, length({b}) + 1)])"
+    return f"(200.0::DOUBLE * ({rows})[-1] / (length({a}) + length({b})))"
+
+
+def _spoken_names() -> str:
+    rows, at = [], 0
+    for camera in SPOKEN_CANDIDATES:
+        for name in [camera, *V.SPOKEN_CAMERAS.get(camera, [])]:
+            rows.append(f"('{name}', '{camera}', {at})")
+            at += 1
+    return f"(VALUES {', '.join(rows)}) n(name, camera, ord)"
+
+
+_PHRASE = "regexp_replace(regexp_extract(text, '(?:near|at|by|through|towards) (.*)$', 1), 'nation|front yard', 'mobile cam')"
+_HEARD = r"trim(regexp_replace(regexp_replace(lower(trim(phrase)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+for _prefix in V.SPOKEN_PREFIXES:
+    _HEARD = f"trim(regexp_replace({_HEARD}, '^{_prefix}', ''))"
+
+
+@query(
+    "j13_fuzzy_camera_match",
+    f"""WITH p AS MATERIALIZED (SELECT phrase, {_HEARD} AS c FROM (SELECT DISTINCT {_PHRASE} AS phrase FROM questions)),
+    pairs AS MATERIALIZED (SELECT *, array_to_string(list_sort(string_split(c, ' ')), ' ') AS sc, array_to_string(list_sort(string_split(name, ' ')), ' ') AS sn,
+      CASE WHEN length(c) <= length(name) THEN c ELSE name END AS short, CASE WHEN length(c) <= length(name) THEN name ELSE c END AS long FROM p, {_spoken_names()}),
+    windows AS MATERIALIZED (SELECT *, unnest(range(1 - length(short), length(long))) AS w FROM pairs WHERE short <> ''),
+    cut AS MATERIALIZED (SELECT *, substring(long, greatest(0, w) + 1, w + length(short) - greatest(0, w)) AS piece FROM windows),
+    partial AS (SELECT phrase, name, max({_share_sql('short', 'piece')}) AS score FROM cut GROUP BY phrase, name),
+    scored AS (SELECT a.phrase, a.c, a.name, a.camera, a.ord, a.name = a.c AS exact, {_share_sql('sc', 'sn')} AS sorted_score, coalesce(w.score, 0.0) AS part_score
+      FROM pairs a LEFT JOIN partial w ON w.phrase = a.phrase AND w.name = a.name),
+    best AS (SELECT phrase, arg_min(camera, ord) FILTER (exact) AS e, arg_min(camera, (-sorted_score, ord)) AS s, max(sorted_score) AS ss,
+      arg_min(camera, (-part_score, ord)) AS p, max(part_score) AS ps FROM scored GROUP BY phrase)
+    SELECT phrase, CASE WHEN e IS NOT NULL THEN e WHEN ss >= 65 THEN s WHEN ps >= 75 THEN p END AS camera FROM best""",
+)
 def _(d):
     """Camera meant by every spoken phrase cut from the question log."""
     spoken = F.regexp_replace(F.regexp_extract("text", r"(?:near|at|by|through|towards) (.*)$", 1), "nation|front yard", "mobile cam")
-    cameras = ["cam_landscape", "cam_landscape2", "mobile_cam01", "mobile_cam02", "cam_entrance"]
-    return providers.match_spoken_cameras(d.questions.select(spoken.alias("phrase")), cameras)
+    return providers.match_spoken_cameras(d.questions.select(spoken.alias("phrase")), SPOKEN_CANDIDATES)
 
 
 @query("j14_place_status", f"SELECT query_id, place, status, camera FROM {RESOLVED}")
