@@ -20,6 +20,7 @@ from camtrail.scale import cut_lineage
 
 QUERY_BLOCK = 4_096
 _CELLS = 4_000_000  # scores held at once in a task
+_MERGE_ROWS = 50_000
 _MIN, _MAX = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -111,9 +112,10 @@ def _masked_scores(rows: pa.RecordBatch, q: QueryBlock, cosine: bool) -> np.ndar
     scores = unit_rows(vectors) @ unit_rows(q.vectors).T if cosine else vectors @ q.vectors.T
     ok = np.ones(scores.shape, dtype=bool)
     if any(c is not None for c in q.camera):
-        cams = rows["camera_key"].to_pylist()
+        cams = rows["camera_key"].fill_null("").dictionary_encode()
         code = {c: i for i, c in enumerate(dict.fromkeys(c for c in q.camera if c is not None))}
-        row_code = np.array([code.get(c, -2) for c in cams])
+        known = np.array([code.get(c, -2) for c in cams.dictionary.to_pylist()], dtype=np.int64)
+        row_code = known[cams.indices.to_numpy(zero_copy_only=False)]
         want = np.array([-1 if c is None else code[c] for c in q.camera])
         ok &= (want[None, :] == -1) | (row_code[:, None] == want[None, :])
     if (q.start != _MIN).any() or (q.end != _MAX).any():
@@ -121,10 +123,10 @@ def _masked_scores(rows: pa.RecordBatch, q: QueryBlock, cosine: bool) -> np.ndar
         last = pc.fill_null(rows["end_us"], _MAX).to_numpy(zero_copy_only=False)
         ok &= (first[:, None] <= q.end[None, :]) & (last[:, None] >= q.start[None, :])
     if "label_low" in names and any(x is not None for x in q.labels):
-        labels = rows["label_low"].dictionary_encode()
+        labels = rows["label_low"].fill_null("").dictionary_encode()
+        targets = [None if t is None else set(t) for t in q.labels]
         allowed = np.array(
-            [[t is None or w == "object" or w in t for t in map(lambda v: v and set(v), q.labels)]
-             for w in labels.dictionary.to_pylist()]
+            [[t is None or w == "object" or w in t for t in targets] for w in labels.dictionary.to_pylist()]
         ).reshape(len(labels.dictionary), len(q.ids))
         ok &= allowed[labels.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
     if "cx" in names:
@@ -162,17 +164,23 @@ def _best(table: pa.Table, m: int, distinct_times: bool) -> pa.Table:
         return table
     q = table["_q"].to_numpy()
     s = table["score"].to_numpy()
-    ids = np.array(table["result_id"].to_pylist(), dtype=object)
-    _, id_rank = np.unique(ids.astype(str), return_inverse=True)
-    order = np.lexsort((id_rank, -s, q))
+    ids = table["result_id"].combine_chunks().dictionary_encode()
+    by_name = np.empty(len(ids.dictionary), dtype=np.int64)
+    by_name[pc.sort_indices(ids.dictionary).to_numpy()] = np.arange(len(by_name))
+    order = np.lexsort((by_name[ids.indices.to_numpy()], -s, q))
     if distinct_times:
-        cam = table["camera"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        at = pc.fill_null(table["ts_us"], _MIN).to_numpy()
-        key = np.rec.fromarrays([q[order], cam[order], at[order]])
-        _, first = np.unique(key, return_index=True)
-        keep = np.zeros(len(order), dtype=bool)
-        keep[first] = True
-        order = order[keep | (at[order] == _MIN)]
+        cam = table["camera"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)[order]
+        at = pc.fill_null(table["ts_us"], _MIN).to_numpy()[order]
+        q_sorted = q[order]
+        same = np.lexsort((at, cam, q_sorted))  # stable: the best row of an instant comes first
+        first = np.ones(len(order), dtype=bool)
+        for key in (q_sorted, cam, at):
+            k = key[same]
+            first[1:] &= k[1:] == k[:-1]
+        first[0] = False
+        repeat = np.zeros(len(order), dtype=bool)
+        repeat[same] = first
+        order = order[~repeat | (at == _MIN)]
     qs = q[order]
     start = np.r_[True, qs[1:] != qs[:-1]]
     rank = np.arange(len(qs)) - np.maximum.accumulate(np.where(start, np.arange(len(qs)), 0))
@@ -181,7 +189,7 @@ def _best(table: pa.Table, m: int, distinct_times: bool) -> pa.Table:
 
 def _scan(batches, q: QueryBlock, m: int | None, minimum: float | None, distinct_times: bool, cosine: bool, exact: bool,
           payload: list[str], out: pa.Schema):
-    state = None
+    state, waiting, n_waiting = None, [], 0
     n = len(q.ids)
     floor = np.full(n, -np.inf)  # score a row must reach to enter the best m of a query
     step = max(64, _CELLS // max(1, n))
@@ -204,7 +212,7 @@ def _scan(batches, q: QueryBlock, m: int | None, minimum: float | None, distinct
                 continue
             few = 4 * m if distinct_times else m
             trial = hit
-            if len(s) > few:
+            if len(s) > few and np.count_nonzero(hit) > few * n:
                 # Everything at or above the m-th best score of a query, ties included.
                 trial = hit & (s >= -np.partition(-s, few - 1, axis=0)[few - 1])
             picked = _best(pick(trial), m, distinct_times)
@@ -213,11 +221,17 @@ def _scan(batches, q: QueryBlock, m: int | None, minimum: float | None, distinct
                 thin = (found < m) & (hit.sum(axis=0) > trial.sum(axis=0))
                 if thin.any():  # repeats of one instant used up the cut: take all rows of those queries
                     picked = _best(pick(np.where(thin[None, :], hit, trial)), m, distinct_times)
-            state = picked if state is None else _best(pa.concat_tables([state, picked]), m, distinct_times)
-            which, have = state["_q"].to_numpy(), state["score"].to_numpy()
-            worst = np.full(n, np.inf)
-            np.minimum.at(worst, which, have)
-            floor = np.where(np.bincount(which, minlength=n) >= m, worst, -np.inf)
+            waiting.append(picked)
+            n_waiting += picked.num_rows
+            # Merge when as much is waiting as is kept, so that sorting is amortised over the scan.
+            if n_waiting >= max(_MERGE_ROWS, 0 if state is None else state.num_rows):
+                state, waiting, n_waiting = _best(pa.concat_tables([*([] if state is None else [state]), *waiting]), m, distinct_times), [], 0
+                which = state["_q"].to_numpy()
+                worst = np.full(n, np.inf)
+                np.minimum.at(worst, which, state["score"].to_numpy())
+                floor = np.where(np.bincount(which, minlength=n) >= m, worst, -np.inf)
+    if waiting:
+        state = _best(pa.concat_tables([*([] if state is None else [state]), *waiting]), m, distinct_times)
     if state is not None:
         yield from _emit(state, q, out)
 

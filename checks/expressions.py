@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from camtrail.functions import boxes, text, vectors, vocabulary as V
 from camtrail.operators import evaluation, places, scoring, search
 from camtrail.plans.ask import reference_now
+from camtrail.scale import broadcast_if_small
 from camtrail.sources import video_files
 from checks.registry import query
 from checks.views import POLYGONS
@@ -82,7 +83,7 @@ def _centres(d):
 )
 def _(d):
     """Regions of all aliases of a camera at once."""
-    named = F.broadcast(d.aliases.select("name", "camera", "polygon"))
+    named = broadcast_if_small(d.aliases.select("name", "camera", "polygon"))
     inside = boxes.in_polygon(F.col("cx"), F.col("cy"), F.col("polygon"))
     return _centres(d).join(named, "camera").filter(inside).select("name", "id")
 
