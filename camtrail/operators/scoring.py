@@ -8,7 +8,7 @@ pair is emitted otherwise, and nothing is shuffled before that cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,6 +51,11 @@ class QueryBlock:
     polygon: list = field(default_factory=list)  # corner list or None
     kept: list = field(default_factory=list)  # [(camera, ts_us)] already chosen
 
+    @property
+    def timed(self) -> bool:
+        """Every query has a closed time window."""
+        return bool((self.start != _MIN).all() and (self.end != _MAX).all())
+
     @classmethod
     def read(cls, table: pa.Table) -> QueryBlock:
         cols = table.to_pydict()
@@ -119,8 +124,9 @@ def _masked_scores(rows: pa.RecordBatch, q: QueryBlock, cosine: bool) -> np.ndar
         want = np.array([-1 if c is None else code[c] for c in q.camera])
         ok &= (want[None, :] == -1) | (row_code[:, None] == want[None, :])
     if (q.start != _MIN).any() or (q.end != _MAX).any():
-        first = pc.fill_null(rows["start_us"], _MIN).to_numpy(zero_copy_only=False)
-        last = pc.fill_null(rows["end_us"], _MAX).to_numpy(zero_copy_only=False)
+        # A row without a time passes only queries without a window.
+        first = pc.fill_null(rows["start_us"], _MAX).to_numpy(zero_copy_only=False)
+        last = pc.fill_null(rows["end_us"], _MIN).to_numpy(zero_copy_only=False)
         ok &= (first[:, None] <= q.end[None, :]) & (last[:, None] >= q.start[None, :])
     if "label_low" in names and any(x is not None for x in q.labels):
         labels = rows["label_low"].fill_null("").dictionary_encode()
@@ -244,7 +250,7 @@ def _emit(table: pa.Table, q: QueryBlock, out: pa.Schema):
 
 
 def score(
-    rows: DataFrame,
+    rows: DataFrame | Callable[[QueryBlock | None], DataFrame],
     queries: DataFrame,
     payload: list[str],
     best: int | None = None,
@@ -260,24 +266,25 @@ def score(
     it. ``minimum`` keeps rows with at least that unrounded score; ``raw`` returns
     scores unrounded. Filters apply when
     both sides carry their columns: camera_key; start_us / end_us; labels vs
-    label_low; polygon vs cx, cy; colours.
+    label_low; polygon vs cx, cy; colours. ``rows`` may be a function that
+    narrows the table to what a block can match, so that the scan is pruned.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kinds = {f.name: f.dataType for f in rows.schema}
+    table = rows if callable(rows) else lambda _: rows
+    kinds = {f.name: f.dataType for f in table(None).schema}
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType())]
     fields += [T.StructField(c, kinds[c]) for c in payload]
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
     needed = [c for c in ("camera_key", "start_us", "end_us", "label_low", "cx", "cy", "colours", "ts_us", "camera",
                           "result_id", "emb") if c in kinds]
-    used = rows.select(*dict.fromkeys([*needed, *payload]))
     out = None
     for q in query_blocks(queries, block):
-        part = used.mapInArrow(
+        part = table(q).select(*dict.fromkeys([*needed, *payload])).mapInArrow(
             lambda batches, q=q: _scan(batches, q, best, minimum, distinct_times, cosine, raw, payload, arrow), schema
         )
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return rows.sparkSession.createDataFrame([], schema)
+        return queries.sparkSession.createDataFrame([], schema)
     return out

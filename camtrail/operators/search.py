@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from camtrail.functions import text
 from camtrail.operators import scoring
-from camtrail.scale import cut_lineage, micros, small
+from camtrail.scale import cut_lineage, from_micros, micros, small
 
 RESULT = ["result_id", "result_type", "camera", "ts_us", "offset_s", "label", "color"]
 
@@ -72,6 +72,31 @@ def frame_rows(frames: DataFrame) -> DataFrame:
     )
 
 
+def narrow(table: DataFrame, start: str, end: str, block: scoring.QueryBlock | None) -> DataFrame:
+    """Rows that any question of the block can match, by plain predicates on the stored columns.
+
+    When every question has a camera, partitions of other cameras are skipped;
+    when every question has a window, the scan skips row groups outside of all.
+    """
+    if block is None:
+        return table
+    if all(c is not None for c in block.camera) and len(set(block.camera)) <= 1_000:
+        names = sorted(set(block.camera))
+        table = table.filter(text.camera_key(F.col("camera")).isin(names))
+    if block.timed:
+        first, last = (from_micros(F.lit(int(v)).cast("long")) for v in (block.start.min(), block.end.max()))
+        table = table.filter((F.col(start) <= last) & (F.col(end) >= first))
+    return table
+
+
+def _track_scan(tracks: DataFrame):
+    return lambda block: track_rows(narrow(tracks, "t_start", "t_end", block))
+
+
+def _frame_scan(frames: DataFrame):
+    return lambda block: frame_rows(narrow(frames, "t_abs", "t_abs", block))
+
+
 def _rank(rows: DataFrame, k: int) -> DataFrame:
     """Best k per query; tracks before frames, then id. Spark cuts to k per task before the shuffle."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("result_type"), "result_id")
@@ -81,7 +106,7 @@ def _rank(rows: DataFrame, k: int) -> DataFrame:
 def _candidates(queries: DataFrame, tracks: DataFrame, frames: DataFrame | None, m: int, threshold: float | None,
                 distinct: bool, gated: bool) -> DataFrame:
     """Best ``m`` candidates per question from tracks and frames; exact in the common order."""
-    rows = scoring.score(track_rows(tracks), queries, RESULT, m, threshold, distinct)
+    rows = scoring.score(_track_scan(tracks), queries, RESULT, m, threshold, distinct)
     if frames is not None:
         scene = queries.drop("labels", "polygon", "colours")
         if gated:
@@ -89,7 +114,7 @@ def _candidates(queries: DataFrame, tracks: DataFrame, frames: DataFrame | None,
             scene = queries.filter(F.col("polygon").isNull()).drop("labels", "polygon", "colours")
             if "no_frames" in scene.columns:
                 scene = scene.filter(~F.col("no_frames"))
-        rows = rows.unionByName(scoring.score(frame_rows(frames), scene, RESULT, m, threshold, distinct))
+        rows = rows.unionByName(scoring.score(_frame_scan(frames), scene, RESULT, m, threshold, distinct))
         if gated:
             # Questions that name labels see frames only when no track qualified.
             kind = W.partitionBy("query_id", "result_type").orderBy(F.desc("score"), "result_id")
@@ -184,9 +209,9 @@ def top_k(
 def all_candidates(queries: DataFrame, tracks: DataFrame, frames: DataFrame, threshold: float | None = None) -> DataFrame:
     """Complete candidate sets (query_id, score, result columns) under the frame fallback rule, without a cut."""
     low = -2.0 if threshold is None else threshold
-    found = scoring.score(track_rows(tracks), queries, RESULT, minimum=low)
+    found = scoring.score(_track_scan(tracks), queries, RESULT, minimum=low)
     scene = queries.filter(F.col("polygon").isNull()).drop("labels", "polygon", "colours")
-    seen = scoring.score(frame_rows(frames), scene, RESULT, minimum=low)
+    seen = scoring.score(_frame_scan(frames), scene, RESULT, minimum=low)
     named = queries.filter(F.col("labels").isNotNull()).select("query_id")
     answered = found.select("query_id").distinct().join(named, "query_id", "left_semi")
     return found.unionByName(seen.join(answered, "query_id", "left_anti"))
@@ -201,7 +226,7 @@ def _kept(queries: DataFrame) -> Column:
 
 def frame_baseline(queries: DataFrame, frames: DataFrame, k: int = 5) -> DataFrame:
     """Whole-frame baseline: frames only, no de-duplication."""
-    return _rank(scoring.score(frame_rows(frames), queries.drop("labels", "polygon", "colours"), RESULT, k), k)
+    return _rank(scoring.score(_frame_scan(frames), queries.drop("labels", "polygon", "colours"), RESULT, k), k)
 
 
 def rerank(results: DataFrame, judgements: DataFrame, k: int = 10) -> DataFrame:

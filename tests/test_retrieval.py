@@ -1,6 +1,7 @@
 """Search, re-identification, alerts and metrics against plain loops."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -159,3 +160,21 @@ def test_auc_and_ties(spark):
     got = {r.k: r.auc for r in evaluation.roc_auc(df, "k", "s", "p").collect()}
     assert got["k"] == pytest.approx(want) and got["none"] == 0.5
     assert {r.k: r.auc for r in evaluation.roc_auc(df, "k", "s", "p", 0.0).collect()}["none"] == 0.0
+
+
+def test_scan_is_pruned_to_what_the_questions_can_match(spark, tmp_path):
+    from camtrail.sources import index
+
+    tracks = spark.createDataFrame(make_tracks(200, 11), TRACKS)
+    index.write_tracks(tracks, str(tmp_path / "tracks"))
+    stored = spark.read.parquet(str(tmp_path / "tracks"))
+    base = int((START - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    q = spark.createDataFrame([(1, [1.0] + [0.0] * 7, "1", base, base + 600_000_000), (2, [1.0] + [0.0] * 7, "1", base, base + 900_000_000)],
+                              "query_id long, q_emb array<float>, camera_key string, start_us long, end_us long")
+    block = next(scoring.query_blocks(q))
+    scan = search.narrow(stored, "t_start", "t_end", block)
+    plan = scan._sc._jvm.PythonSQLUtils.explainString(scan._jdf.queryExecution(), "simple")
+    assert "PushedFilters: [IsNotNull(t_start), IsNotNull(t_end), LessThanOrEqual(t_start" in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*lower\(camera", plan)
+    got = {(r.query_id, r.result_id) for r in search.top_k(q, stored, k=500, dedup_s=None).collect()}
+    assert got == {(r.query_id, r.result_id) for r in search.top_k(q, tracks, k=500, dedup_s=None).collect()} and got
