@@ -64,12 +64,16 @@ def first_hits(judged: DataFrame) -> DataFrame:
 
 
 def retrieval_metrics(queries: DataFrame, hits: DataFrame, by: Sequence[str] = ("mode", "split")) -> DataFrame:
-    """MRR, recall@1, recall@5 and mean time error per group, with totals; questions without results count as misses."""
+    """MRR, recall@1, recall@5 and mean time error per group, with totals; questions without results count as misses.
+
+    ``hits`` belongs to the same mode of a question when both sides carry one.
+    """
+    on = [c for c in ("query_id", "mode") if c in hits.columns and c in queries.columns]
     rank = F.coalesce("hit_rank", F.lit(0))
     near = (rank >= 1) & (rank <= 5)
     one = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
     return (
-        queries.join(hits, "query_id", "left")
+        queries.join(hits, on, "left")
         .rollup(*by)
         .agg(
             F.count(F.lit(1)).alias("num_queries"),

@@ -525,6 +525,43 @@ def _(d):
     return evaluation.retrieval_metrics(splits(d), evaluation.first_hits(evaluation.judge_hits(batch(d), d.truth)))
 
 
+_FULL = greedy_sql(
+    f"SELECT q.query_id, r.result_id, r.result_type, r.camera, r.ts_us, r.label, round({dot('q.q_emb', 'r.emb')}, 4) AS score FROM search_questions q, {TC} r",
+    "query_id", "score DESC, result_type DESC, result_id", "k.camera = o.camera AND abs(k.ts_us - o.ts_us) <= 3000000",
+    "{'result_id': o.result_id, 'camera': o.camera, 'ts_us': o.ts_us, 'label': o.label, 'score': o.score}", K,
+)
+_FRAMES = f"""(SELECT * FROM (SELECT q.query_id, f.id AS result_id, f.camera, epoch_us(f.t_abs) AS ts_us, 'whole_frame' AS label, round({dot('q.q_emb', 'f.emb')}, 4) AS score,
+  row_number() OVER (PARTITION BY q.query_id ORDER BY round({dot('q.q_emb', 'f.emb')}, 4) DESC, f.id) AS rank FROM search_questions q, frames f) WHERE rank <= {K})"""
+
+
+@query(
+    "a11_retrieval_modes",
+    f"""{_FULL}, res AS MATERIALIZED (SELECT query_id, rank, r.result_id AS result_id, r.camera AS camera, r.ts_us AS ts_us, r.label AS label, r.score AS score
+      FROM (SELECT query_id, unnest(range(1, len(kept) + 1)) AS rank, unnest(kept) AS r FROM kept)),
+    hits AS (SELECT 'full' AS mode, * FROM {FIRST.replace(BATCH, 'res')} UNION ALL SELECT 'whole_frame', * FROM {FIRST.replace(BATCH, _FRAMES)} UNION ALL SELECT 'no_tracking', * FROM {FIRST}),
+    s AS (SELECT query_id, split, m.mode FROM {SPLITS}, (VALUES ('full'), ('whole_frame'), ('no_tracking')) m(mode))
+    SELECT s.mode, s.split, count(*) AS num_queries, round(avg(CASE WHEN hit_rank BETWEEN 1 AND 5 THEN 1.0::DOUBLE / hit_rank ELSE 0.0 END), 4) AS mrr,
+     round(avg(CASE WHEN hit_rank = 1 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS recall_1, round(avg(CASE WHEN hit_rank BETWEEN 1 AND 5 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS recall_5,
+     round(coalesce(avg(CASE WHEN hit_rank BETWEEN 1 AND 5 THEN time_error END), 0.0), 2) AS mean_time_error_s
+    FROM s LEFT JOIN hits f ON f.query_id = s.query_id AND f.mode = s.mode GROUP BY ROLLUP (s.mode, s.split)""",
+)
+def _(d):
+    """The same corpus with de-duplication, on whole frames only, and without de-duplication."""
+    q = d.search_questions.select("query_id", "q_emb")
+    plain = d.tracks.withColumn("colors", F.lit("{}"))
+    runs = {
+        "full": search.top_k(q, plain, d.frames, k=K, dedup_s=3.0, gated=False),
+        "whole_frame": search.frame_baseline(q, d.frames, K),
+        "no_tracking": batch(d),
+    }
+    hits = None
+    for mode, results in runs.items():
+        part = evaluation.first_hits(evaluation.judge_hits(results, d.truth)).withColumn("mode", F.lit(mode))
+        hits = part if hits is None else hits.unionByName(part)
+    modes = splits(d).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in runs])))
+    return evaluation.retrieval_metrics(modes, hits)
+
+
 @query(
     "a12_latency_stats",
     """SELECT event_type AS stage, round(quantile_cont(value, 0.5), 2) AS median, round(quantile_cont(value, 0.95), 2) AS p95, min(value) AS best, max(value) AS worst
