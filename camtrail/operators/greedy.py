@@ -32,7 +32,8 @@ def _fold(
     rank = [(-F.col(c) if desc else F.col(c)).alias(f"_k{i}") for i, (c, desc) in enumerate(order)]
     packed = F.struct(*rank, F.struct(*[F.col(c) for c in rest]).alias("row"))
     ordered = F.array_sort(F.collect_list(packed))
-    full = rows.groupBy(*keys).agg(F.transform(ordered, lambda s: s["row"]).alias("_rows"))
+    # Collecting never shrinks rows: shuffle them plain and collect once, after the exchange.
+    full = rows.repartition(*keys).groupBy(*keys).agg(F.transform(ordered, lambda s: s["row"]).alias("_rows"))
     kind = T.ArrayType(rows.select(F.struct(*rest).alias("r")).schema["r"].dataType)
 
     def step(kept: Column, row: Column) -> Column:
