@@ -125,7 +125,8 @@ def similar_pairs(
     and task, so neither a dense hour nor a hot camera lands in one task.
     """
     gap_us = int(round(max_gap_s * 1_000_000))
-    rows = tracks.select("id", "camera", micros(F.col("t_start")).alias("_us"), "emb")
+    rows = tracks.filter(F.col("emb").isNotNull() & F.col("t_start").isNotNull())
+    rows = rows.select("id", "camera", micros(F.col("t_start")).alias("_us"), "emb")
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("_us"), F.max("_us")).first()
     # A block must be wider than the gap, so that matches lie in the same or the next block.
     width = max(gap_us + 1, (high - low + 1) // max(1, -(-n // chunk_rows))) if n else gap_us + 1

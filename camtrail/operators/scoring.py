@@ -82,6 +82,7 @@ class QueryBlock:
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[QueryBlock]:
     """Read the queries block by block; the driver never holds more than about one block."""
+    queries = queries.filter(F.col("q_emb").isNotNull())
     n = queries.count()
     parts = max(1, -(-n // block))
     if parts > 1:
@@ -281,7 +282,7 @@ def score(
                           "result_id", "emb") if c in kinds]
     out = None
     for q in query_blocks(queries, block):
-        part = table(q).select(*dict.fromkeys([*needed, *payload])).mapInArrow(
+        part = table(q).select(*dict.fromkeys([*needed, *payload])).filter(F.col("emb").isNotNull()).mapInArrow(
             lambda batches, q=q: _scan(batches, q, best, minimum, distinct_times, cosine, raw, payload, arrow), schema
         )
         out = part if out is None else out.unionByName(part)

@@ -178,3 +178,34 @@ def test_scan_is_pruned_to_what_the_questions_can_match(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*lower\(camera", plan)
     got = {(r.query_id, r.result_id) for r in search.top_k(q, stored, k=500, dedup_s=None).collect()}
     assert got == {(r.query_id, r.result_id) for r in search.top_k(q, tracks, k=500, dedup_s=None).collect()} and got
+
+
+def test_empty_and_incomplete_inputs(spark):
+    none = spark.createDataFrame([], TRACKS)
+    q = spark.createDataFrame([(1, [1.0] + [0.0] * 7), (2, None)], "query_id long, q_emb array<float>")
+    assert search.top_k(q, none).count() == 0
+    assert reid.associations(none).count() == 0
+    row = list(make_tracks(1, 12)[0])
+    bare = spark.createDataFrame([tuple(row), ("nov", *row[1:13], None), ("not", *row[1:3], None, None, None, *row[6:])], TRACKS)
+    assert {r.result_id for r in search.top_k(q, bare, dedup_s=0.0).collect()} == {"t0000", "not"}
+    windowed = q.withColumn("start_us", F.lit(0).cast("long")).withColumn("end_us", F.lit(4_000_000_000_000_000).cast("long"))
+    assert {r.result_id for r in search.top_k(windowed, bare).collect()} == {"t0000"}
+    assert search.top_k(q.filter("query_id = 2"), bare).count() == 0
+
+
+def test_equal_scores_are_ordered_by_id(spark):
+    row = make_tracks(1, 13)[0]
+    rows = [(f"t{i}", *row[1:3], *[START + timedelta(seconds=60 * i)] * 3, *row[6:]) for i in range(30)]
+    q = spark.createDataFrame([(1, row[13])], "query_id long, q_emb array<float>")
+    tracks = spark.createDataFrame(rows, TRACKS).repartition(4)
+    got = [r.result_id for r in search.top_k(q, tracks, k=5).orderBy("rank").collect()]
+    assert got == sorted(f"t{i}" for i in range(30))[:5]
+
+
+def test_rerank_keeps_the_tail(spark):
+    results = spark.createDataFrame([(1, i, f"r{i}", s) for i, s in ((1, 0.9), (2, 0.8), (3, 0.7), (4, 0.6))],
+                                    "query_id long, rank int, result_id string, score double")
+    judged = spark.createDataFrame([(1, "r1", False, 0.9), (1, "r2", True, 1.0), (1, "r4", True, 1.0)],
+                                   "query_id long, result_id string, is_match boolean, conf double")
+    got = [(r.result_id, r.score) for r in search.rerank(results, judged, 3).orderBy("new_rank").collect()]
+    assert got == [("r2", 0.92), ("r3", 0.7), ("r1", 0.36), ("r4", 0.6)]
