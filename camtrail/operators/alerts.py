@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from camtrail.operators import scoring
-from camtrail.scale import broadcast_if_small
+from camtrail.scale import broadcast_if_small, cut_lineage
 
 DEFAULT_SCORE = 0.05
 
@@ -51,7 +51,7 @@ def evaluate(rules: DataFrame, tracks: DataFrame, fired: DataFrame | None = None
     pairs at or above the lowest threshold leave the scan, then each meets its
     own rule. ``fired`` (rule_id, track_id) removes pairs already stored.
     """
-    live = rules.filter("is_active")
+    live = cut_lineage(rules.filter("is_active"))  # read several times below
     lowest = live.agg(F.min("min_score")).first()[0]
     floor = 0.0 if lowest is None else float(lowest)
     probes = live.select(F.col("id").alias("query_id"), "q_emb", F.col("camera_filter").alias("camera_key"))

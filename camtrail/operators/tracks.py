@@ -29,7 +29,7 @@ def suppress_secondary(
     """
     keys = list(frame)
     p = primary.select(*keys, "x1", "y1", "x2", "y2").distinct()
-    sizes = p.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+    sizes = primary.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         secondary.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b"))
     ).groupBy(*keys).agg(F.sum("a").alias("_np"), F.sum("b").alias("_ns"))
     hot = cut_lineage(sizes.filter((F.col("_np") > max_frame) | (F.col("_ns") > max_frame)))
