@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from camtrail import ship
 from checks.views import Data, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,7 @@ def query(name: str, sql: str | None = None):
 
     def add(fn: Callable[[Data], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark, "checks")
             return fn(Data(spark, folder))
 
         run.__name__, run.__doc__ = name, fn.__doc__
