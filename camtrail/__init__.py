@@ -15,16 +15,17 @@ def ship(spark, *packages: str) -> None:
     link or embed import it there.
     """
     context = spark.sparkContext
-    if getattr(context, "_camtrail_shipped", False):
+    names = {"camtrail", *packages} - getattr(context, "_camtrail_shipped", set())
+    if not names:
         return
     root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="spark-ship-", dir="/tmp")) / "camtrail.zip"
+    archive = Path(tempfile.mkdtemp(prefix="spark-ship-", dir="/tmp")) / f"{'-'.join(sorted(names))}.zip"
     with zipfile.ZipFile(archive, "w") as out:
-        for name in ("camtrail", *packages):
+        for name in sorted(names):
             for path in sorted((root / name).rglob("*.py")):
                 out.write(path, path.relative_to(root))
     context.addPyFile(str(archive))
     # The worker that prepares stateful streaming on the driver gets no files, only the environment.
     before = context.environment.get("PYTHONPATH")
     context.environment["PYTHONPATH"] = os.pathsep.join([str(root), *([before] if before else [])])
-    context._camtrail_shipped = True
+    context._camtrail_shipped = getattr(context, "_camtrail_shipped", set()) | names
