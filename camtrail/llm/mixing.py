@@ -37,7 +37,7 @@ def targets(sized: DataFrame, source: str = "source", weights: Sequence[float] =
         "_open": F.sum("_w").over(order.rowsBetween(0, W.unboundedFollowing)),
         "_total": F.sum("source_size").over(whole) * float(share),
     }).withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_open"))
-    level = F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(whole)
+    level = F.max(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(whole)
     s = s.withColumn("_water", level)
     target = F.when(F.col("_water").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_water") * F.col("_w")))
     return s.select("mix_source", "source_size", target.alias("target"))
@@ -50,11 +50,11 @@ def plan_mix(
     """Every row of ``docs`` with size (words), source_size, target and copies: floor(rate), plus one if the row's draw is below the fraction.
 
     The draw comes from a hash of ``seed`` and doc_id alone (of the text where doc_id is null), so reruns and retried tasks agree; rows
-    with one doc_id share it. A null text has size 0 and is copied like any other row; a source without words has rate 0. Integer and fractional parts of a rate are
+    with one doc_id share it. Columns of ``docs`` named like a new one are replaced. A null text has size 0 and is copied like any other row; a source without words has rate 0. Integer and fractional parts of a rate are
     below ``cap`` + 1, so no document exceeds ``cap`` times its size when ``cap`` is whole. A source with any share of the rows costs one
     row per task in the sums; the targets, one row per source, are broadcast after they were counted.
     """
-    sized = _sized(docs, text)
+    sized = _sized(docs.drop("size", "source_size", "target", "copies"), text)
     goal = targets(sized, source, weights, share, cap)
     rows = sized.join(broadcast_if_small(goal), F.col(source).eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
     who = F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))
@@ -67,9 +67,11 @@ def plan_mix(
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as plan_mix says, with the columns of ``docs`` only."""
-    planned = plan_mix(docs, **options)
-    repeated = planned.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keys = [options.get(k, k) for k in ("source", "text", "doc_id")]
+    planned = plan_mix(docs.select(own, *[F.col(f"`{c}`") for c in keys]), **options)
+    repeated = planned.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return repeated.select("_row.*")
 
 
 def oracle(weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> str:
@@ -82,7 +84,7 @@ def oracle(weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float
     levels AS (SELECT *, (sum(source_size) OVER () * {float(share)}::DOUBLE
                - coalesce(sum(c) OVER (ORDER BY c / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                / sum(w) OVER (ORDER BY c / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) lv FROM weighed),
-    goal AS (SELECT source, source_size, least(c, coalesce(min(CASE WHEN lv <= c / w THEN lv END) OVER () * w, c)) target FROM levels),
+    goal AS (SELECT source, source_size, least(c, coalesce(max(CASE WHEN lv <= c / w THEN lv END) OVER () * w, c)) target FROM levels),
     rated AS (SELECT s.doc_id, s.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END rate,
               ('0x' || substr(md5('{seed}:' || coalesce(s.doc_id::VARCHAR, s.text, '')), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE draw
               FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)

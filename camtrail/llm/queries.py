@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from camtrail import ship
-from camtrail.llm import lines, mixing
+from camtrail.llm import ann, lines, mixing, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,18 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return add
 
 
+@query("op1_adaptive_scan", table="embeddings")
+def op1(rows: DataFrame) -> DataFrame:
+    """The 20 nearest found of every query row."""
+    return ann.nearest(rows)
+
+
+@query("op3_exact_top", table="embeddings")
+def op3(rows: DataFrame) -> DataFrame:
+    """The 20 highest integer products of every query row."""
+    return topk.exact_top(rows)
+
+
 @query("op4_line_dedup", sql=lines.oracle())
 def op4(docs: DataFrame) -> DataFrame:
     """Lines, removed lines and digest of what is left, per document; the source is the site."""
@@ -40,3 +52,11 @@ def op4(docs: DataFrame) -> DataFrame:
 def op9(docs: DataFrame) -> DataFrame:
     """Size, the source's size and target, and the words the mix takes, per document."""
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op7_shard_bytes")
+def op7(docs: DataFrame) -> DataFrame:
+    """Shards of near equal bytes; copies of a text stay together."""
+    return sharding.shard_documents(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
