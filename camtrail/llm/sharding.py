@@ -53,59 +53,50 @@ def difference(sums: np.ndarray) -> np.ndarray:
     return place
 
 
-def _spread_groups(groups: DataFrame, k: int, buckets: int) -> DataFrame:
-    """(gkey, size, node, part): within each bucket of groups."""
+def _parts(items: DataFrame, k: int, bucket) -> DataFrame:
+    """(item, size, bucket, part): each bucket of (item, size) differenced on its own."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "gkey"], ascending=[False, True], ignore_index=True)
+        pdf = pdf.sort_values(["size", "item"], ascending=[False, True], ignore_index=True)
         sums = np.zeros((len(pdf), k), np.int64)
         sums[:, 0] = pdf["size"]
-        return pdf[["gkey", "size", "node"]].assign(part=difference(sums)[:, 0])
+        return pdf.assign(part=difference(sums)[:, 0])
 
-    bucketed = groups.select("gkey", "size", F.pmod(F.xxhash64("gkey"), F.lit(buckets)).alias("node"))
-    return bucketed.groupBy("node").applyInPandas(solve, "gkey string, size long, node long, part int")
-
-
-def _spread_nodes(sums: DataFrame, k: int, buckets: int) -> DataFrame:
-    """(node, part, size, parent, parent_part) of partial partitions, ``buckets`` parents."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, row = np.unique(pdf["node"].to_numpy(), return_inverse=True)
-        table = np.zeros((len(ids), k), np.int64)
-        table[row, pdf["part"]] = pdf["size"]
-        place = difference(table)
-        return pd.DataFrame({
-            "node": np.repeat(ids, k), "part": np.tile(np.arange(k), len(ids)), "size": table.ravel(),
-            "parent": pdf["parent"].iloc[0], "parent_part": place.ravel(),
-        })
-
-    grouped = sums.withColumn("parent", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(buckets)))
-    return grouped.groupBy("parent").applyInPandas(solve, "node long, part int, size long, parent long, parent_part int")
+    bucketed = items.select("item", "size", bucket.cast("long").alias("bucket"))
+    return bucketed.groupBy("bucket").applyInPandas(solve, "item string, size long, bucket long, part int")
 
 
 def balance(groups: DataFrame, k: int = SHARDS, nodes: int = NODES) -> DataFrame:
     """(gkey, shard) for ``groups`` (gkey string, size long), sums of sizes as near equal as differencing makes them.
 
-    Groups are differenced in buckets of about ``nodes``; each bucket leaves one partial partition of ``k`` sums, and those are differenced
-    again, level by level, until one is left. No task holds more than about ``nodes`` partial partitions and nothing passes through the driver but counts.
+    Up to ``nodes`` groups are differenced at once. More are first differenced in buckets by hash, whose parts become the items of the next level, until
+    about ``nodes`` are left. A group above 1/``nodes`` of all bytes (there are fewer than ``nodes``) waits for the last level, where the parts even it out.
+    No task holds many more than 2 * ``nodes`` items, and only counts pass through the driver.
     """
-    n = groups.count()
-    if n == 0:
-        return groups.select("gkey", F.lit(0).alias("shard"))
-    buckets = -(-n // nodes)
-    held = cut_lineage(_spread_groups(groups, k, buckets))
-    out = held.select("gkey", "node", "part")
-    sums = held.groupBy("node", "part").agg(F.sum("size").alias("size"))
+    n, total = groups.agg(F.count(F.lit(1)), F.sum("size")).first()
+    items = groups.select(F.col("gkey").alias("item"), "size")
+    if n <= nodes:
+        return _parts(items, k, F.lit(0)).select(F.col("item").alias("gkey"), F.col("part").alias("shard"))
+    large = F.col("size") > total // nodes
+    waiting, items, steps, level = items.filter(large), items.filter(~large), [], 0
     while True:
-        parents = -(-buckets // nodes)
-        step = cut_lineage(_spread_nodes(sums, k, parents))
-        out = out.join(broadcast_if_small(step.select("node", "part", "parent", "parent_part")), ["node", "part"]).select(
-            "gkey", F.col("parent").alias("node"), F.col("parent_part").alias("part")
+        buckets = max(-(-n // nodes), max(1, nodes // k))
+        step = cut_lineage(
+            _parts(items, k, F.pmod(F.xxhash64("item", F.lit(level)), F.lit(buckets))).select(
+                "item", "size", F.concat_ws(":", F.lit(f"b{level}"), "bucket", "part").alias("into")
+            )
         )
-        if parents == 1:
-            return out.select("gkey", F.col("part").alias("shard"))
-        sums = step.groupBy(F.col("parent").alias("node"), F.col("parent_part").alias("part")).agg(F.sum("size").alias("size"))
-        buckets = parents
+        steps.append(step.select("item", "into"))
+        items = step.groupBy(F.col("into").alias("item")).agg(F.sum("size").alias("size"))
+        if buckets == max(1, nodes // k):
+            break
+        n, level = buckets * k, level + 1
+    out = _parts(items.unionByName(waiting), k, F.lit(0)).select("item", F.col("part").alias("shard"))
+    out = cut_lineage(out)
+    done = out.join(waiting.select("item"), "item", "left_semi").select(F.col("item").alias("gkey"), "shard")
+    for step in reversed(steps):
+        out = step.join(broadcast_if_small(out.withColumnRenamed("item", "into")), "into").select("item", "shard")
+    return out.select(F.col("item").alias("gkey"), "shard").unionByName(done)
 
 
 def shard_documents(
