@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from camtrail import ship
-from camtrail.llm import ann, lines, mixing, sharding, topk
+from camtrail.llm import ann, lines, mixing, packing, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,12 @@ def op4(docs: DataFrame) -> DataFrame:
     return lines.drop_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+@query("op8_pattern_packing")
+def op8(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents with their sequence and place."""
+    return packing.pack_documents(docs)
+
+
 @query("op9_mix_sources", sql=mixing.oracle())
 def op9(docs: DataFrame) -> DataFrame:
     """Size, the source's size and target, and the words the mix takes, per document."""
