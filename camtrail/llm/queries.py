@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from camtrail import ship
-from camtrail.llm import ann, lines, mixing, packing, sharding, topk
+from camtrail.llm import ann, langid, lines, mixing, packing, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,12 @@ def op9(docs: DataFrame) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op6_string_kernel_language")
+def op6(docs: DataFrame) -> DataFrame:
+    """Language of every document and how sure it is."""
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op7_shard_bytes")
 def op7(docs: DataFrame) -> DataFrame:
     """Shards of near equal bytes; copies of a text stay together."""
