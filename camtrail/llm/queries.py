@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from camtrail import ship
-from camtrail.llm import ann, langid, lines, mixing, packing, sharding, topk
+from camtrail.llm import ann, langid, lines, minhash, mixing, packing, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op1(rows: DataFrame) -> DataFrame:
     return ann.nearest(rows)
 
 
+@query("op2_signature_join")
+def op2(docs: DataFrame) -> DataFrame:
+    """Set size, component and survivor of every document; shingles of 4 words."""
+    return minhash.near_duplicates(docs, words=4)
+
+
 @query("op3_exact_top", table="embeddings")
 def op3(rows: DataFrame) -> DataFrame:
     """The 20 highest integer products of every query row."""
