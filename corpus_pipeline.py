@@ -1,10 +1,77 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's documents.
+
+All stages but the last return the columns of documents. Each works on every row its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from camtrail import ship
+from camtrail.llm import langid, lines, minhash, mixing, packing
+from camtrail.scale import broadcast_if_small, shared_folder
+
+# A document is rejected if it has nothing to read, or if no language stands out; with four languages an even guess scores 0.25.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters and those whose best language scores below LEAST_SCORE."""
+    ship(spark)
+    known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    return langid.identify(docs).filter(known).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take the boilerplate lines of each source out of the texts; n_chars follows. No document is dropped."""
+    ship(spark)
+    return lines.drop_boilerplate(docs).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate component (5 words, 80 %), the one with the smallest doc_id.
+
+    Rows without a doc_id are known by their text's hash below all ids, so a copy that has an id gives way to them. Rows that repeat both id and text leave one.
+    """
+    ship(spark)
+    body = F.col("text").cast("binary")
+    node = F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 62))
+    named = docs.withColumn("_node", node)
+    found = minhash.near_duplicates(named, doc_id="_node")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_node")).distinct()
+    kept = named.join(broadcast_if_small(gone), "_node", "left_anti")
+    if not named.groupBy("_node").count().filter("count > 1").isEmpty():
+        first = F.row_number().over(W.partitionBy("_node", F.md5(body)).orderBy("source", "lang", "n_chars"))
+        kept = kept.withColumn("_first", first).filter("_first = 1")
+    return kept.select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate and its draw say."""
+    return mixing.mix_sources(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences of 2048 tokens."""
+    ship(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
+
+# Language identification and tokenization have no SQL form; tests/llm/test_pipeline_llm.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to the documents of ``sf_dir``; results between stages go to the folder that all executors share."""
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs
