@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from camtrail import ship
-from camtrail.llm import ann, langid, lines, minhash, mixing, packing, sharding, topk
+from camtrail.llm import ann, langid, lines, minhash, mixing, packing, sharding, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op7(docs: DataFrame) -> DataFrame:
     return sharding.shard_documents(docs).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op10_range_coded_files")
+def op10(docs: DataFrame) -> DataFrame:
+    """Place, size and checksum of every document's ids, from files written and read back."""
+    return tokenfile.round_trip(docs)

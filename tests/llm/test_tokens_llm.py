@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from camtrail.llm import packing, tokens
+from camtrail.llm import packing, rangecoder, tokenfile, tokens
 
 ODD = ["a", "é", " ", " ", "\n", ".", ",", "'s", "1", "!", "\t", "ß", "字", " ", "<|endoftext|>", "The", "-", "\r\n", "don't", "…", "<|", "\x1c", "​", "word"]
 SCHEMA = "doc_id long, text string, piece string, length string"
@@ -64,3 +64,42 @@ def test_packing_whole_documents(spark, monkeypatch):
     for _, s in out.sort_values("offset").groupby("sequence_id"):
         assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and s["length"].sum() <= 2048
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4095, 4096, 4097, 20_000])
+def test_range_coder_round_trip(n):
+    rng = np.random.default_rng(n)
+    for ids in (rng.integers(0, 50257, n), rng.zipf(1.3, n) % 50257, np.full(n, 7), np.tile(np.arange(50), n)[:n], rng.integers(0, 1 << 32, n, dtype=np.uint64)):
+        ids = ids.astype(np.uint32)
+        (back,) = rangecoder.decode([rangecoder.encode(ids)])
+        assert (back == ids).all() and len(back) == n
+    a, b = np.arange(5000, dtype=np.uint32), np.full(9, 3, np.uint32)
+    assert [x.tolist() for x in rangecoder.decode([rangecoder.encode(x) for x in (a, b[:0], b)])] == [a.tolist(), [], b.tolist()]
+
+
+def test_range_coder_compresses_and_finds_damage():
+    text = "the cat and the dog went to the house and the cat went to the dog " * 400
+    ids = np.array(whole(text), np.uint32)
+    coded = rangecoder.encode(ids)
+    assert len(coded) < len(ids) / 4
+    for at in (len(coded) - 9, 40):
+        broken = bytearray(coded)
+        broken[at] ^= 0x55
+        with pytest.raises(ValueError):
+            rangecoder.decode([bytes(broken)])
+    with pytest.raises(ValueError):
+        rangecoder.decode([b"no such file"])
+
+
+def test_token_files_round_trip(spark):
+    rows = docs()
+    for options in ({}, {"row_ids": 3000, "range_bytes": 60_000}):
+        got = tokenfile.round_trip(spark.createDataFrame(rows, SCHEMA).repartition(4), **options).collect()
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+        want, start = [], 0
+        for r in order:
+            ids = np.array([*whole(r[1]), 2], "<u4")
+            want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+        assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+    assert tokenfile.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
