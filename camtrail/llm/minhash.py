@@ -40,7 +40,9 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingles of each text: A-Z lower-cased, words between ASCII white space, the whole sequence where there are fewer words."""
     import xxhash
 
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # A copy without an offset: ascii_lower misreads a slice of large strings.
+    texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = split.flatten().dictionary_encode()
     names = coded.dictionary.to_pylist()
     code = np.array([xxhash.xxh3_64_intdigest(n) for n in names], np.uint64)

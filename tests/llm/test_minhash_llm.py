@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from camtrail.llm import minhash
@@ -64,6 +65,14 @@ def test_components_against_all_pairs(spark, words, postings):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, words)
 
 
+def test_sets_of_a_slice_are_those_of_the_rows():
+    texts = pa.array([f"Word{i} ÉTÉ x{i} b c d{i % 3}" for i in range(900)])
+    whole = minhash.shingle_sets(texts, 4)
+    part = minhash.shingle_sets(texts.slice(500, 200), 4)
+    assert all((a == b).all() for a, b in zip(whole[500:700], part, strict=True))
+    assert minhash.signatures(whole)[:, 0].tolist() == [int(x) for s in whole for x in [minhash.signatures([s])[0, 0]]]
+
+
 def test_empty_tables(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     only = minhash.near_duplicates(spark.createDataFrame([(1, None, None, 0)], SCHEMA)).collect()
