@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from camtrail import ship
-from camtrail.llm import ann, langid, lines, minhash, mixing, packing, sharding, tokenfile, topk
+from camtrail.llm import ann, langid, lines, minhash, mixing, packing, sharding, suffix, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,12 @@ def op9(docs: DataFrame) -> DataFrame:
     return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op5_merged_transforms")
+def op5(docs: DataFrame) -> DataFrame:
+    """Bytes removed from every document and the digest of what stays."""
+    return suffix.drop_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_string_kernel_language")
 def op6(docs: DataFrame) -> DataFrame:
     """Language of every document and how sure it is."""
