@@ -71,21 +71,25 @@ def blocks(frames, text: str):
             at = end
 
 
-def fit(bits: np.ndarray, labels: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """Languages, and weights (slots, languages) of the decision values.
+def _spread(packed: np.ndarray) -> np.ndarray:
+    return blended(np.unpackbits(packed, axis=1)[:, : sum(ORDERS.values())])
+
+
+def fit(packed: np.ndarray, labels: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """Languages, and weights (slots and a constant, languages) of the decision values, from rows of packed presence bits.
 
     The landmarks are taken in turn from the languages; K(x, L) K(L, L)^(-1/2) are the Nystroem features, on which one ridge regression per language
     (+1 for it, -1 for the rest) is solved. As the kernel is an inner product of blended(), its product with the landmarks and the coefficients are folded into one matrix.
     """
     names = sorted(set(labels))
-    x = blended(bits)
     turns = np.concatenate([np.arange((labels == v).sum()) for v in names])
     chosen = np.concatenate([np.flatnonzero(labels == v) for v in names])[np.argsort(turns, kind="stable")][:landmarks]
-    marks = x[chosen]
+    marks = _spread(packed[chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    phi = np.c_[(x @ marks.T) @ whiten, np.ones(len(x))]
+    near = np.concatenate([_spread(packed[at : at + 256]) @ marks.T for at in range(0, len(packed), 256)])
+    phi = np.c_[near @ whiten, np.ones(len(near))]
     y = np.where(labels[:, None] == np.array(names)[None], 1.0, -1.0)
     # Each language weighs the same however many rows it has.
     weight = np.array([1 / (labels == v).sum() for v in labels])[:, None]
@@ -122,7 +126,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return [], np.zeros((0, 0), np.float32)
     found = found.sort_values(["lang", "id"], ignore_index=True)
     table = np.frombuffer(b"".join(found["bits"]), np.uint8).reshape(len(found), -1)
-    return fit(np.unpackbits(table, axis=1)[:, : sum(ORDERS.values())], found["lang"].to_numpy())
+    return fit(table, found["lang"].to_numpy())
 
 
 def identify(
