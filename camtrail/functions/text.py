@@ -150,8 +150,8 @@ def alias_name(name: Column) -> Column:
 
 
 def camera_key(camera: Column) -> Column:
-    """Camera name for comparison: lower case, the cam_ prefix does not matter."""
-    return F.replace(F.lower(camera), F.lit("cam_"), F.lit(""))
+    """Camera name for comparison: lower case, a leading cam_ does not matter."""
+    return F.regexp_replace(F.lower(camera), "^cam_", "")
 
 
 def object_group(label: Column) -> Column:

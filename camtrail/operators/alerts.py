@@ -11,9 +11,10 @@ DEFAULT_SCORE = 0.05
 
 
 def create_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
-    """Append rules (rule_name, query_text, q_emb, camera_filter, min_score, created_at); ids from name and text."""
+    """Append rules (rule_name, query_text, q_emb, camera_filter, min_score, created_at); the id is a hash of name, text, camera and threshold."""
+    named = F.to_json(F.struct("rule_name", "query_text", "camera_filter", F.coalesce("min_score", F.lit(DEFAULT_SCORE)).alias("min_score")))
     made = new.select(
-        F.concat(F.lit("rule_"), F.substring(F.sha2(F.concat_ws("|", "rule_name", "query_text", "camera_filter"), 256), 1, 8)).alias("id"),
+        F.concat(F.lit("rule_"), F.sha2(named, 256)).alias("id"),
         "rule_name",
         "query_text",
         "q_emb",
@@ -40,8 +41,9 @@ def delete_rules(rules: DataFrame, events: DataFrame, gone: DataFrame) -> tuple[
 
 def event_id(rule: Column, track: Column) -> Column:
     """The same rule and track always give the same event, so a repeated batch adds nothing."""
-    key = F.concat_ws("|", rule.cast("string"), track.cast("string"))
-    return F.concat(F.lit("evt_"), F.substring(F.sha2(key, 256), 1, 16))
+    rule, track = rule.cast("string"), track.cast("string")
+    key = F.concat_ws("|", F.length(rule), rule, track)  # the length keeps ("a|b", "c") and ("a", "b|c") apart
+    return F.concat(F.lit("evt_"), F.sha2(key, 256))
 
 
 def evaluate(rules: DataFrame, tracks: DataFrame, fired: DataFrame | None = None) -> DataFrame:

@@ -14,11 +14,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from camtrail.functions import boxes
-from camtrail.scale import broadcast_if_small, cut_lineage, floor_div, split_hot
+from camtrail.scale import broadcast_if_small, cut_lineage, floor_div, join_same, split_hot
 
 MAX_GROUP = 2_000
 
 
+def ranks(rows: DataFrame, order: Sequence[tuple[str, bool]]) -> list[Column]:
+    """Struct fields that sort as ``order`` does in a window: a descending column from NaN down, nulls last."""
+    out = []
+    for i, (c, desc) in enumerate(order):
+        if desc:
+            out.append(F.col(c).isNull().alias(f"_n{i}"))
+            if rows.schema[c].dataType.typeName() in ("double", "float"):
+                out.append((~F.isnan(c)).alias(f"_f{i}"))
+        out.append((-F.col(c) if desc else F.col(c)).alias(f"_k{i}"))
+    return out
+
+
 def _fold(
     rows: DataFrame,
     group: Sequence[str],
@@ -29,8 +41,7 @@ def _fold(
     """Greedy pass inside each group. ``order``: (numeric column, descending?) pairs, then ties by the rest."""
     keys = list(group)
     rest = [c for c in rows.columns if c not in keys]
-    rank = [(-F.col(c) if desc else F.col(c)).alias(f"_k{i}") for i, (c, desc) in enumerate(order)]
-    packed = F.struct(*rank, F.struct(*[F.col(c) for c in rest]).alias("row"))
+    packed = F.struct(*ranks(rows, order), F.struct(*[F.col(c) for c in rest]).alias("row"))
     ordered = F.array_sort(F.collect_list(packed))
     # Collecting never shrinks rows: shuffle them plain and collect once, after the exchange.
     full = rows.repartition(*keys).groupBy(*keys).agg(F.transform(ordered, lambda s: s["row"]).alias("_rows"))
@@ -93,8 +104,8 @@ def keep_greedily(
         result = result.unionByName(kept)
         fields = [c for c in rows.columns if c not in keys]
         packed = kept.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_kept"))
-        left = left.join(head.select(*keys, tie), [*keys, tie], "left_anti")
-        left = left.join(broadcast_if_small(packed, 1_000), keys, "left")
+        left = join_same(left, head.select(*keys, tie), [*keys, tie], "left_anti")
+        left = join_same(left, broadcast_if_small(packed, 1_000), keys, "left")
         row = F.struct(*[F.col(c) for c in fields])
         left = left.filter(~F.coalesce(F.exists("_kept", lambda k: conflict(k, row)), F.lit(False))).drop("_kept")
         left = cut_lineage(left)
@@ -149,8 +160,7 @@ def thin_in_time(
         return result
 
     width = span + 1  # closed window: two rows of one cell always clash
-    rank = F.struct(*[(-F.col(c) if desc else F.col(c)).alias(f"o{i}") for i, (c, desc) in enumerate(order)],
-                    F.col(tie).alias("tie"))
+    rank = F.struct(*ranks(rows, order), F.col(tie).alias("tie"))
     left = cut_lineage(hot.withColumn("_cell", floor_div(F.col(time_us), width)).withColumn("_rank", rank))
     while not left.isEmpty():
         best = left.groupBy(*keys, "_cell").agg(
@@ -161,14 +171,14 @@ def thin_in_time(
         )
         rival = near.groupBy(*keys, "_cell").agg(F.min("_rank").alias("_rival"))
         kept = cut_lineage(
-            best.join(rival, [*keys, "_cell"]).filter(F.col("_rank") == F.col("_rival")).drop("_rival")
+            join_same(best, rival, [*keys, "_cell"]).filter(F.col("_rank") == F.col("_rival")).drop("_rival")
         )
         reach = kept.select(
             *keys, F.col("_rank").alias("_best"), F.col("_at").alias("_kept_at"),
             F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell"),
         )
         reach = reach.groupBy(*keys, "_cell").agg(F.collect_list(F.struct("_best", "_kept_at")).alias("_near"))
-        seen = cut_lineage(left.join(reach, [*keys, "_cell"], "left"))
+        seen = cut_lineage(join_same(left, reach, [*keys, "_cell"], "left"))
         chosen = F.exists("_near", lambda n: n["_best"] == F.col("_rank"))
         gone = F.exists("_near", lambda n: F.abs(n["_kept_at"] - F.col(time_us)) <= span)
         result = result.unionByName(seen.filter(chosen).select(*rows.columns))
@@ -199,19 +209,19 @@ def match_one_to_one(
     result = _fold(moved, keys, [(score, True)], clash).select(*pairs.columns)
     if hot is None:
         return result
-    rank = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
+    rank = F.struct(*ranks(pairs, [(score, True)]), F.col(left).alias("l"), F.col(right).alias("r"))
     rest = cut_lineage(hot.withColumn("_rank", rank))
     while not rest.isEmpty():
         by_left = rest.groupBy(*keys, left).agg(F.min("_rank").alias("_bl"))
         by_right = rest.groupBy(*keys, right).agg(F.min("_rank").alias("_br"))
-        judged = rest.join(by_left, [*keys, left]).join(by_right, [*keys, right])
+        judged = join_same(join_same(rest, by_left, [*keys, left]), by_right, [*keys, right])
         taken = cut_lineage(
             judged.filter((F.col("_rank") == F.col("_bl")) & (F.col("_rank") == F.col("_br"))).drop("_bl", "_br")
         )
         result = result.unionByName(taken.select(*pairs.columns))
         rest = cut_lineage(
-            rest.join(taken.select(*keys, left), [*keys, left], "left_anti").join(
-                taken.select(*keys, right), [*keys, right], "left_anti"
+            join_same(
+                join_same(rest, taken.select(*keys, left), [*keys, left], "left_anti"), taken.select(*keys, right), [*keys, right], "left_anti"
             )
         )
     return result
@@ -241,7 +251,7 @@ def sample_by_interval(
     parts = F.ceil(F.col("_n") / chunk_rows)
     span = F.greatest(F.ceil((F.col("_t1") - F.col("_t0") + 1) / parts), F.lit(2 * step)).cast("long")
     size = cut_lineage(size.select(*keys, F.col("_t0"), span.alias("_span"), parts.alias("_parts")))
-    rows = frames.join(broadcast_if_small(size), keys)
+    rows = join_same(frames, broadcast_if_small(size), keys)
     offset = F.col(time_us) - F.col("_t0")
     rows = rows.withColumn("_chunk", ((offset - F.pmod(offset, F.col("_span"))) / F.col("_span")).cast("long"))
     times = cut_lineage(rows.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_set(time_us)).alias("_ts")))
@@ -263,8 +273,8 @@ def sample_by_interval(
             yield pd.DataFrame(out, columns=[*keys, "_chunk", "entry", "leave"])
 
     # One summary row per possible entry of a chunk: first kept frame, earliest time the next may come.
-    one_chunk = times.join(broadcast_if_small(size.filter(F.col("_parts") <= 1).select(*keys)), keys, "left_semi")
-    many = times.join(broadcast_if_small(size.filter(F.col("_parts") > 1).select(*keys)), keys, "left_semi")
+    one_chunk = join_same(times, broadcast_if_small(size.filter(F.col("_parts") <= 1).select(*keys)), keys, "left_semi")
+    many = join_same(times, broadcast_if_small(size.filter(F.col("_parts") > 1).select(*keys)), keys, "left_semi")
     starts = one_chunk.select(*keys, "_chunk", "_ts", F.try_element_at("_ts", F.lit(1)).alias("entry"))
     starts = starts.unionByName(_walk_chunks(many, keys, summarise, key_type))
 
@@ -280,7 +290,7 @@ def sample_by_interval(
             yield pd.DataFrame(out, columns=[*keys, time_us])
 
     chosen = starts.mapInPandas(keep, f"{key_type}, {time_us} bigint")
-    kept = frames.join(chosen, [*keys, time_us], "left_semi")
+    kept = join_same(frames, chosen, [*keys, time_us], "left_semi")
     rest = [c for c in frames.columns if c not in (*keys, time_us)]
     kept = kept.groupBy(*keys, time_us).agg(F.min_by(F.struct(*rest), F.col(tie)).alias("_r"))
     return kept.select(*keys, time_us, "_r.*").select(*frames.columns)
@@ -298,11 +308,11 @@ def _walk_chunks(times: DataFrame, keys: list[str], summarise, key_type: str) ->
     chunks = base.select(*keys, "_chunk", F.try_element_at("_ts", F.lit(-1)).alias("_end")).select(
         *keys, "_chunk", F.lead("_chunk").over(order).alias("_c1"), F.lead("_chunk", 2).over(order).alias("_c2")
     )
-    here = nodes.join(chunks, [*keys, "_chunk"])
+    here = join_same(nodes, chunks, [*keys, "_chunk"])
     ahead = nodes.select(*keys, F.col("_chunk").alias("_to"), F.col("entry").alias("_next"))
     reach = here.withColumn("_to", F.explode(F.array_compact(F.array("_c1", "_c2"))))
     link = (
-        reach.join(ahead, [*keys, "_to"])
+        join_same(reach, ahead, [*keys, "_to"])
         .filter(F.col("_next") >= F.col("leave"))
         .groupBy(*keys, "entry")
         .agg(F.min("_next").alias("_next"))
@@ -313,8 +323,8 @@ def _walk_chunks(times: DataFrame, keys: list[str], summarise, key_type: str) ->
     # Walk backwards: a node is taken when the chain of some timeline start passes through it.
     taken = _reachable(cut_lineage(link.select(node.alias("n"), after.alias("m"))), first.select(node.alias("n")))
     taken = taken.select(*[F.col(f"n.{c}").alias(c) for c in keys], F.col("n.at").alias("entry"))
-    hit = nodes.select(*keys, "_chunk", "entry").join(taken, [*keys, "entry"], "left_semi")
-    return base.join(hit, [*keys, "_chunk"]).select(*keys, "_chunk", "_ts", "entry")
+    hit = join_same(nodes.select(*keys, "_chunk", "entry"), taken, [*keys, "entry"], "left_semi")
+    return join_same(base, hit, [*keys, "_chunk"]).select(*keys, "_chunk", "_ts", "entry")
 
 
 def _reachable(links: DataFrame, start: DataFrame) -> DataFrame:

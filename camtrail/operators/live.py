@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from camtrail.scale import (
-    broadcast_if_small, carry_forward, cut_lineage, floor_div, micros, previous_in_time, running_counts, seconds,
+    broadcast_if_small, carry_forward, cut_lineage, floor_div, join_same, micros, previous_in_time, running_counts, seconds,
 )
 
 
@@ -83,7 +83,7 @@ def reconnect_summary(gaps: DataFrame, keep: int = 10) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("us", "gap_s"))), lambda g: g["gap_s"]).alias("last_gaps")
     )
     counts = gaps.groupBy("camera").agg(F.count(F.lit(1)).alias("reconnects"))
-    return counts.join(shown, "camera")
+    return join_same(counts, shown, ["camera"])
 
 
 def recording_sessions(frames: DataFrame, gap_s: float = 4.0) -> DataFrame:
@@ -101,8 +101,9 @@ def recording_sessions(frames: DataFrame, gap_s: float = 4.0) -> DataFrame:
     numbered = cut_lineage(numbered.select("camera", (F.col("before_one") + 1).alias("recording"), "start_us", "prev_us"))
     ends = numbered.select("camera", (F.col("recording") - 1).alias("recording"), F.col("prev_us").alias("end_us"))
     last = frames.groupBy("camera").agg(F.max(micros(F.col("recv_ts"))).alias("_last"))
+    whole = join_same(numbered.drop("prev_us"), ends, ["camera", "recording"], "left")
     return (
-        numbered.drop("prev_us").join(ends, ["camera", "recording"], "left").join(broadcast_if_small(last), "camera")
+        join_same(whole, broadcast_if_small(last), ["camera"])
         .select("camera", "recording", "start_us", F.coalesce("end_us", "_last").alias("end_us"))
     )
 
@@ -198,7 +199,7 @@ def link_boxes(boxes: DataFrame, threshold: float = 0.25, expiry_s: float = 5.0,
     fresh = F.col("prev_us").isNull() | (F.col("us") - F.col("prev_us") > expiry)
     linked = linked.withColumn("_start", F.when(fresh, F.col("us"))).drop("prev_us")
     stretches = carry_forward(linked, keys, "us", "_start", "stretch").drop("_start")
-    rows = boxes.join(stretches, [*keys, "us"]).select(*keys, "stretch", "us", tie, "x1", "y1", "x2", "y2")
+    rows = join_same(boxes, stretches, [*keys, "us"]).select(*keys, "stretch", "us", tie, "x1", "y1", "x2", "y2")
     rows = rows.repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", "us", tie)
     names = [*keys, "stretch", "us", tie]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -111,14 +111,13 @@ def partial_similarity(a: str, b: str) -> float:
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
-    n, m = len(short), len(long)
-    best = 0.0
-    for i in range(1 - n, m):
-        window = long[max(0, i) : i + n]
-        best = max(best, similarity(short, window))
-    if n == m:
-        return max(best, similarity(short, long))
-    return best
+    n = len(short)
+
+    def slide(part: str, over: str) -> float:
+        return max(similarity(part, over[max(0, i) : i + n]) for i in range(1 - n, len(over)))
+
+    # Of two equally long texts either may be the window.
+    return max(slide(short, long), slide(long, short)) if n == len(long) else slide(short, long)
 
 
 def match_spoken_cameras(phrases: DataFrame, cameras: Sequence[str], column: str = "phrase", threshold: float = 65.0) -> DataFrame:

@@ -14,7 +14,7 @@ RESULT = ["result_id", "result_type", "camera", "ts_us", "offset_s", "label", "c
 def camera_is(column: str, camera: str) -> Column:
     """Camera filter for a fixed name, case-insensitive, with or without cam_."""
     low = camera.lower()
-    bare = low.replace("cam_", "")
+    bare = low.removeprefix("cam_")
     return F.lower(F.col(column)).isin(sorted({low, bare, f"cam_{bare}"}))
 
 

@@ -42,6 +42,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys`` where two nulls are equal too, so rows without a camera or video are a group like any other."""
+    theirs = right.select(*[F.col(c).alias(f"_same_{c}" if c in keys else c) for c in right.columns])
+    test = F.lit(True)
+    for c in keys:
+        test = test & left[c].eqNullSafe(theirs[f"_same_{c}"])
+    return left.join(theirs, test, how).drop(*[f"_same_{c}" for c in keys])
+
+
 def hot_groups(df: DataFrame, group: Sequence[str], limit: int) -> DataFrame:
     """Groups with more than ``limit`` rows; a map-side combined count on the key columns only."""
     return df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
@@ -53,8 +62,7 @@ def split_hot(df: DataFrame, group: Sequence[str], limit: int) -> tuple[DataFram
     if hot.isEmpty():
         return df, None
     hot = broadcast_if_small(hot)
-    keys = list(group)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    return join_same(df, hot, group, "left_anti"), join_same(df, hot, group, "left_semi")
 
 
 def micros(ts: Column) -> Column:
@@ -101,8 +109,7 @@ def previous_in_time(
     carry = last.withColumn("_carry", F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk")))
     inside = F.lag(value).over(W.partitionBy(*keys, "_chunk").orderBy(*order))
     return (
-        rows.withColumn("_inside", inside)
-        .join(carry.select(*keys, "_chunk", "_carry"), [*keys, "_chunk"])
+        join_same(rows.withColumn("_inside", inside), carry.select(*keys, "_chunk", "_carry"), [*keys, "_chunk"])
         .withColumn(out, F.coalesce("_inside", "_carry"))
         .drop("_chunk", "_inside", "_carry")
     )
@@ -121,8 +128,7 @@ def carry_forward(
     carry = last.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     upto = W.partitionBy(*keys, "_chunk").orderBy(time_us).rangeBetween(W.unboundedPreceding, 0)
     return (
-        rows.withColumn("_inside", F.last(value, ignorenulls=True).over(upto))
-        .join(carry, [*keys, "_chunk"])
+        join_same(rows.withColumn("_inside", F.last(value, ignorenulls=True).over(upto)), carry, [*keys, "_chunk"])
         .withColumn(out, F.coalesce("_inside", "_carry"))
         .drop("_chunk", "_inside", "_carry")
     )
@@ -144,7 +150,7 @@ def running_counts(df: DataFrame, key: Sequence[str], order: str, sums: Sequence
         *keys, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums]
     )
     inside = W.partitionBy(*keys, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = parts.join(offsets, [*keys, "_range"])
+    out = join_same(parts, offsets, [*keys, "_range"])
     for c in sums:
         out = out.withColumn(f"before_{c}", F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_o_{c}"))
     return out.drop("_range", *[f"_o_{c}" for c in sums])

@@ -11,9 +11,12 @@ from camtrail.operators import alerts
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None where nothing was written yet; any other trouble is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -59,7 +62,7 @@ def alert_events(rules_path: str, events_path: str) -> Callable[[DataFrame, int]
         rules = spark.read.parquet(rules_path)
         stored = read_or_none(spark, events_path)
         fired = None if stored is None else stored.filter(F.col("batch") != batch_id)
-        _write_batch(alerts.evaluate(rules, batch, fired).dropDuplicates(["event_id"]), events_path, batch_id)
+        _write_batch(alerts.evaluate(rules, batch, fired).dropDuplicates(["rule_id", "track_id"]), events_path, batch_id)
 
     return write
 

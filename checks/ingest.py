@@ -131,8 +131,8 @@ def _(d):
     "s10_integrity_check",
     f"""SELECT 'track_video' AS kind, id, video AS missing FROM tracks WHERE video NOT IN (SELECT path FROM videos)
     UNION ALL SELECT 'frame_video', id, video FROM frames WHERE video NOT IN (SELECT path FROM videos)
-    UNION ALL SELECT 'event_rule', 'evt_' || substr(sha256(rule_id || '|' || track_id), 1, 16), rule_id FROM {ALERTS} WHERE rule_id IN (SELECT id FROM rules WHERE camera_filter IS NULL)
-    UNION ALL SELECT 'event_track', 'evt_' || substr(sha256(rule_id || '|' || track_id), 1, 16), track_id FROM {ALERTS} WHERE label = 'dog'""",
+    UNION ALL SELECT 'event_rule', 'evt_' || sha256(length(rule_id) || '|' || rule_id || '|' || track_id), rule_id FROM {ALERTS} WHERE rule_id IN (SELECT id FROM rules WHERE camera_filter IS NULL)
+    UNION ALL SELECT 'event_track', 'evt_' || sha256(length(rule_id) || '|' || rule_id || '|' || track_id), track_id FROM {ALERTS} WHERE label = 'dog'""",
 )
 def _(d):
     """Rules without a camera and tracks of dogs were removed, their events stayed."""

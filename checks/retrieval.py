@@ -18,7 +18,7 @@ DEDUP_S = 600
 # --- SQL building blocks -----------------------------------------------------
 
 CAMERAS = "(SELECT camera FROM videos UNION SELECT camera FROM tracks)"
-PLAIN = "lower(replace({}, 'cam_', ''))"
+PLAIN = "regexp_replace(lower({}), '^cam_', '')"
 ALIAS_NAME = r"""trim(regexp_replace(regexp_replace(CASE WHEN starts_with(lower(trim({0})), 'the ') THEN trim(substr(lower(trim({0})), 5))
   ELSE lower(trim({0})) END, '[^\p{{L}}\p{{N}}_\s\-]', '', 'g'), '\s+', ' ', 'g'))"""
 BY_ALIAS = f"""(SELECT place, name AS alias, camera, polygon FROM (
@@ -261,7 +261,7 @@ def _(d):
 @query(
     "j04_events_with_rules",
     f"""SELECT a.rule_id, a.track_id, r.query_text, a.ts FROM {ALERTS} a JOIN rules r ON r.id = a.rule_id
-    ORDER BY a.ts DESC, 'evt_' || substr(sha256(a.rule_id || '|' || a.track_id), 1, 16) LIMIT 50""",
+    ORDER BY a.ts DESC, 'evt_' || sha256(length(a.rule_id) || '|' || a.rule_id || '|' || a.track_id) LIMIT 50""",
 )
 def _(d):
     events = alerts.evaluate(d.rules, d.tracks)
@@ -384,7 +384,8 @@ for _prefix in V.SPOKEN_PREFIXES:
     f"""WITH p AS MATERIALIZED (SELECT phrase, {_HEARD} AS c FROM (SELECT DISTINCT {_PHRASE} AS phrase FROM questions)),
     pairs AS MATERIALIZED (SELECT *, array_to_string(list_sort(string_split(c, ' ')), ' ') AS sc, array_to_string(list_sort(string_split(name, ' ')), ' ') AS sn,
       CASE WHEN length(c) <= length(name) THEN c ELSE name END AS short, CASE WHEN length(c) <= length(name) THEN name ELSE c END AS long FROM p, {_spoken_names()}),
-    windows AS MATERIALIZED (SELECT *, unnest(range(1 - length(short), length(long))) AS w FROM pairs WHERE short <> ''),
+    sides AS (SELECT * FROM pairs UNION ALL SELECT * REPLACE (long AS short, short AS long) FROM pairs WHERE length(short) = length(long)),
+    windows AS MATERIALIZED (SELECT *, unnest(range(1 - length(short), length(long))) AS w FROM sides WHERE short <> ''),
     cut AS MATERIALIZED (SELECT *, substring(long, greatest(0, w) + 1, w + length(short) - greatest(0, w)) AS piece FROM windows),
     partial AS (SELECT phrase, name, max({_share_sql('short', 'piece')}) AS score FROM cut GROUP BY phrase, name),
     scored AS (SELECT a.phrase, a.c, a.name, a.camera, a.ord, a.name = a.c AS exact, {_share_sql('sc', 'sn')} AS sorted_score, coalesce(w.score, 0.0) AS part_score
