@@ -13,11 +13,11 @@ LENGTH = 100
 # Bytes of an anchor. A window of LENGTH bytes is filed under the anchor with the smallest hash of the LENGTH - ANCHOR + 1 inside it.
 ANCHOR = 32
 # Bytes of text that a task looks at together, and the longest piece of one text.
-BATCH = 12 << 20
-PIECE = 32 << 20
+BATCH = 4 << 20
+PIECE = 4 << 20
 # Bytes of text per bucket of anchors, and bytes of snippets per merge of transforms.
 BUCKET_BYTES = 24 << 20
-MERGE_BYTES = 4 << 20
+MERGE_BYTES = 2 << 20
 SHARDS = 2
 # Distinct snippets under one anchor hash beyond which their windows are dealt out by content.
 CROWDED = 200_000
