@@ -16,8 +16,9 @@ PERCENT = 80
 COORDINATES = 64
 # Coordinates that must collide. A pair at the similarity of 0.8 has 51 +- 3.2 in common: fewer than 34 happen once in about ten million.
 MATCHES = 34
-# Posting lists up to this length are joined with themselves; longer ones are compared in blocks of this many documents.
-POSTINGS = 256
+# Posting lists up to this length are joined with themselves, so pairs stay within half of it per posting; longer ones are compared in blocks.
+POSTINGS = 16
+BLOCK = 256
 SLICE = 8 << 20
 HASHED = 1 << 16
 
@@ -200,7 +201,9 @@ def near_duplicates(
     2. Classes are posted under each (coordinate, value) of their signature. Values that one class alone has are skipped, and so are
        classes left with fewer than ``matches`` values. The others keep a prefix: all but ``matches`` - 1 of their values, rarest first. Two classes with ``matches`` collisions share a value of both prefixes.
     3. Each class is tried against the smallest document of its posting lists, the one it shares most lists with; what is confirmed is joined up to components.
-    4. Posting lists with more than one component left are joined with themselves, long ones in blocks, for pairs of different components; pairs with
+    4. Posting lists with more than one component left stay open. A class all of whose lists are closed, or that shares too few shingles with all the others in open lists together, can have no
+       link to come and leaves: a link to a set of s shingles takes percent * (own + s) / (100 + percent) common ones.
+    5. Lists that are open still are joined with themselves, long ones in blocks, for pairs of different components; pairs with
        ``matches`` collisions that were not tried yet are confirmed. So a group of near copies costs a pair per member, and no link between components is passed over.
 
     A link needs 100 * intersection >= ``percent`` * union, confirmed on full sets of 64-bit shingle hashes. Rows without words or with a null text have no shingles
@@ -210,6 +213,7 @@ def near_duplicates(
     rows = cut_lineage(sketch(docs, doc_id, text, words))
     classes = rows.filter("k1 is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
     classes = cut_lineage(classes.filter("doc is not null"))
+    sized = classes.groupBy("doc").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("least"), F.count(F.lit(1)).alias("sets"))
 
     values = [F.conv(F.hex(F.reverse(F.substring("sig", 4 * i + 1, 4))), 16, 10).cast("long").bitwiseOR(F.lit(i << 32)) for i in range(COORDINATES)]
     posted = classes.select("doc", F.explode(F.array(*values)).alias("key"))
@@ -227,15 +231,17 @@ def near_duplicates(
     parts = components(links)
 
     posted = prefix.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "size")
-    posted, open_ = cut_lineage(posted), cut_lineage(open_)
+    posted = cut_lineage(posted)
+    posted = cut_lineage(posted.join(_open(posted).select("key"), "key", "left_semi"))
+    posted = cut_lineage(posted.join(_supported(posted, sized, docs, doc_id, text, words, percent), "doc", "left_semi"))
+    open_ = cut_lineage(_open(posted))
     short = posted.join(open_.filter(F.col("size") <= postings).select("key"), "key", "left_semi")
     x, y = short.alias("x"), short.alias("y")
     pairs = x.join(y, F.expr("x.key = y.key and x.doc < y.doc and x.component <> y.component")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     pairs = enough(pairs, signed, matches)
     long = open_.filter(F.col("size") > postings)
     if not long.isEmpty():
-        pairs = pairs.union(_in_blocks(posted.join(signed, "doc"), long, postings, matches)).distinct()
+        pairs = pairs.union(_in_blocks(posted.join(signed, "doc"), long, min(BLOCK, postings), matches)).distinct()
     more = confirm(cut_lineage(pairs.join(tried, ["a", "b"], "left_anti")), docs, doc_id, text, words, percent)
     parts = components(links.union(more)).withColumnRenamed("node", "doc")
 
@@ -246,6 +252,26 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(False)).alias("kept"))
 
 
+def _open(posted: DataFrame) -> DataFrame:
+    """(key, size) of posting lists (key, doc, component) with more than one component."""
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return lists.filter("lo <> hi").select("key", "size")
+
+
+def _supported(posted: DataFrame, sized: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """Documents of open lists that share enough shingles with the others there for a link to the smallest set of their lists."""
+    rows = posted.select("key", "doc").join(sized, "doc")
+    least = rows.groupBy("key").agg(F.min("least").alias("s"))
+    partner = rows.join(least, "key").groupBy("doc").agg(F.min("s").alias("s"), F.max("n").alias("n"), F.max("sets").alias("sets"))
+    partner = cut_lineage(partner)
+    shingles = sets_of(docs, partner.select("doc"), doc_id, text, words).select("doc", F.explode("shingles").alias("x"))
+    # A shingle of one document alone; rows that repeat an id may hide one, which only keeps the document.
+    alone = shingles.groupBy("x").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).filter("doc = last").groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
+    need = percent * (F.col("n") + F.greatest("s", F.ceil(F.col("n") * percent / 100))) / (100 + percent)
+    enough_ = F.col("n") - F.coalesce("alone", F.lit(0)) >= F.ceil(need)
+    return partner.join(alone, "doc", "left").filter((F.col("sets") > 1) | enough_).select("doc")
+
+
 def enough(pairs: DataFrame, signed: DataFrame, matches: int) -> DataFrame:
     """The ``pairs`` whose signatures collide ``matches`` times."""
     both = pairs.join(signed.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), "a").join(signed.select(F.col("doc").alias("b"), F.col("sig").alias("sb")), "b")
