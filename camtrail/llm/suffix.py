@@ -17,7 +17,7 @@ BATCH = 4 << 20
 PIECE = 4 << 20
 # Bytes of text per bucket of anchors, and bytes of snippets per merge of transforms.
 BUCKET_BYTES = 24 << 20
-MERGE_BYTES = 2 << 20
+MERGE_BYTES = 1 << 19
 SHARDS = 2
 # Distinct snippets under one anchor hash beyond which their windows are dealt out by content.
 CROWDED = 200_000
@@ -224,7 +224,7 @@ def _pieces(batch: pa.RecordBatch):
 
 
 def _file_anchors(buckets: int):
-    """Per batch of texts: blobs of snippets for each bucket of anchor hashes, one per (anchor, content), and the batch's own repeats of those."""
+    """Per batch of texts: blobs of snippets for each bucket of anchor hashes, one per (anchor, content), and runs that the batch itself shows to repeat, dealt to any bucket."""
 
     def run(frames):
         names = ["bucket", "a", "t", "lo", "hi", "blob"]
@@ -244,7 +244,7 @@ def _file_anchors(buckets: int):
                 n = len(owner)
                 if n:
                     none = pa.nulls(n, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1), pa.int32()), pa.array(a_of[owner]), pa.array(t_of[owner]), pa.array(dup_lo), pa.array(dup_hi), none], names)
+                    yield pa.RecordBatch.from_arrays([pa.array((a_of[owner] % buckets + t_of[owner] % buckets) % buckets, pa.int32()), pa.array(a_of[owner]), pa.array(t_of[owner]), pa.array(dup_lo), pa.array(dup_hi), none], names)
                 keep = np.sort(order[~again])
                 bucket = (h[keep] % np.uint64(buckets)).astype(np.int64)
                 keep = keep[np.argsort(bucket, kind="stable")]
@@ -263,11 +263,13 @@ def _file_anchors(buckets: int):
 
 
 def _compare_anchors(crowded: int):
-    """Within a bucket: snippets equal to an earlier one are repeats as a whole (kind 0); first ones that differ under one anchor hash are to be compared (1, or 2 if crowded)."""
+    """Within a bucket: runs pass; snippets equal to an earlier one are repeats as a whole (kind 0); first ones that differ under one anchor hash are to be compared (1, or 2 if crowded)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns: list[list] = [[] for _ in range(6)]
-        for blob in pdf["blob"]:
+        columns: list[list] = [[np.empty(0, kind)] for kind in ("<u8", "<u4", "<i8", "<u4", "<u4", "<u2")]
+        packed = pdf["blob"].notna()
+        known = pdf[~packed]
+        for blob in pdf["blob"][packed]:
             (k,), at = np.frombuffer(blob, "<u4", 1), 4
             for out, kind in zip(columns, ("<u8", "<u4", "<i8", "<u4", "<u4", "<u2"), strict=True):
                 out.append(np.frombuffer(blob, kind, k, at))
@@ -284,7 +286,9 @@ def _compare_anchors(crowded: int):
         kind = np.zeros(len(h), np.int64)
         kind[leads] = np.select([counts[group] > crowded, counts[group] > 1], [2, 1], -1)
         keep = kind >= 0
-        return pd.DataFrame({"kind": kind[keep], "h": h[keep].view(np.int64), "a": a[keep], "t": t[keep], "lo": lo[keep], "hi": hi[keep]})
+        new = {"kind": kind[keep], "h": h[keep].view(np.int64), "a": a[keep], "t": t[keep], "lo": lo[keep], "hi": hi[keep]}
+        old = {"kind": np.zeros(len(known), np.int64), "h": np.zeros(len(known), np.int64), **{c: known[c].to_numpy(np.int64) for c in ("a", "t", "lo", "hi")}}
+        return pd.DataFrame({c: np.concatenate([old[c], new[c]]) for c in new})
 
     return run
 
@@ -372,10 +376,7 @@ def drop_repeats(
 
     total = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
     filed = texts.mapInArrow(_file_anchors(max(1, -(-total // bucket_bytes))), "bucket int, a long, t long, lo long, hi long, blob binary")
-    within = filed.filter("bucket < 0").select("a", "t", "lo", "hi")
-    compared = filed.filter("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInPandas(
-        _compare_anchors(crowded), "kind int, h long, a long, t long, lo long, hi long"
-    )
+    compared = filed.groupBy("bucket").applyInPandas(_compare_anchors(crowded), "kind int, h long, a long, t long, lo long, hi long")
     compared = cut_lineage(compared)
     same = compared.filter("kind = 0").select("a", "t", "lo", "hi")
 
@@ -388,7 +389,7 @@ def drop_repeats(
     plain = plain.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(max(1, -(-need // merge_bytes)))).cast("int"))
     merged = plain.groupBy("bucket").applyInPandas(_merge(shards), _RUN)
 
-    runs = within.union(same).union(merged)
+    runs = same.union(merged)
     if not compared.filter("kind = 2").isEmpty():
         windows = bodies.select("a", "t", "text", F.explode(of(2)).alias("w")).select("a", "t", "text", F.explode(F.sequence("w.lo", "w.hi")).alias("lo"))
         windows = windows.select("a", "t", "lo", F.md5(F.substring("text", (F.col("lo") + 1).cast("int"), F.lit(LENGTH))).alias("k"))
