@@ -19,7 +19,7 @@ RIDGE = 1e-3
 SHARPNESS = 4.0
 UNDETERMINED = "und"
 # Documents and bytes of a feature block.
-BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32

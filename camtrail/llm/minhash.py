@@ -19,7 +19,7 @@ MATCHES = 34
 # Posting lists up to this length are joined with themselves, so pairs stay within half of it per posting; longer ones are compared in blocks.
 POSTINGS = 16
 BLOCK = 256
-SLICE = 8 << 20
+SLICE = 4 << 20
 HASHED = 1 << 16
 
 _MASK = (1 << 64) - 1

@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 
 BYTE_BPE = "byte_bpe_50k.json"
 # Cached pieces of a worker; the cache is emptied beyond that. It changes the speed only.
-CACHED = 1_000_000
+CACHED = 500_000
 # Bytes of text that are split at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 # Any character that some definition counts as white space.
 SPACE = "\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}\\x{3000}\\x{feff}"
