@@ -57,12 +57,18 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _with_vectors(self, shift: int) -> DataFrame:
+        """Every event with an embedding; the embeddings repeat where there are fewer of them."""
+        vectors = self.table("embeddings")
+        n = vectors.count()
+        return self.table("events").join(vectors, (F.col("event_id") + shift) % n == F.col("vec_id"))
+
     @cached_property
     def tracks(self) -> DataFrame:
-        u, e, ts, value = F.col("user_id"), F.col("vec_id"), F.col("ts"), F.col("value")
+        u, e, ts, value = F.col("user_id"), F.col("event_id"), F.col("ts"), F.col("value")
         pick = F.array(*[F.lit(c) for c in COLOURS_OF])
         label = _case("event_type", LABEL_OF_EVENT)
-        rows = self.table("embeddings").join(self.table("events"), F.col("vec_id") == F.col("event_id"))
+        rows = self._with_vectors(0)
         return rows.select(
             F.concat(F.lit("t"), e).alias("id"),
             F.concat(F.lit("v"), e * 37).alias("video"),
@@ -89,8 +95,8 @@ class Data:
 
     @cached_property
     def frames(self) -> DataFrame:
-        rows = self.table("embeddings").join(self.table("events"), F.col("vec_id") + 1 == F.col("event_id"))
-        e = F.col("vec_id")
+        rows = self._with_vectors(1)
+        e = F.col("event_id")
         return rows.select(
             F.concat(F.lit("f"), e).alias("id"),
             F.concat(F.lit("v"), e * 37).alias("video"),
@@ -292,23 +298,23 @@ class Data:
 SQL: dict[str, str] = {}
 
 SQL["tracks"] = f"""
-SELECT 't' || vec_id AS id, 'v' || (vec_id * 37) AS video, 'cam_' || (user_id % 6) AS camera, vec_id AS track_id,
+SELECT 't' || event_id AS id, 'v' || (event_id * 37) AS video, 'cam_' || (user_id % 6) AS camera, event_id AS track_id,
   {_case_sql('event_type', LABEL_OF_EVENT)} AS label,
   CASE event_type WHEN 'click' THEN 'person' WHEN 'view' THEN 'vehicle' WHEN 'purchase' THEN 'vehicle' ELSE 'object' END AS grp,
   ts AS t_start, ts + to_microseconds(CAST(floor(value * 1000000) AS BIGINT)) AS t_end,
   ts + to_microseconds(CAST(floor(value * 500000) AS BIGINT)) AS t_best,
-  CAST(vec_id % 100 AS DOUBLE) AS offset_start, value AS offset_best,
-  (user_id % 10) / 20.0::DOUBLE AS bx1, (vec_id % 7) / 14.0::DOUBLE AS by1,
-  (user_id % 10) / 20.0::DOUBLE + 0.3::DOUBLE AS bx2, (vec_id % 7) / 14.0::DOUBLE + 0.25::DOUBLE AS by2,
-  'snap/' || vec_id || '.jpg' AS snapshot, embedding AS emb, e.label AS cls,
+  CAST(event_id % 100 AS DOUBLE) AS offset_start, value AS offset_best,
+  (user_id % 10) / 20.0::DOUBLE AS bx1, (event_id % 7) / 14.0::DOUBLE AS by1,
+  (user_id % 10) / 20.0::DOUBLE + 0.3::DOUBLE AS bx2, (event_id % 7) / 14.0::DOUBLE + 0.25::DOUBLE AS by2,
+  'snap/' || event_id || '.jpg' AS snapshot, embedding AS emb, e.label AS cls,
   CASE user_id % 4 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(COLOURS_OF))} END AS colors,
-  value / 500.0::DOUBLE AS quality, 1 + vec_id % 7 AS hits
-FROM embeddings e JOIN events v ON e.vec_id = v.event_id"""
+  value / 500.0::DOUBLE AS quality, 1 + event_id % 7 AS hits
+FROM embeddings e JOIN events v ON e.vec_id = v.event_id % (SELECT count(*) FROM embeddings)"""
 
 SQL["frames"] = """
-SELECT 'f' || vec_id AS id, 'v' || (vec_id * 37) AS video, 'cam_' || (user_id % 6) AS camera, ts AS t_abs, value AS offset_s,
-  'snap/f' || vec_id || '.jpg' AS snapshot, embedding AS emb
-FROM embeddings e JOIN events v ON e.vec_id + 1 = v.event_id"""
+SELECT 'f' || event_id AS id, 'v' || (event_id * 37) AS video, 'cam_' || (user_id % 6) AS camera, ts AS t_abs, value AS offset_s,
+  'snap/f' || event_id || '.jpg' AS snapshot, embedding AS emb
+FROM embeddings e JOIN events v ON e.vec_id = (v.event_id + 1) % (SELECT count(*) FROM embeddings)"""
 
 SQL["videos"] = """
 SELECT 'v' || o_orderkey AS path, 'cam_' || (o_custkey % 6) AS camera, o_orderdate + to_seconds(o_orderkey % 86400) AS start_time,
