@@ -170,30 +170,47 @@ def _collisions(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1).astype(np.int32))
 
 
-def _in_blocks(postings: DataFrame, sizes: DataFrame, block: int, matches: int) -> DataFrame:
-    """Pairs of different components in long posting lists, compared block against block: only pairs with enough collisions leave a task."""
-    cut = F.ceil(F.col("size") / block).cast("int")
-    rows = postings.join(broadcast_if_small(sizes), "key").withColumn("_n", cut).withColumn("_i", F.pmod(F.xxhash64("doc"), F.col("_n")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.struct(F.least("_i", j).alias("lo"), F.greatest("_i", j).alias("hi")))
-    rows = rows.withColumn("_cell", F.explode(cells)).select("key", "_cell.lo", "_cell.hi", "_i", "doc", "component", "sig")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        left, right = pdf[pdf["_i"] == low], pdf[pdf["_i"] == high]
-        out = []
-        if len(left) and len(right):
-            y = np.frombuffer(b"".join(right["sig"]), "<u4").reshape(len(right), -1)
-            doc, part = right["doc"].to_numpy(), right["component"].to_numpy()
-            for d, c, s in zip(left["doc"], left["component"], left["sig"], strict=True):
-                hit = ((y == np.frombuffer(s, "<u4")).sum(1) >= matches) & (part != c)
-                out += [(min(d, o), max(d, o)) for o in doc[hit].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"])
+def _in_blocks(postings: DataFrame, sizes: DataFrame, signed: DataFrame, block: int, matches: int) -> DataFrame:
+    """Pairs of different components in long posting lists: only pairs with enough collisions leave a task, each from one list.
 
-    return rows.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long")
+    The documents of a list outside its most frequent component are compared, in blocks, with all documents of the list; those inside it are joined up already. A
+    pair that meets in several of these lists is reported by that of its first coordinate.
+    """
+    rows = postings.join(broadcast_if_small(sizes.select("key")), "key", "left_semi")
+    bits = rows.groupBy("doc").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))").alias("bits"))
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    lists = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("inside"))
+    chunks = lambda n: F.ceil(n / block).cast("int")
+    lists = lists.select("key", "most", chunks(F.col("all")).alias("ns"), chunks(F.col("all") - F.col("inside")).alias("ms"))
+    rows = rows.join(broadcast_if_small(lists), "key").join(bits, "doc").join(signed, "doc")
+    mine = lambda n, salt: F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [F.col(c).alias(c) for c in ("key", "i", "j", "doc", "component", "bits", "sig")]  # new names, so the sides can be told apart
+    few = rows.filter(F.col("component") != F.col("most")).withColumn("i", mine("ms", 1)).withColumn("j", every("ns")).select(*columns)
+    all_ = rows.withColumn("j", mine("ns", 2)).withColumn("i", every("ms")).select(*columns)
+
+    def compare(few: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(few) and len(all_):
+            here = int(few["key"].iloc[0]) >> 32
+            y = np.frombuffer(b"".join(all_["sig"]), "<u4").reshape(len(all_), -1)
+            doc, part = all_["doc"].to_numpy(), all_["component"].to_numpy()
+            bit = (all_["bits"].to_numpy()[:, None] >> np.arange(COORDINATES)) & 1 == 1
+            for d, c, m, s in zip(few["doc"], few["component"], few["bits"], few["sig"], strict=True):
+                equal = y == np.frombuffer(s, "<u4")
+                near = np.flatnonzero((equal.sum(1) >= matches) & (part != c))
+                if len(near):
+                    both = equal[near] & bit[near] & ((int(m) >> np.arange(COORDINATES)) & 1 == 1)
+                    near = near[both.argmax(1) == here]
+                    out += [(min(d, o), max(d, o)) for o in doc[near].tolist()]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+
+    keys = ["key", "i", "j"]
+    return few.groupBy(*keys).cogroup(all_.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = PERCENT, matches: int = MATCHES, postings: int = POSTINGS,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = PERCENT, matches: int = MATCHES, postings: int = POSTINGS, block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -241,7 +258,7 @@ def near_duplicates(
     pairs = enough(pairs, signed, matches)
     long = open_.filter(F.col("size") > postings)
     if not long.isEmpty():
-        pairs = pairs.union(_in_blocks(posted.join(signed, "doc"), long, min(BLOCK, postings), matches)).distinct()
+        pairs = pairs.union(_in_blocks(posted, long, signed, block, matches)).distinct()
     more = confirm(cut_lineage(pairs.join(tried, ["a", "b"], "left_anti")), docs, doc_id, text, words, percent)
     parts = components(links.union(more)).withColumnRenamed("node", "doc")
 
