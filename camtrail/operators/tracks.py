@@ -228,3 +228,29 @@ def tracks_per_object(counts: DataFrame, real: DataFrame, clip: str = "clip") ->
         F.round(F.col("after_filter") / F.col("real_n"), 2).alias("ratio_filtered"),
         F.round(F.col("after_stitch") / F.col("real_n"), 2).alias("ratio_stitched"),
     )
+
+
+# --- Fixed values. Confidence below which a box is shown without its class; every second frame is detected on.
+DISPLAY_CONFIDENCE = 0.35
+STRIDE = 2
+
+
+def display_label(label: Column, confidence: Column, least: float = DISPLAY_CONFIDENCE) -> Column:
+    """The class a box is shown with: "object" where the detector is not sure."""
+    return F.when(confidence >= least, label).otherwise("object")
+
+
+def every_nth(frames: DataFrame, index: str = "frame_idx", stride: int = STRIDE) -> DataFrame:
+    """The frames that the detector sees."""
+    return frames.filter(F.pmod(F.col(index), F.lit(stride)) == 0)
+
+
+def new_words(words: DataFrame, base: DataFrame, column: str = "label") -> DataFrame:
+    """Distinct words that the base vocabulary lacks, case aside; they go to the open-vocabulary detector."""
+    known = base.select(F.lower(column).alias("_l")).distinct()
+    return words.select(column).distinct().withColumn("_l", F.lower(column)).join(known, "_l", "left_anti").select(column)
+
+
+def label_distribution(detections: DataFrame) -> DataFrame:
+    """Detections per class, most first."""
+    return detections.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")

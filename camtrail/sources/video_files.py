@@ -106,3 +106,8 @@ def resolve_start(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def frame_time(start: Column, frame_idx: Column, fps: Column) -> Column:
     """Absolute time of a frame, to the microsecond."""
     return F.timestamp_add("MICROSECOND", F.round(F.try_divide(frame_idx.cast("double"), fps) * 1e6).cast("long"), start)
+
+
+def newest_first(videos: DataFrame, limit: int = 50) -> DataFrame:
+    """Catalogue page: the newest videos, ties by path."""
+    return videos.orderBy(F.desc("start_time"), "path").limit(limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from camtrail.functions import boxes, text, vectors, vocabulary as V
-from camtrail.operators import evaluation, places, scoring, search
+from camtrail.operators import evaluation, places, scoring, search, tracks
 from camtrail.plans.ask import reference_now
 from camtrail.scale import broadcast_if_small
 from camtrail.sources import video_files
@@ -150,13 +150,13 @@ def _(d):
     "SELECT rid, CASE WHEN conf >= 0.35 THEN label ELSE 'object' END AS shown FROM observations",
 )
 def _(d):
-    return d.observations.select("rid", F.when(F.col("conf") >= 0.35, F.col("label")).otherwise("object").alias("shown"))
+    return d.observations.select("rid", tracks.display_label(F.col("label"), F.col("conf")).alias("shown"))
 
 
 @query("f11_stride_sampling", "SELECT rid, frame_idx FROM observations WHERE frame_idx % 2 = 0")
 def _(d):
     """The stride is the operator itself: every second frame is detected on."""
-    return d.observations.filter(F.pmod("frame_idx", F.lit(2)) == 0).select("rid", "frame_idx")
+    return tracks.every_nth(d.observations).select("rid", "frame_idx")
 
 
 @query("f12_restrict_to_videos", "SELECT id, video FROM tracks WHERE video IN (SELECT path FROM videos WHERE camera = 'cam_1')")
@@ -172,9 +172,8 @@ def _(d):
 )
 def _(d):
     part = d.table("part")
-    base = part.filter(F.col("p_type") == "ECONOMY").select(F.lower("p_name").alias("_l")).distinct()
-    words = part.select(F.col("p_name").alias("label"), F.lower("p_name").alias("_l")).distinct()
-    return words.join(base, "_l", "left_anti").select("label")
+    base = part.filter(F.col("p_type") == "ECONOMY").select(F.col("p_name").alias("label"))
+    return tracks.new_words(part.select(F.col("p_name").alias("label")), base)
 
 
 @query(

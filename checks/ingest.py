@@ -355,7 +355,7 @@ def _(d):
 
 @query("a05_label_distribution", "SELECT label, count(*) AS n FROM detections GROUP BY label")
 def _(d):
-    return d.detections.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
+    return T.label_distribution(d.detections)
 
 
 @query("a06_detectors_side_by_side", "SELECT label, count(*) FILTER (source = 'F') AS F, count(*) FILTER (source = 'O') AS O FROM detections GROUP BY label")

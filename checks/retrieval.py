@@ -8,6 +8,7 @@ from camtrail.functions import text, vectors, vocabulary as V
 from camtrail.operators import alerts, assets, evaluation, greedy, places, providers, reid, scoring, search
 from camtrail.plans import ask as ask_plan
 from camtrail.scale import micros
+from camtrail.sources import video_files
 from checks.expressions import BOOST, CLASSES_SQL, LABELS, PARSED, TRACKS_COLS, class_vectors, dot, norm, polygon_test
 from checks.registry import query
 from checks.views import seconds_sql
@@ -171,7 +172,7 @@ def _(d):
 
 @query("o02_order_and_limit", "SELECT path, camera, start_time FROM videos ORDER BY start_time DESC, path LIMIT 50")
 def _(d):
-    return d.videos.select("path", "camera", "start_time").orderBy(F.desc("start_time"), "path").limit(50)
+    return video_files.newest_first(d.videos.select("path", "camera", "start_time"))
 
 
 @query("o03_candidate_union", f"SELECT result_type, result_id, camera, ts_us, label FROM {TC}")

@@ -11,7 +11,7 @@ from camtrail.streaming import live, sinks, watch
 from checks.ingest import link_sql
 from checks.registry import query
 from checks.retrieval import ALERTS
-from checks.views import LABEL_OF_FLAG, _case
+from checks.views import LABEL_OF_FLAG, TABLES, _case
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -182,7 +182,7 @@ def _(d):
     return out.select("camera", F.col("segment").cast("timestamp_ntz").alias("segment"), "frames")
 
 
-@query("s18_folder_watch")
+@query("s18_folder_watch", "SELECT file, true AS filled FROM (VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") AS t(file)")
 def _(d):
     """The files of the data folder, each taken once."""
     at = place(d)
@@ -193,4 +193,4 @@ def _(d):
 
     watch.watch(files, take, f"{at}/state", once=True).awaitTermination()
     seen = d.spark.read.parquet(f"{at}/seen")
-    return seen.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    return seen.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("length") > 0).alias("filled"))
