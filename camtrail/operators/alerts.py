@@ -50,21 +50,19 @@ def evaluate(rules: DataFrame, tracks: DataFrame, fired: DataFrame | None = None
     """New events: active rule x track with cosine >= min_score, exact camera filter, not fired before.
 
     Rules are scored as blocks of vectors while the tracks stream by; only
-    pairs at or above the lowest threshold leave the scan, then each meets its
-    own rule. ``fired`` (rule_id, track_id) removes pairs already stored.
+    pairs at or above their own rule's threshold leave the scan. A rule without a threshold never fires. ``fired`` (rule_id, track_id) removes pairs already stored.
     """
-    live = cut_lineage(rules.filter("is_active"))  # read several times below
-    lowest = live.agg(F.min("min_score")).first()[0]
-    floor = 0.0 if lowest is None else float(lowest)
-    probes = live.select(F.col("id").alias("query_id"), "q_emb", F.col("camera_filter").alias("camera_key"))
+    live = cut_lineage(rules.filter("is_active"))  # read twice below
+    least = F.coalesce("min_score", F.lit(float("inf"))).alias("minimum")
+    probes = live.select(F.col("id").alias("query_id"), "q_emb", F.col("camera_filter").alias("camera_key"), least)
     rows = tracks.select(
         F.col("id").alias("track_id"), "camera", F.col("camera").alias("camera_key"), "label", "t_start", "snapshot", "emb"
     )
     hits = scoring.score(
-        rows, probes, ["track_id", "camera", "label", "t_start", "snapshot"], minimum=floor, cosine=True, raw=True
+        rows, probes, ["track_id", "camera", "label", "t_start", "snapshot"], cosine=True, raw=True
     )
-    rule = live.select(F.col("id").alias("rule_id"), "rule_name", "query_text", "min_score")
-    events = hits.withColumnRenamed("query_id", "rule_id").join(broadcast_if_small(rule), "rule_id").filter(F.col("score") >= F.col("min_score"))
+    rule = live.select(F.col("id").alias("rule_id"), "rule_name", "query_text")
+    events = hits.withColumnRenamed("query_id", "rule_id").join(broadcast_if_small(rule), "rule_id")
     if fired is not None:
         events = events.join(fired.select("rule_id", "track_id"), ["rule_id", "track_id"], "left_anti")
     return events.select(

@@ -50,6 +50,7 @@ class QueryBlock:
     colours: list = field(default_factory=list)  # asked colours or None
     polygon: list = field(default_factory=list)  # corner list or None
     kept: list = field(default_factory=list)  # [(camera, ts_us)] already chosen
+    minimum: np.ndarray | None = None  # least unrounded score; -inf where a query has none
 
     @property
     def timed(self) -> bool:
@@ -77,11 +78,12 @@ class QueryBlock:
             colours=many("colours"),
             polygon=[None if p is None or len(p) < 3 else [(c["x"], c["y"]) for c in p] for p in many("polygon")],
             kept=many("kept"),
+            minimum=np.array([-np.inf if v is None else v for v in many("minimum")], dtype=np.float64),
         )
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[QueryBlock]:
-    """Read the queries block by block; the driver never holds more than about one block."""
+    """Read the queries block by block. A block stays on the driver, in its plan, until the query ends."""
     queries = queries.filter(F.col("q_emb").isNotNull())
     n = queries.count()
     parts = max(1, -(-n // block))
@@ -198,14 +200,17 @@ def _scan(batches, q: QueryBlock, m: int | None, minimum: float | None, distinct
           payload: list[str], out: pa.Schema):
     state, waiting, n_waiting = None, [], 0
     n = len(q.ids)
+    least = q.minimum if minimum is None else np.maximum(q.minimum, minimum)
+    if np.isneginf(least).all():
+        least = None
     floor = np.full(n, -np.inf)  # score a row must reach to enter the best m of a query
     step = max(64, _CELLS // max(1, n))
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             rows = batch.slice(at, step)
             raw = _masked_scores(rows, q, cosine)
-            if minimum is not None:
-                raw = np.where(raw >= minimum, raw, -np.inf)
+            if least is not None:
+                raw = np.where(raw >= least[None, :], raw, -np.inf)
             s = raw if exact else round4(raw)
             hit = np.isfinite(s) & (s >= floor[None, :])
 
@@ -264,7 +269,7 @@ def score(
     """Scored rows per query: (query_id, score, payload).
 
     ``best`` keeps that many rows per query *and task*; rank once more after
-    it. ``minimum`` keeps rows with at least that unrounded score; ``raw`` returns
+    it. ``minimum`` keeps rows with at least that unrounded score, as does a column of that name for each query; ``raw`` returns
     scores unrounded. Filters apply when
     both sides carry their columns: camera_key; start_us / end_us; labels vs
     label_low; polygon vs cx, cy; colours. ``rows`` may be a function that

@@ -114,3 +114,17 @@ def test_a_damaged_event_table_is_not_taken_for_an_empty_one(spark, tmp_path):
 
 def test_equally_long_texts_are_compared_both_ways():
     assert providers.partial_similarity("abczz", "xabcy") == providers.partial_similarity("xabcy", "abczz") == 75.0
+
+
+def test_only_pairs_above_their_own_threshold_leave_the_scan(spark):
+    now = datetime(2026, 1, 1)
+    rules = spark.createDataFrame(
+        [("low", "n", "t", [1.0, 0.0], None, 0.1, True), ("high", "n", "t", [1.0, 0.0], None, 0.9, True), ("none", "n", "t", [1.0, 0.0], None, None, True)],
+        "id string, rule_name string, query_text string, q_emb array<float>, camera_filter string, min_score double, is_active boolean",
+    )
+    tracks = spark.createDataFrame(
+        [("a", "c", "car", now, "s", [1.0, 0.1]), ("b", "c", "car", now, "s", [0.5, 1.0]), ("z", "c", "car", now, "s", [-1.0, 0.0])],
+        "id string, camera string, label string, t_start timestamp_ntz, snapshot string, emb array<float>",
+    )
+    got = {(r.rule_id, r.track_id) for r in alerts.evaluate(rules, tracks).collect()}
+    assert got == {("low", "a"), ("low", "b"), ("high", "a")}
