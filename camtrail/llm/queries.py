@@ -42,7 +42,7 @@ def op2(docs: DataFrame) -> DataFrame:
     return minhash.near_duplicates(docs, words=4)
 
 
-@query("op3_exact_top", table="embeddings")
+@query("op3_exact_top", table="embeddings", sql=topk.oracle())
 def op3(rows: DataFrame) -> DataFrame:
     """The 20 highest integer products of every query row."""
     return topk.exact_top(rows)

@@ -106,3 +106,12 @@ def exact_top(
     asked = V.queries_of(ints, every).mapInArrow(pack, "vec_id long, vec binary")
     cells = V.in_cells(packed.withColumns(grid), "vec", 1), V.in_cells(asked.withColumns(grid), "query", 2)
     return V.search_cells(*cells, ["c_vec", "c_query"], scan, k, "long")
+
+
+def oracle(k: int = K, every: int = V.EVERY, scale: int = SCALE) -> str:
+    return f"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) w FROM embeddings
+               WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (SELECT q.vec_id query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % {every} = 0),
+    ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT rank, vec_id, score FROM pairs)
+    SELECT * FROM ranked WHERE rank <= {k}"""
