@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from camtrail.functions import text, vectors, vocabulary as V
-from camtrail.scale import broadcast_if_small, micros, running_counts
+from camtrail.scale import broadcast_if_small, join_same, micros, running_counts
 
 NO_MATCH_ERROR = 999.0
 
@@ -88,15 +88,30 @@ def retrieval_metrics(queries: DataFrame, hits: DataFrame, by: Sequence[str] = (
 def latency_stats(samples: DataFrame, stage: str = "stage", value: str = "ms") -> DataFrame:
     """Median, interpolated 95th percentile, minimum and worst per stage.
 
-    The percentile aggregate works on value counts that combine map-side.
+    Ranks come from range-partitioned running counts of distinct values, so no task
+    holds the values of a stage; nulls do not count.
     """
-    return samples.groupBy(stage).agg(
-        F.round(F.percentile(value, F.lit(0.5)), 2).alias("median"),
-        F.round(F.percentile(value, F.lit(0.95)), 2).alias("p95"),
-        F.min(value).alias("best"),
-        F.max(value).alias("worst"),
+    shares = {"median": 0.5, "p95": 0.95}
+    base = samples.groupBy(stage).agg(F.count(value).alias("_all"), F.min(value).alias("best"), F.max(value).alias("worst"))
+    counts = samples.filter(F.col(value).isNotNull()).groupBy(stage, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_counts(counts, [stage], value, ["_n"])
+    ranked = join_same(ranked, broadcast_if_small(base.select(stage, "_all")), [stage])
+    at = {name: share * (F.col("_all") - 1) for name, share in shares.items()}
+
+    def holds(place: Column) -> Column:
+        return F.max(F.when((place >= F.col("before__n")) & (place < F.col("before__n") + F.col("_n")), F.col(value)))
+
+    around = ranked.groupBy(stage).agg(
+        *[holds(F.floor(p)).alias(f"_lo_{n}") for n, p in at.items()], *[holds(F.ceil(p)).alias(f"_hi_{n}") for n, p in at.items()]
     )
 
+    def between(name: str) -> Column:
+        low, high, p = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), at[name]
+        mixed = (F.ceil(p) - p) * low + (p - F.floor(p)) * high
+        return F.round(F.when(low == high, low).otherwise(mixed), 2).alias(name)
+
+    return join_same(base, around, [stage], "left").select(stage, *[between(n) for n in shares], "best", "worst")
+
 
 def roc_auc(scores: DataFrame, key: str, score: str, positive: str, degenerate: float = 0.5) -> DataFrame:
     """ROC-AUC per key as the Mann-Whitney statistic with average ranks for ties.

@@ -128,3 +128,19 @@ def test_only_pairs_above_their_own_threshold_leave_the_scan(spark):
     )
     got = {(r.rule_id, r.track_id) for r in alerts.evaluate(rules, tracks).collect()}
     assert got == {("low", "a"), ("low", "b"), ("high", "a")}
+
+
+def test_latency_percentiles_by_ranks(spark):
+    import numpy as np
+
+    from camtrail.operators import evaluation
+
+    rnd = random.Random(7)
+    rows = [(s, rnd.choice([rnd.random(), 0.5, 2.0])) for s in ["a", "b", None] for _ in range(101)] + [("one", 3.0), ("none", None), ("two", 1.0), ("two", 2.0)]
+    got = {r.stage: r for r in evaluation.latency_stats(spark.createDataFrame(rows, "stage string, ms double")).collect()}
+    assert got.keys() == {"a", "b", None, "one", "none", "two"} and got["none"].median is None
+    for s, r in got.items():
+        values = [v for k, v in rows if k == s and v is not None]
+        if values:
+            assert abs(r.median - np.percentile(values, 50)) <= 0.005001 and abs(r.p95 - np.percentile(values, 95)) <= 0.005001
+            assert (r.best, r.worst) == (min(values), max(values))
