@@ -10,8 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BYTE_BPE = "byte_bpe_50k.json"
-# Cached pieces of a worker; the cache is emptied beyond that. It changes the speed only.
-CACHED = 500_000
+# Cached pieces of a worker, about. It changes the speed only.
+CACHED = 800_000
 # Bytes of text that are split at once.
 SLICE = 4 << 20
 
@@ -45,6 +45,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cached = cached
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -52,8 +53,6 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Cache ids of pieces. Pieces without white space go in lines of one text, so a line's ids lie between newline ids."""
-        if len(self.cache) + len(pieces) > self.cached:
-            self.cache.clear()
         lead = np.array([self.newline], np.uint32).tobytes()
         names, cores, heads, direct = [], [], [], []
         for u in pieces:
@@ -74,23 +73,30 @@ class Encoder:
         for u, ids in zip(direct, self.whole([u if u[0] in "\n.," else " " + u for u in direct]), strict=True):
             self.cache[u] = ids.tobytes()
 
+    def _look_up(self, known: list[str]) -> list[bytes]:
+        """Ids of distinct pieces. Of two generations the older is dropped when the younger is full, so frequent pieces stay."""
+        young = self.cache
+        absent = [u for u in known if u not in young]
+        missing = []
+        for u in absent:
+            ids = self.older.get(u)
+            if ids is None:
+                missing.append(u)
+            else:
+                young[u] = ids
+        self._learn(missing)
+        raw = [young[u] for u in known]
+        if 2 * len(young) > self.cached:
+            self.older, self.cache = young, {}
+        return raw
+
     def _pieces(self, texts: pa.Array) -> list[np.ndarray]:
         cut = pc.binary_join_element_wise(pa.scalar("\n", texts.type), texts, pa.scalar("", texts.type))
         cut = pc.replace_substring_regex(cut, rf"([{LETTER}.,])\n", "\\1 \n")
         cut = pc.replace_substring_regex(cut, rf"([{LETTER}])([.,])", "\\1 \\2")
         split = pc.split_pattern(cut, " ")
         coded = split.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        missing = [u for u in known if u not in self.cache]
-        for at in range(0, len(missing), self.cached):
-            self._learn(missing[at : at + self.cached])
-        if any(u not in self.cache for u in known[:1]) or len(self.cache) < len(known):
-            self._learn(known)
-        try:
-            raw = [self.cache[u] for u in known]
-        except KeyError:  # emptied on the way
-            self._learn(known)
-            raw = [self.cache[u] for u in known]
+        raw = self._look_up(coded.dictionary.to_pylist())
         sizes = np.array([len(b) for b in raw], np.int64) // 4
         table, first = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(sizes) - sizes
         index = coded.indices.to_numpy()
