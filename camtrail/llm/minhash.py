@@ -14,7 +14,7 @@ from camtrail.scale import broadcast_if_small, cut_lineage
 
 PERCENT = 80
 COORDINATES = 64
-# Coordinates that must collide. A pair at the similarity of 0.8 has 51 +- 3.2 in common: fewer than 34 happen once in about ten million.
+# Coordinates that must collide. A pair at the similarity of 0.8 has 51 +- 3.2 in common: fewer than 34 happen once in about three million.
 MATCHES = 34
 # Posting lists up to this length are joined with themselves, so pairs stay within half of it per posting; longer ones are compared in blocks.
 POSTINGS = 16
