@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 BYTE_BPE = "byte_bpe_50k.json"
 # Cached pieces of a worker, about. It changes the speed only.
-CACHED = 800_000
+CACHED = 600_000
 # Bytes of text that are split at once.
 SLICE = 4 << 20
 

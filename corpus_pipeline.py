@@ -15,18 +15,25 @@ from camtrail.scale import broadcast_if_small, shared_folder
 
 # A document is rejected if it has nothing to read, or if no language stands out; with four languages an even guess scores 0.25.
 LEAST_SCORE = 0.3
+# Rows of text that cross to Python at once; the default of 10,000 costs some hundred MB per worker.
+BATCH_ROWS = "2000"
+
+
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those whose best language scores below LEAST_SCORE."""
-    ship(spark)
+    _prepare(spark)
     known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
     return langid.identify(docs).filter(known).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take the boilerplate lines of each source out of the texts; n_chars follows. No document is dropped."""
-    ship(spark)
+    _prepare(spark)
     return lines.drop_boilerplate(docs).select(docs.columns)
 
 
@@ -35,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without a doc_id are known by their text's hash below all ids, so a copy that has an id gives way to them. Rows that repeat both id and text leave one.
     """
-    ship(spark)
+    _prepare(spark)
     body = F.col("text").cast("binary")
     node = F.coalesce("doc_id", -F.abs(F.xxhash64("text") % (1 << 62)) - (1 << 62))
     named = docs.withColumn("_node", node)
@@ -55,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 2048 tokens."""
-    ship(spark)
+    _prepare(spark)
     return packing.pack_documents(docs)
 
 
