@@ -44,8 +44,8 @@ def _inverse(x: int) -> int:
 def snippets(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
     """Runs of windows that share an anchor, in texts laid end to end in ``raw`` (at most 2^26 bytes); text i begins at ``starts[i]``, the last entry is the end.
 
-    Returns arrays: text, first window, last window, anchor (places in ``raw``), anchor hash, hash of the bytes from the first window to the last one's end. Equal
-    windows lie under equal anchors at the same distance, so only snippets of one anchor hash can share a window.
+    Returns arrays: text, first window, last window, anchor (places in ``raw``), anchor hash, two hashes of the bytes from the first window to the last one's end: of the
+    bytes, and of all strings of ``anchor`` bytes among them. Equal windows lie under equal anchors at the same distance, so only snippets of one anchor hash can share a window.
     """
     n = len(raw)
     assert n < 1 << _POSITION
@@ -79,7 +79,9 @@ def snippets(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH, anchor:
     inverse[0], inverse[1:] = 1, np.uint64(_inverse(int(_BASE)))
     np.cumprod(inverse, out=inverse)
     content = _mix((sums[last + length] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
-    return text[head], first, last, where, h[where], content
+    np.cumsum(h * power[:n], out=sums[1:])
+    second = _mix((sums[last + length - anchor + 1] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+    return text[head], first, last, where, h[where], content, second
 
 
 def rotations(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -201,6 +203,8 @@ def _equal_to_last(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return out
 
 
+# A packed snippet: anchor hash, two content hashes, document (two columns), first window, further windows.
+_PACKED = ("<u8", "<u8", "<u8", "<i8", "<u4", "<u4", "<u2")
 _RUN = "a long, t long, lo long, hi long"
 
 
@@ -233,12 +237,12 @@ def _file_anchors(buckets: int):
             for held in _pieces(b):
                 raw = np.frombuffer(b"".join(p for *_, p in held), np.uint8)
                 starts = np.append(0, np.cumsum([len(p) for *_, p in held]))
-                text, first, last, _, h, c = snippets(raw, starts)
+                text, first, last, _, h, c, d = snippets(raw, starts)
                 shift = np.array([base for _, base, _ in held])[text] - starts[text]
                 row = np.array([r for r, *_ in held])[text]
                 lo, hi, a, t = first + shift, last + shift, a_of[row], t_of[row]
                 order = np.lexsort((lo, t, a, c, h))
-                again, self_ = _equal_to_last(order, h, c), _equal_to_last(order, h, c, a, t, lo)
+                again, self_ = _equal_to_last(order, h, c, d), _equal_to_last(order, h, c, d, a, t, lo)
                 dup = order[again & ~self_]
                 owner, dup_lo, dup_hi = _joined(row[dup], lo[dup], hi[dup])
                 n = len(owner)
@@ -252,7 +256,7 @@ def _file_anchors(buckets: int):
                 blobs, at = [], 0
                 for k in counts.tolist():
                     i = keep[at : at + k]
-                    columns = (h[i], c[i].astype("<u4"), a[i], t[i].astype("<u4"), lo[i].astype("<u4"), (hi[i] - lo[i]).astype("<u2"))
+                    columns = (h[i], c[i], d[i], a[i], t[i].astype("<u4"), lo[i].astype("<u4"), (hi[i] - lo[i]).astype("<u2"))
                     blobs.append(np.array([k], "<u4").tobytes() + b"".join(x.tobytes() for x in columns))
                     at += k
                 m = len(ids)
@@ -266,22 +270,22 @@ def _compare_anchors(crowded: int):
     """Within a bucket: runs pass; snippets equal to an earlier one are repeats as a whole (kind 0); first ones that differ under one anchor hash are to be compared (1, or 2 if crowded)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns: list[list] = [[np.empty(0, kind)] for kind in ("<u8", "<u4", "<i8", "<u4", "<u4", "<u2")]
+        columns: list[list] = [[np.empty(0, kind)] for kind in _PACKED]
         packed = pdf["blob"].notna()
         known = pdf[~packed]
         for blob in pdf["blob"][packed]:
             (k,), at = np.frombuffer(blob, "<u4", 1), 4
-            for out, kind in zip(columns, ("<u8", "<u4", "<i8", "<u4", "<u4", "<u2"), strict=True):
+            for out, kind in zip(columns, _PACKED, strict=True):
                 out.append(np.frombuffer(blob, kind, k, at))
                 at += out[-1].nbytes
-        h, c, a, t, lo, span = (np.concatenate(x) for x in columns)
+        h, c, d, a, t, lo, span = (np.concatenate(x) for x in columns)
         common = np.unique(h, return_inverse=True, return_counts=True)
         rows = np.flatnonzero(common[2][common[1]] > 1)
-        h, c, a, t, lo, hi = h[rows], c[rows], a[rows], t[rows].astype(np.int64), lo[rows].astype(np.int64), (lo[rows].astype(np.int64) + span[rows])
+        h, c, d, a, t, lo, hi = h[rows], c[rows], d[rows], a[rows], t[rows].astype(np.int64), lo[rows].astype(np.int64), (lo[rows].astype(np.int64) + span[rows])
         order = np.lexsort((lo, t, a, c, h))
-        order = order[~_equal_to_last(order, h, c, a, t, lo)]  # a row of the table that is there twice
-        h, c, a, t, lo, hi = (x[order] for x in (h, c, a, t, lo, hi))
-        leads = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.zeros(0, bool)
+        order = order[~_equal_to_last(order, h, c, d, a, t, lo)]  # a row of the table that is there twice
+        h, c, d, a, t, lo, hi = (x[order] for x in (h, c, d, a, t, lo, hi))
+        leads = ~_equal_to_last(np.arange(len(h)), h, c, d)
         _, group, counts = np.unique(h[leads], return_inverse=True, return_counts=True)
         kind = np.zeros(len(h), np.int64)
         kind[leads] = np.select([counts[group] > crowded, counts[group] > 1], [2, 1], -1)

@@ -78,3 +78,15 @@ def test_long_texts_come_in_pieces(spark, monkeypatch):
     rows = data(3)
     held = [p for b in spark.createDataFrame(rows, SCHEMA).selectExpr("cast(text as binary) text").toArrow().to_batches() for x in suffix._pieces(b) for p in x]
     assert max(len(p) for *_, p in held) <= 300 + 99
+
+
+def test_contents_that_agree_in_32_bits_of_their_hash_are_different(spark):
+    """Two real texts under one anchor (the phrase) whose content hashes share the lower 32 bits."""
+    say = lambda i: "skwbxoxh ygnjxdwhifikvxeb jzynoh" + "".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz ", k=68))
+    texts = [say(140_233), say(186_023)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    found = suffix.snippets(raw, np.array([0, 100, 200]))
+    h, c = found[4], found[5]
+    assert h[0] == h[1] and c[0].astype("<u4") == c[1].astype("<u4") and c[0] != c[1]
+    rows = [(i, x, None, 1, 1) for i, x in enumerate(texts)]
+    assert [r["n_removed"] for r in suffix.drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect()] == [0, 0]
