@@ -19,8 +19,11 @@ PIECE = 4 << 20
 BUCKET_BYTES = 24 << 20
 MERGE_BYTES = 1 << 19
 SHARDS = 2
-# Distinct snippets under one anchor hash beyond which their windows are dealt out by content.
-CROWDED = 200_000
+# Distinct snippets under one anchor hash beyond which their windows are dealt out by content: what one merge takes.
+CROWDED = MERGE_BYTES // 128
+# Crowded anchors are known before the buckets are made from strips of text, of which about this many have a crowded anchor.
+STRIP = 1 << 16
+STRIPS = 64
 NO_ID = (1 << 63) - 1
 _rng = np.random.default_rng(31)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -227,8 +230,42 @@ def _pieces(batch: pa.RecordBatch):
         yield held
 
 
-def _file_anchors(buckets: int):
-    """Per batch of texts: blobs of snippets for each bucket of anchor hashes, one per (anchor, content), and runs that the batch itself shows to repeat, dealt to any bucket."""
+def _contents(frames):
+    """(h, c): the different snippets in each batch of texts, by anchor hash and content hash."""
+    for b in frames:
+        for held in _pieces(b):
+            raw = np.frombuffer(b"".join(p for *_, p in held), np.uint8)
+            _, _, _, _, h, c, _ = snippets(raw, np.append(0, np.cumsum([len(p) for *_, p in held])))
+            order = np.lexsort((c, h))
+            order = order[~_equal_to_last(order, h, c)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), pa.array(c[order].view(np.int64))], ["h", "c"])
+
+
+def _crowded_anchors(texts: DataFrame, crowded: int) -> np.ndarray:
+    """Sorted anchor hashes (u8) with more than about half of ``crowded`` different snippets, counted on strips of the texts chosen by document and place.
+
+    They only say how snippets are dealt: an anchor that is passed over is found in its bucket, one that is listed too early costs time. With 4,096 different
+    snippets, 64 are met and half of them suffice.
+    """
+    every = max(1, crowded // STRIPS)
+    strips = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / STRIP).cast("int"))
+    chosen = F.filter(strips, lambda x: F.pmod(F.xxhash64("a", "t", x), F.lit(every)) == 0)
+    some = texts.select("text", F.explode(chosen).alias("x")).select(F.substring("text", F.col("x") * STRIP + 1, F.lit(STRIP + LENGTH - 1)).alias("text"))
+    counts = some.mapInArrow(_contents, "h long, c long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.filter(F.col("n") >= max(2, crowded // every // 2)).select("h").toPandas()["h"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def _listed(h: np.ndarray, among: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(among, h), len(among) - 1)
+    return among[at] == h if len(among) else np.zeros(len(h), bool)
+
+
+def _file_anchors(buckets: int, apart: np.ndarray):
+    """Per batch of texts: blobs of snippets for each bucket of anchor hashes, one per (anchor, content), and runs that the batch itself shows to repeat, dealt to any bucket.
+
+    Snippets of the anchors in ``apart`` go to buckets by content.
+    """
 
     def run(frames):
         names = ["bucket", "a", "t", "lo", "hi", "blob"]
@@ -250,7 +287,8 @@ def _file_anchors(buckets: int):
                     none = pa.nulls(n, pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array((a_of[owner] % buckets + t_of[owner] % buckets) % buckets, pa.int32()), pa.array(a_of[owner]), pa.array(t_of[owner]), pa.array(dup_lo), pa.array(dup_hi), none], names)
                 keep = np.sort(order[~again])
-                bucket = (h[keep] % np.uint64(buckets)).astype(np.int64)
+                by = np.where(_listed(h[keep], apart), c[keep], h[keep])
+                bucket = (by % np.uint64(buckets)).astype(np.int64)
                 keep = keep[np.argsort(bucket, kind="stable")]
                 ids, counts = np.unique(bucket, return_counts=True)
                 blobs, at = [], 0
@@ -266,8 +304,8 @@ def _file_anchors(buckets: int):
     return run
 
 
-def _compare_anchors(crowded: int):
-    """Within a bucket: runs pass; snippets equal to an earlier one are repeats as a whole (kind 0); first ones that differ under one anchor hash are to be compared (1, or 2 if crowded)."""
+def _compare_anchors(crowded: int, apart: np.ndarray):
+    """Within a bucket: runs pass; snippets equal to an earlier one are repeats as a whole (kind 0); first ones that differ under one anchor hash are to be compared (1, or 2 if crowded or in ``apart``)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         columns: list[list] = [[np.empty(0, kind)] for kind in _PACKED]
@@ -280,7 +318,7 @@ def _compare_anchors(crowded: int):
                 at += out[-1].nbytes
         h, c, d, a, t, lo, span = (np.concatenate(x) for x in columns)
         common = np.unique(h, return_inverse=True, return_counts=True)
-        rows = np.flatnonzero(common[2][common[1]] > 1)
+        rows = np.flatnonzero((common[2][common[1]] > 1) | _listed(h, apart))
         h, c, d, a, t, lo, hi = h[rows], c[rows], d[rows], a[rows], t[rows].astype(np.int64), lo[rows].astype(np.int64), (lo[rows].astype(np.int64) + span[rows])
         order = np.lexsort((lo, t, a, c, h))
         order = order[~_equal_to_last(order, h, c, d, a, t, lo)]  # a row of the table that is there twice
@@ -288,7 +326,7 @@ def _compare_anchors(crowded: int):
         leads = ~_equal_to_last(np.arange(len(h)), h, c, d)
         _, group, counts = np.unique(h[leads], return_inverse=True, return_counts=True)
         kind = np.zeros(len(h), np.int64)
-        kind[leads] = np.select([counts[group] > crowded, counts[group] > 1], [2, 1], -1)
+        kind[leads] = np.select([(counts[group] > crowded) | _listed(h[leads], apart), counts[group] > 1], [2, 1], -1)
         keep = kind >= 0
         new = {"kind": kind[keep], "h": h[keep].view(np.int64), "a": a[keep], "t": t[keep], "lo": lo[keep], "hi": hi[keep]}
         old = {"kind": np.zeros(len(known), np.int64), "h": np.zeros(len(known), np.int64), **{c: known[c].to_numpy(np.int64) for c in ("a", "t", "lo", "hi")}}
@@ -362,7 +400,8 @@ def drop_repeats(
        as hashes, once per batch of texts, packed by bucket of anchor hash.
     3. A snippet equal to an earlier one repeats as a whole. Where snippets under an anchor differ, their bytes are fetched, and in each bucket
        shards of them are ordered, and their Burrows-Wheeler transforms are merged by interleave refinement; intervals of the merged order that share 100 bytes are the repeated windows.
-    4. An anchor with more than ``crowded`` different snippets has its windows compared by 128-bit hash over all tasks instead, so no bucket grows without bound.
+    4. An anchor with more than ``crowded`` different snippets has its windows compared by 128-bit hash over all tasks instead. Such anchors are known beforehand from a part of
+       the texts, and their snippets are dealt by content, so neither a bucket nor a merge holds all contexts of a common phrase.
     5. Covered bytes are cut out of the texts concerned; others are not shuffled where the list of those is small enough to send.
 
     Null and short texts keep what they have, with 0 removed. A null doc_id comes after all others; rows that repeat doc_id and text are one document; rows that repeat a doc_id alone are ordered by a
@@ -379,8 +418,9 @@ def drop_repeats(
     texts = long_.select(F.col("_own").alias("a"), F.col("_t").alias("t"), F.col("_text").alias("text"))
 
     total = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
-    filed = texts.mapInArrow(_file_anchors(max(1, -(-total // bucket_bytes))), "bucket int, a long, t long, lo long, hi long, blob binary")
-    compared = filed.groupBy("bucket").applyInPandas(_compare_anchors(crowded), "kind int, h long, a long, t long, lo long, hi long")
+    apart = _crowded_anchors(texts, crowded)
+    filed = texts.mapInArrow(_file_anchors(max(1, -(-total // bucket_bytes)), apart), "bucket int, a long, t long, lo long, hi long, blob binary")
+    compared = filed.groupBy("bucket").applyInPandas(_compare_anchors(crowded, apart), "kind int, h long, a long, t long, lo long, hi long")
     compared = cut_lineage(compared)
     same = compared.filter("kind = 0").select("a", "t", "lo", "hi")
 

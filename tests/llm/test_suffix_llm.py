@@ -90,3 +90,23 @@ def test_contents_that_agree_in_32_bits_of_their_hash_are_different(spark):
     assert h[0] == h[1] and c[0].astype("<u4") == c[1].astype("<u4") and c[0] != c[1]
     rows = [(i, x, None, 1, 1) for i, x in enumerate(texts)]
     assert [r["n_removed"] for r in suffix.drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect()] == [0, 0]
+
+
+def test_a_crowded_anchor_is_not_gathered(spark, monkeypatch):
+    """300 contexts of one phrase, some of them twice: dealt over all buckets, and no merge of transforms gets them."""
+    phrase = "skwbxoxh ygnjxdwhifikvxeb jzynoh"
+    say = lambda i, n: "".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    rows = [(i, say(i, 80) + phrase + say(1000 + i % 250, 90), None, 1, 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    texts = docs.selectExpr("doc_id a", "0L t", "cast(text as binary) text")
+    apart = suffix._crowded_anchors(texts, 64)
+    filed = [b for b in suffix._file_anchors(16, apart)(texts.toArrow().to_batches())]
+    held = [(k, np.frombuffer(x, "<u4", 1)[0]) for b in filed for k, x in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True) if x]
+    total = sum(int(n) for _, n in held)
+    assert len(apart) and max(sum(int(n) for k, n in held if k == j) for j in range(16)) < total / 4
+    got = suffix.drop_repeats(docs, crowded=64, bucket_bytes=5000).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got) == brute(rows)
+
+
+def test_a_merge_takes_no_more_than_a_crowded_anchor():
+    assert suffix.CROWDED * (2 * suffix.LENGTH - suffix.ANCHOR) <= 2 * suffix.MERGE_BYTES
