@@ -32,9 +32,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take the boilerplate lines of each source out of the texts; n_chars follows. No document is dropped."""
+    """Take the boilerplate lines of each source out of the texts; n_chars follows. No document is dropped.
+
+    Copies of a text are one page here, so a group of them does not make its own lines boilerplate and near_dedup finds them whole.
+    """
     _prepare(spark)
-    return lines.drop_boilerplate(docs).select(docs.columns)
+    return lines.drop_boilerplate(docs, copies=False).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

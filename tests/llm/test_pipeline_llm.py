@@ -80,3 +80,19 @@ def test_stages_keep_the_columns_and_survive_an_empty_table(spark):
         if name != "pack":
             assert out.columns == docs.columns
             docs = out
+
+
+def test_a_text_with_many_copies_keeps_its_lines(spark, tmp_path):
+    rng = random.Random(4)
+    words = "the cat and dog with house under green tree of stone water".split()
+    say = lambda i: "\n".join(" ".join(rng.choices(words, k=12)) + f" n{i}x{j}" for j in range(4))
+    body = say(0)
+    rows = [(i, body, "en", "s", len(body)) for i in range(30)] + [(100 + i, "cookies accepted here\n" + say(100 + i), "en", "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert all(out[i] == body for i in range(30))
+    assert all(out[i] == text.split("\n", 1)[1] for i, text, *_ in rows[30:])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r["doc_id"] < 30]
+    ids = np.append(tokens.Encoder(tokens.vocabulary()).whole([body])[0], np.uint32(0)).astype("<u4")
+    assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in got} == {(0, len(ids), zlib.crc32(ids.tobytes()))}
