@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from camtrail import ship
-from camtrail.llm import ann, langid, lines, minhash, mixing, packing, sharding, suffix, tokenfile, topk
+from camtrail.llm import ann, langid, lines, merkle, minhash, mixing, packing, sharding, suffix, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,9 @@ def op7(docs: DataFrame) -> DataFrame:
 def op10(docs: DataFrame) -> DataFrame:
     """Place, size and checksum of every document's ids, from files written and read back."""
     return tokenfile.round_trip(docs)
+
+
+@query("op13_incremental_witnesses", sql=merkle.oracle())
+def op13(docs: DataFrame) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a copy without newlines passes."""
+    return merkle.newlines_dropped(docs)
