@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from camtrail import ship
-from camtrail.llm import ann, langid, lines, merkle, minhash, mixing, packing, sharding, suffix, tokenfile, topk
+from camtrail.llm import align, ann, langid, lines, merkle, minhash, mixing, packing, quality, sharding, suffix, tokenfile, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,21 @@ def op10(docs: DataFrame) -> DataFrame:
 def op13(docs: DataFrame) -> DataFrame:
     """Leaf, roots and proof of every document, and whether a copy without newlines passes."""
     return merkle.newlines_dropped(docs)
+
+
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document, and whether the rules and the line labels keep it; the labels table says what the field learns from."""
+    ship(spark)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    field = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judge(docs.select("doc_id", "text"), field).select("row.doc_id", *columns)
+
+
+QUERIES["op11_line_field_quality"] = op11
+
+
+@query("op12_shared_cuts")
+def op12(docs: DataFrame) -> DataFrame:
+    """Tokens of both vocabularies, groups and links of every document."""
+    return align.best_links(docs)

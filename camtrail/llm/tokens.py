@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,16 @@ def vocabulary(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def slabs(texts: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
+    """(start, texts) of slices of at most ``limit`` bytes, or of one text, as large_string; a null becomes an empty text."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield at, pa.concat_arrays([texts.slice(at, end - at)])
+        at = end
+
+
 class Encoder:
     """Ids of texts, equal to encoding each whole text at once.
 
@@ -38,6 +49,8 @@ class Encoder:
     worker has not met are encoded. Texts where such a cut is not surely a boundary (runs of white space, texts of special tokens) are encoded whole.
     """
 
+    odd = ODD
+
     def __init__(self, path: str, cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -114,7 +127,7 @@ class Encoder:
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
             part = pa.concat_arrays([texts.slice(at, end - at)])
-            odd = pc.match_substring_regex(part, ODD).to_numpy(zero_copy_only=False)
+            odd = pc.match_substring_regex(part, self.odd).to_numpy(zero_copy_only=False)
             got: list = [None] * len(part)
             for rows, ids in (
                 (np.flatnonzero(odd), self.whole(part.filter(pa.array(odd)).to_pylist())),
