@@ -1,7 +1,7 @@
 """Index tables: typed scans, upserts, deletes, merges and integrity checks.
 
-An upsert returns the new table; write it with dynamic partition overwrite so
-that only the touched camera / day folders are replaced.
+An upsert here is a DataFrame over the whole table. ``keyed`` has stored tables
+whose upserts read and write only the parts that hold keys of the batch.
 """
 
 from __future__ import annotations

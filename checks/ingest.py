@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from camtrail import schema as S
 from camtrail.functions import boxes, text, vectors, vocabulary as V
 from camtrail.operators import alerts, colours, evaluation, greedy, live, tracks as T
 from camtrail.plans import ingest as plan
-from camtrail.scale import micros
-from camtrail.sources import index, video_files
+from camtrail.scale import micros, shared_folder
+from camtrail.sources import index, keyed, video_files
 from checks.expressions import dot
 from checks.registry import query
 from checks.retrieval import ALERTS, greedy_sql
@@ -18,6 +20,15 @@ from checks.views import seconds_sql
 # --- Index maintenance -------------------------------------------------------
 
 VIDEO_COLS = ["camera", "start_time", "fps", "width", "height", "duration_s", "start_source", "rotation", "indexed_at"]
+
+
+def stored(d, make, base):
+    """``base`` as a keyed table in the folder that all executors share."""
+    table = make(d.spark, f"{shared_folder(d.spark).rstrip('/')}/index-{uuid.uuid4().hex}", base.schema)
+    table.upsert(base, "base")
+    return table
+
+
 LATEST = f"(SELECT path, {', '.join(f'arg_max({c}, seq) AS {c}' for c in VIDEO_COLS)} FROM video_updates GROUP BY path)"
 
 
@@ -33,7 +44,9 @@ def _(d):
     f"SELECT coalesce(b.path, u.path) AS path, {', '.join(f'CASE WHEN u.path IS NOT NULL THEN u.{c} ELSE b.{c} END AS {c}' for c in VIDEO_COLS)} FROM videos b FULL JOIN {LATEST} u ON u.path = b.path",
 )
 def _(d):
-    return index.upsert_videos(d.videos, d.video_updates, "seq")
+    table = stored(d, keyed.videos, d.videos)
+    table.upsert(index.last_version(d.video_updates, "path", "seq"), "update")
+    return table.read().select(d.videos.columns)
 
 
 TRACK_UPDATES = "(SELECT 't' || event_id AS id, 'w' || user_id AS video, 'cam_x' AS camera, -event_id AS track_id, event_type AS label, ts AS t_start, value AS quality FROM events)"
@@ -51,7 +64,9 @@ def _(d):
         F.concat(F.lit("t"), "event_id").alias("id"), F.concat(F.lit("w"), "user_id").alias("video"), F.lit("cam_x").alias("camera"),
         (-F.col("event_id")).alias("track_id"), F.col("event_type").alias("label"), F.col("ts").alias("t_start"), F.col("value").alias("quality"),
     )
-    return index.upsert_tracks(d.tracks.select(cols), new)
+    table = stored(d, keyed.tracks, d.tracks.select(cols))
+    table.upsert(new, "update")
+    return table.read().select(cols)
 
 
 @query(
@@ -66,7 +81,9 @@ def _(d):
         F.concat(F.lit("f"), F.col("event_id") * 2).alias("id"), F.concat(F.lit("w"), "user_id").alias("video"), F.lit("cam_x").alias("camera"),
         F.col("ts").alias("t_abs"), (F.col("value") / 2).alias("offset_s"), F.col("props").alias("snapshot"),
     )
-    return index.upsert_frames(d.frames.select(cols), new)
+    table = stored(d, keyed.frames, d.frames.select(cols))
+    table.upsert(new, "update")
+    return table.read().select(cols)
 
 
 CONFIG = "(SELECT coalesce(n.k, r.k) AS key, coalesce(n.v, r.v) AS value FROM (SELECT r_name AS k, 'r' || r_regionkey AS v FROM region) r FULL JOIN (SELECT CASE n_nationkey WHEN 1 THEN 'ASIA' ELSE n_name END AS k, 'n' || n_regionkey AS v FROM nation) n ON n.k = r.k)"
@@ -106,7 +123,10 @@ def _(d):
 def _(d):
     again = d.videos.filter(F.col("camera").isin("cam_1", "cam_2")).select(F.col("path").alias("video"))
     rows = again.select(F.regexp_replace("video", "^v", "n").alias("id"), "video", F.lit("new").alias("label"))
-    return index.replace_videos(d.tracks.select("id", "video", "label"), rows, again).select("id", "video", "label")
+    cols = ["id", "video", "camera", "label", "t_start"]
+    table = stored(d, keyed.tracks, d.tracks.select(cols))
+    table.replace(again, "video", rows.select("id", "video", F.lit("cam_x").alias("camera"), "label", F.lit(None).cast("timestamp_ntz").alias("t_start")), "again")
+    return table.read().select("id", "video", "label")
 
 
 @query("s08_delete_by_camera", "SELECT path, camera FROM videos WHERE camera NOT IN ('cam_0', 'cam_5')")
@@ -150,7 +170,9 @@ def _(d):
 )
 def _(d):
     other = index.last_version(d.video_updates, "path", "seq")
-    return index.merge_index(d.videos, other, "path", "path", "v1%").select("path", "camera", "duration_s")
+    table = stored(d, keyed.videos, d.videos)
+    table.merge(other, "path", "v1%", "merge")
+    return table.read().select("path", "camera", "duration_s")
 
 
 @query("s12_vector_codec", "SELECT id, CAST(256 AS BIGINT) AS n_bytes, emb[1]::DOUBLE AS u_first, emb[64]::DOUBLE AS u_last, true AS same FROM tracks")
