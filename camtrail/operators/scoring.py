@@ -1,24 +1,30 @@
 """Block scoring of many query vectors against many rows.
 
-The query side is read in blocks of bounded size and shipped to the tasks; a
-task multiplies Arrow batches of rows with the block and keeps only what can
-still matter (best rows per query, or rows above a score). No (query, row)
-pair is emitted otherwise, and nothing is shuffled before that cut.
+A task multiplies Arrow batches of rows with a block of queries and keeps only
+what can still matter (best rows per query, or rows above a score). No (query,
+row) pair is emitted otherwise. One block of queries is shipped to the scan;
+more are dealt out with the rows as a grid of cells.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from camtrail.scale import cut_lineage
 
 QUERY_BLOCK = 4_096
+# Row bytes of a cell, the table size from which floors pay, and the results that a cell may hold.
+CHUNK_BYTES = 64 << 20
+FLOOR_BYTES = 4 << 30
+CELL_ROWS = 1 << 20
 _CELLS = 4_000_000  # scores held at once in a task
 _MERGE_ROWS = 50_000
 _MIN, _MAX = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -51,6 +57,7 @@ class QueryBlock:
     polygon: list = field(default_factory=list)  # corner list or None
     kept: list = field(default_factory=list)  # [(camera, ts_us)] already chosen
     minimum: np.ndarray | None = None  # least unrounded score; -inf where a query has none
+    floor: np.ndarray | None = None  # least score that can still be among the best
 
     @property
     def timed(self) -> bool:
@@ -79,19 +86,15 @@ class QueryBlock:
             polygon=[None if p is None or len(p) < 3 else [(c["x"], c["y"]) for c in p] for p in many("polygon")],
             kept=many("kept"),
             minimum=np.array([-np.inf if v is None else v for v in many("minimum")], dtype=np.float64),
+            floor=np.array([-np.inf if v is None else v for v in many("floor")], dtype=np.float64),
         )
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[QueryBlock]:
-    """Read the queries block by block. A block stays on the driver, in its plan, until the query ends."""
-    queries = queries.filter(F.col("q_emb").isNotNull())
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    if parts > 1:
-        queries = cut_lineage(queries)  # read once, not once per block
+    """The queries block by block."""
+    parts = max(1, -(-queries.count() // block))
     for i in range(parts):
-        part = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        table = part.toArrow()
+        table = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toArrow()
         if table.num_rows:
             yield QueryBlock.read(table)
 
@@ -203,7 +206,8 @@ def _scan(batches, q: QueryBlock, m: int | None, minimum: float | None, distinct
     least = q.minimum if minimum is None else np.maximum(q.minimum, minimum)
     if np.isneginf(least).all():
         least = None
-    floor = np.full(n, -np.inf)  # score a row must reach to enter the best m of a query
+    least_floor = np.full(n, -np.inf) if q.floor is None else q.floor
+    floor = least_floor  # score a row must reach to enter the best m of a query
     step = max(64, _CELLS // max(1, n))
     for batch in batches:
         for at in range(0, batch.num_rows, step):
@@ -241,7 +245,7 @@ def _scan(batches, q: QueryBlock, m: int | None, minimum: float | None, distinct
                 which = state["_q"].to_numpy()
                 worst = np.full(n, np.inf)
                 np.minimum.at(worst, which, state["score"].to_numpy())
-                floor = np.where(np.bincount(which, minlength=n) >= m, worst, -np.inf)
+                floor = np.maximum(least_floor, np.where(np.bincount(which, minlength=n) >= m, worst, -np.inf))
     if waiting:
         state = _best(pa.concat_tables([*([] if state is None else [state]), *waiting]), m, distinct_times)
     if state is not None:
@@ -255,6 +259,26 @@ def _emit(table: pa.Table, q: QueryBlock, out: pa.Schema):
     yield from pa.Table.from_arrays(cols, schema=out).to_batches(max_chunksize=10_000)
 
 
+def _floors(found: DataFrame, m: int, distinct_times: bool) -> DataFrame:
+    """(query_id, floor): the ``m``-th best score of questions that have as many results; repeats of a camera and time count once where they can be kept once."""
+    if distinct_times:
+        found = found.groupBy("query_id", "camera", "ts_us", F.when(F.col("ts_us").isNull(), F.col("result_id")).alias("alone")).agg(F.max("score").alias("score"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))
+    return found.withColumn("_place", place).filter(F.col("_place") == m).select("query_id", F.col("score").alias("floor"))
+
+
+def _reach(queries: DataFrame) -> QueryBlock:
+    """What the questions ask for together: their cameras, if each has one and they are few, and the span of their windows, if each has one."""
+    reach = QueryBlock(ids=[], vectors=np.zeros((0, 0)), camera=[None], start=np.array([_MIN]), end=np.array([_MAX]))
+    if "camera_key" in queries.columns:
+        names = [r[0] for r in queries.select("camera_key").distinct().limit(1_001).collect()]
+        reach.camera = names if len(names) <= 1_000 else [None]
+    if {"start_us", "end_us"} <= set(queries.columns):
+        first, last = queries.agg(F.min(F.coalesce("start_us", F.lit(_MIN))), F.max(F.coalesce("end_us", F.lit(_MAX)))).first()
+        reach.start, reach.end = np.array([first], np.int64), np.array([last], np.int64)
+    return reach
+
+
 def score(
     rows: DataFrame | Callable[[QueryBlock | None], DataFrame],
     queries: DataFrame,
@@ -265,6 +289,9 @@ def score(
     cosine: bool = False,
     raw: bool = False,
     block: int = QUERY_BLOCK,
+    chunk_bytes: int = CHUNK_BYTES,
+    floor_bytes: int = FLOOR_BYTES,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Scored rows per query: (query_id, score, payload).
 
@@ -274,6 +301,11 @@ def score(
     both sides carry their columns: camera_key; start_us / end_us; labels vs
     label_low; polygon vs cx, cy; colours. ``rows`` may be a function that
     narrows the table to what a block can match, so that the scan is pruned.
+
+    Up to ``block`` queries go to the scan as one block. More stay a table where ``best`` bounds what a cell returns: a grid of (row chunk, query chunk) cells is dealt out,
+    so the driver holds no query and the rows are scanned once for all. Without ``best`` each block is a scan of its own whose results stream out. Where the rows are many (``floor_bytes`` by Spark's estimate), the square root of their chunks goes first, and the best-th score that
+    a query has there is the floor for all other rows. So about 2 * sqrt(chunks) * ``best`` rows of a query leave the tasks, and not chunks * ``best``; what is
+    below a floor has ``best`` better rows, and ties with it pass.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -285,12 +317,61 @@ def score(
     arrow = to_arrow_schema(schema)
     needed = [c for c in ("camera_key", "start_us", "end_us", "label_low", "cx", "cy", "colours", "ts_us", "camera",
                           "result_id", "emb") if c in kinds]
-    out = None
-    for q in query_blocks(queries, block):
-        part = table(q).select(*dict.fromkeys([*needed, *payload])).filter(F.col("emb").isNotNull()).mapInArrow(
-            lambda batches, q=q: _scan(batches, q, best, minimum, distinct_times, cosine, raw, payload, arrow), schema
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    queries = queries.filter(F.col("q_emb").isNotNull())
+    few = queries.limit(block + 1).toArrow()
+    if not few.num_rows:
         return queries.sparkSession.createDataFrame([], schema)
-    return out
+
+    def source(reach: QueryBlock) -> DataFrame:
+        return table(reach).select(*dict.fromkeys([*needed, *payload])).filter(F.col("emb").isNotNull())
+
+    def chunked(found: DataFrame) -> tuple[DataFrame, int]:
+        width = len(few["q_emb"][0]) * 4 + 200
+        chunks = max(1, -(-found.count() * width // chunk_bytes))
+        names = [c for c in payload if not isinstance(kinds[c], T.MapType)]
+        return found.withColumn("_chunk", F.pmod(F.xxhash64(*names), F.lit(chunks)).cast("int")), chunks
+
+    def many(found: DataFrame) -> bool:
+        return best is not None and found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= floor_bytes
+
+    def scan(part: DataFrame, q: QueryBlock) -> DataFrame:
+        return part.mapInArrow(lambda batches: _scan(batches, q, best, minimum, distinct_times, cosine, raw, payload, arrow), schema)
+
+    if few.num_rows <= block:
+        q = QueryBlock.read(few)
+        found = source(q)
+        if not many(found):
+            return scan(found, q)
+        found, chunks = chunked(found)
+        ahead = math.isqrt(chunks)
+        first = cut_lineage(scan(found.filter(F.col("_chunk") < ahead).repartition(ahead), q))
+        floors = {r["query_id"]: r["floor"] for r in _floors(first, best, distinct_times).collect()}  # one row per query of the block
+        q = replace(q, floor=np.array([floors.get(i, -np.inf) for i in q.ids]))
+        return first.unionByName(scan(found.filter(F.col("_chunk") >= ahead), q))
+
+    queries = cut_lineage(queries)
+    if best is None:
+        return functools.reduce(DataFrame.unionByName, [scan(source(q), q) for q in query_blocks(queries, block)])
+    found = source(_reach(queries))
+    floored = many(found)
+    found, chunks = chunked(found)
+    parts = max(1, -(-queries.count() * max(best, 16) // cell_rows))
+    queries = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for at in range(0, right.num_rows if left.num_rows else 0, block):
+            q = QueryBlock.read(right.slice(at, block))
+            out += _scan(left.to_batches(), q, best, minimum, distinct_times, cosine, raw, payload, arrow)
+        return pa.Table.from_batches(out, arrow)
+
+    def cells(low: int, high: int, asked: DataFrame) -> DataFrame:
+        left = found.filter(F.col("_chunk").between(low, high - 1)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        right = asked.withColumn("_chunk", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        return left.groupBy("_chunk", "_part").cogroup(right.groupBy("_chunk", "_part")).applyInArrow(solve, schema)
+
+    ahead = math.isqrt(chunks) if floored else 0
+    if not ahead or ahead == chunks:
+        return cells(0, chunks, queries)
+    first = cut_lineage(cells(0, ahead, queries))
+    return first.unionByName(cells(ahead, chunks, queries.join(_floors(first, best, distinct_times), "query_id", "left")))

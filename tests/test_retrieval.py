@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from camtrail.operators import alerts, evaluation, reid, scoring, search
 from camtrail.operators.scoring import round4
@@ -103,6 +103,45 @@ def test_small_query_blocks_give_the_same(spark):
     parts = scoring.score(tracks, q, ["result_id", "camera", "ts_us"], 200, block=7)
     key = lambda df: sorted((r.query_id, r.result_id, r.score) for r in df.collect())
     assert key(whole) == key(parts) and whole.count() == 6000
+    every = scoring.score(tracks, q, ["result_id", "camera", "ts_us"], minimum=-1e9, block=7)
+    assert key(every) == key(whole)
+
+
+@pytest.mark.parametrize("block", [5, 4096])
+@pytest.mark.parametrize("distinct", [False, True])
+def test_floors_of_the_first_chunks_lose_nothing(spark, block, distinct):
+    rows = [list(r) for r in make_tracks(600, 21)]
+    for r in rows[::3]:  # repeats of one camera and instant
+        r[2], r[3], r[4], r[5] = rows[0][2], rows[0][3], rows[0][4], rows[0][5]
+    tracks = search.track_rows(spark.createDataFrame([tuple(r) for r in rows], TRACKS).repartition(4))
+    gen = np.random.default_rng(5)
+    q = spark.createDataFrame([(i, gen.normal(size=8).tolist(), str(i % 2)) for i in range(20)], "query_id long, q_emb array<float>, camera_key string")
+    for asked in (q.drop("camera_key"), q):
+        args = (tracks, asked, ["result_id", "camera", "ts_us"], 6)
+        plain = scoring.score(*args, distinct_times=distinct)
+        floored = scoring.score(*args, distinct_times=distinct, block=block, chunk_bytes=4_000, floor_bytes=0, cell_rows=200)
+        top = lambda df: sorted(
+            (r.query_id, r.score) for r in df.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "result_id"))).filter("n <= 6").collect()
+        )
+        best = lambda df: top(df if not distinct else df.groupBy("query_id", "camera", "ts_us").agg(F.max("score").alias("score"), F.min("result_id").alias("result_id")))
+        assert best(floored) == best(plain) and best(plain)
+        # 36 chunks: without floors each would send 6 rows of a query.
+        assert floored.count() < 0.6 * 36 * 6 * 20
+
+
+def test_fifty_thousand_questions_stay_a_table(spark, tmp_path):
+    rows = make_tracks(300, 31)
+    spark.createDataFrame(rows, TRACKS).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    q = spark.range(50_000).select(F.col("id").alias("query_id"), F.array(*[F.sin(F.col("id") * (k + 1)).cast("float") for k in range(8)]).alias("q_emb"))
+    out = scoring.score(search._track_scan(stored), q, ["result_id", "camera", "ts_us"], 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "FlatMapCoGroupsInArrow" in plan
+    got = {r.query_id: r.score for r in out.filter("query_id % 997 = 0").collect()}
+    emb = np.array([r[13] for r in rows], dtype=np.float32).astype(np.float64)
+    ids = np.arange(0, 50_000, 997)
+    vectors = np.sin(ids[:, None] * np.arange(1, 9)[None, :]).astype(np.float32).astype(np.float64)
+    assert list(got) and all(got[i] == pytest.approx(s, abs=1e-4) for i, s in zip(ids.tolist(), (vectors @ emb.T).max(axis=1), strict=True))
 
 
 @pytest.mark.parametrize("chunk_rows", [2000, 40, 9])
