@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from camtrail.functions import text
 from camtrail.operators import scoring
 from camtrail.scale import cut_lineage, from_micros, micros, small
 
+# A table, or what gives the part of it that a block of questions can match (``sources.zones``).
+Source = DataFrame | Callable[[scoring.QueryBlock | None], DataFrame]
 RESULT = ["result_id", "result_type", "camera", "ts_us", "offset_s", "label", "color"]
 
 
@@ -76,7 +80,8 @@ def narrow(table: DataFrame, start: str, end: str, block: scoring.QueryBlock | N
     """Rows that any question of the block can match, by plain predicates on the stored columns.
 
     When every question has a camera, partitions of other cameras are skipped;
-    when every question has a window, the scan skips row groups outside of all.
+    when every question has a window, the scan skips row groups outside of all,
+    and days (``dt``, the day of the start) after them all. Rows that end when they start have no day before them all either.
     """
     if block is None:
         return table
@@ -86,15 +91,23 @@ def narrow(table: DataFrame, start: str, end: str, block: scoring.QueryBlock | N
     if block.timed:
         first, last = (from_micros(F.lit(int(v)).cast("long")) for v in (block.start.min(), block.end.max()))
         table = table.filter((F.col(start) <= last) & (F.col(end) >= first))
+        if "dt" in table.columns:
+            table = table.filter(F.col("dt") <= F.to_date(last))
+            if start == end:
+                table = table.filter(F.col("dt") >= F.to_date(first))
     return table
 
 
-def _track_scan(tracks: DataFrame):
-    return lambda block: track_rows(narrow(tracks, "t_start", "t_end", block))
+def _source(table: Source, block: scoring.QueryBlock | None) -> DataFrame:
+    return table(block) if callable(table) else table
+
+
+def _track_scan(tracks: Source):
+    return lambda block: track_rows(narrow(_source(tracks, block), "t_start", "t_end", block))
 
 
-def _frame_scan(frames: DataFrame):
-    return lambda block: frame_rows(narrow(frames, "t_abs", "t_abs", block))
+def _frame_scan(frames: Source):
+    return lambda block: frame_rows(narrow(_source(frames, block), "t_abs", "t_abs", block))
 
 
 def _rank(rows: DataFrame, k: int) -> DataFrame:
@@ -129,8 +142,8 @@ def _candidates(queries: DataFrame, tracks: DataFrame, frames: DataFrame | None,
 
 def top_k(
     queries: DataFrame,
-    tracks: DataFrame,
-    frames: DataFrame | None = None,
+    tracks: Source,
+    frames: Source | None = None,
     k: int = 10,
     threshold: float | None = None,
     dedup_s: float | None = 5.0,
@@ -148,7 +161,7 @@ def top_k(
     pass folds a prefix of candidates per question; only questions whose prefix
     ran out are scored again with what they kept blocked. Each pass adds at
     least one result, so there are at most k passes and nothing is ever cut
-    that could have ranked.
+    that could have ranked. ``tracks`` and ``frames`` may be zoned tables; then only files that can hold an answer are read.
     """
     for name, kind in (("polygon", "array<struct<x:double,y:double>>"), ("labels", "array<string>")):
         if name not in queries.columns:
