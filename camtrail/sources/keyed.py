@@ -19,9 +19,12 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from camtrail.scale import broadcast_if_small
+from camtrail.schema import EVENTS, RULES
 from camtrail.sources.index import upsert_rows
 
 BUCKETS = 64
+# Commits that a version remembers; only one that is repeated soon after can be asked for.
+COMMITS = 1_000
 # A bucket of the key index with more files than this is written anew as one by the commit that touches it.
 KEY_FILES = 8
 _VERSION = "kind string, file string, part string, bucket int, commits array<string>"
@@ -88,9 +91,11 @@ class KeyedTable:
             out.append((kind, file, part, int(part.removeprefix("bucket="))) if kind == "keys" else (kind, file, part, None))
         return out
 
-    def _part(self) -> Column:
-        """The part that a stored row's file belongs to."""
-        return F.regexp_extract(F.col("_metadata.file_path"), r"/data/commit=[^/]*/(.*)/[^/]*$", 1)
+    def _placed(self, files: Sequence[str], *columns: str) -> DataFrame:
+        """(key, columns, part) of stored rows: the part is the folder of a row's file."""
+        rows = self._rows(files)
+        path = F.col("_metadata.file_path") if files else F.lit(None).cast("string")
+        return rows.select(F.col(self.key).alias("key"), *columns, F.regexp_extract(path, r"/data/commit=[^/]*/(.*)/[^/]*$", 1).alias("part"))
 
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -98,10 +103,11 @@ class KeyedTable:
     def _commit(self, commit: str, version: int, before: list, rows: DataFrame, parts: set[str], keys: DataFrame, known: Sequence[str], removed: DataFrame | None) -> int:
         """Write ``rows`` in place of the data files of ``parts``, and index entries of ``keys`` that are new or elsewhere than ``known`` files of the key index say."""
         folder = f"commit={commit}"
-        placed = rows.select(*self.schema.names, *[e.alias(c) for c, e in self.layout.items()])
+        placed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+        placed = placed.select("*", *[e.alias(c) for c, e in self.layout.items()])
         placed.hint("rebalance", *[F.col(c) for c in self.layout]).write.mode("overwrite").partitionBy(*self.layout).parquet(f"{self.path}/data/{folder}")
         data = self._written(folder, "data")
-        now = self._rows([f for _, f, _, _ in data]).select(F.col(self.key).alias("key"), self._part().alias("part"))
+        now = self._placed([f for _, f, _, _ in data])
         now = now.join(broadcast_if_small(keys), "key", "left_semi")
         entries = now.join(self._keys(known), ["key", "part"], "left_anti")
         if removed is not None:
@@ -115,7 +121,7 @@ class KeyedTable:
         gone = {f["file"] for f in crowded}
         kept = [(f["kind"], f["file"], f["part"], f["bucket"]) for f in before if f["kind"] == "data" and f["part"] not in parts]
         kept += [(f["kind"], f["file"], f["part"], f["bucket"]) for f in before if f["kind"] == "keys" and f["file"] not in gone]
-        return self._publish(version, kept + data + self._written(folder, "keys"), [*self._commits(before), commit])
+        return self._publish(version, kept + data + self._written(folder, "keys"), [*self._commits(before), commit][-COMMITS:])
 
     def _crowded(self, before: list, known: Sequence[str]) -> list:
         touched, count = set(known), {}
@@ -139,6 +145,24 @@ class KeyedTable:
         """Parts that hold keys of ``batch``."""
         return self._locate(self.files(), batch.select(F.col(self.key).alias("key")).distinct())[1]
 
+    def existing(self, keys: DataFrame) -> DataFrame:
+        """Those of ``keys`` (one column, named like the table's key) that the table has; only their buckets of the key index are read."""
+        named = keys.select(F.col(self.key).alias("key")).distinct()
+        known, _ = self._locate(self.files(), named)
+        return self._keys(known).join(broadcast_if_small(named), "key", "left_semi").select(F.col("key").alias(self.key))
+
+    def rows_of(self, keys: DataFrame) -> DataFrame:
+        """Rows of ``keys``; only the parts that hold some are read."""
+        files = self.files()
+        named = keys.select(self.key).distinct()
+        _, parts = self._locate(files, named.select(F.col(self.key).alias("key")))
+        rows = self._rows([f["file"] for f in files if f["kind"] == "data" and f["part"] in parts]).select(*self.schema.names)
+        return rows.join(broadcast_if_small(named), self.key, "left_semi")
+
+    def done(self, commit: str) -> bool:
+        """Whether a version has this commit."""
+        return commit in self._commits(self.files())
+
     def upsert(self, batch: DataFrame, commit: str) -> int:
         """Insert or replace rows by key (one row per key in ``batch``) and return the version that has them.
 
@@ -167,8 +191,7 @@ class KeyedTable:
         if commit in self._commits(before):
             return version
         values = broadcast_if_small(values.select(column).distinct())
-        here = self._rows([f["file"] for f in before if f["kind"] == "data"])
-        lost = here.select(F.col(self.key).alias("key"), column, self._part().alias("part")).join(values, column, "left_semi")
+        lost = self._placed([f["file"] for f in before if f["kind"] == "data"], column).join(values, column, "left_semi")
         parts = {r["part"] for r in lost.select("part").distinct().collect()}
         added = rows.select(F.col(self.key).alias("key"))
         known, more = self._locate(before, added)
@@ -208,6 +231,16 @@ def tracks(spark: SparkSession, path: str, schema: T.StructType | str) -> KeyedT
     return KeyedTable(spark, path, schema, "id", {"of_camera": F.col("camera"), "dt": F.to_date("t_start")}, ("video", "camera", "track_id"))
 
 
+def events(spark: SparkSession, path: str) -> KeyedTable:
+    """Alert events by id, by day."""
+    return KeyedTable(spark, path, EVENTS, "event_id", {"dt": F.to_date("ts")})
+
+
+def rules(spark: SparkSession, path: str, schema: T.StructType | str = RULES) -> KeyedTable:
+    """Alert rules by id."""
+    return KeyedTable(spark, path, schema, "id", {"active": F.col("is_active")}, buckets=8)
+
+
 def frames(spark: SparkSession, path: str, schema: T.StructType | str) -> KeyedTable:
     """Frames by id, by camera and day: only time, offset, snapshot and vector are replaced."""
     return KeyedTable(spark, path, schema, "id", {"of_camera": F.col("camera"), "dt": F.to_date("t_abs")}, ("video", "camera"))

@@ -6,14 +6,9 @@ watermark needs one; keep the session zone at UTC.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from camtrail.operators.live import BoxLinker, effective_fps
+from camtrail.operators.live import effective_fps
 from camtrail.operators.live import conflate as conflate_batch
 
 WATERMARK = "10 seconds"
@@ -83,41 +78,3 @@ def fleet_status(frames: DataFrame) -> DataFrame:
     return frames.groupBy("camera").agg(
         F.count(F.lit(1)).alias("frames_received"), F.max("recv_ts").alias("last_frame"), F.round(F.avg(lag), 3).alias("lag")
     )
-
-
-class _LinkState(StatefulProcessor):
-    """Live boxes of one recording, kept in the state store."""
-
-    def __init__(self, threshold: float, expiry_us: int):
-        self.threshold, self.expiry = threshold, expiry_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getValueState("live", "boxes array<struct<no:bigint,us:bigint,x1:double,y1:double,x2:double,y2:double>>, counter bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["us", "rid"], ignore_index=True)
-        live, counter = self.live.get() if self.live.exists() else ([], 0)
-        linker = BoxLinker(self.threshold, self.expiry, [tuple(b) for b in live], counter)
-        out = np.zeros(len(pdf), dtype=np.int64)
-        for at, frame in pdf.groupby("us", sort=True):
-            out[frame.index] = linker.frame(int(at), frame[["x1", "y1", "x2", "y2"]].to_numpy())
-        self.live.update(([tuple(b) for b in linker.live], linker.counter))
-        yield pd.DataFrame({"camera": key[0], "video": key[1], "us": pdf["us"], "rid": pdf["rid"], "track_no": out})
-
-    def close(self) -> None:
-        pass
-
-
-def link_boxes(boxes: DataFrame, threshold: float = 0.25, expiry_s: float = 5.0) -> DataFrame:
-    """Track numbers for streamed boxes (camera, video, us, rid, x1..y2) by overlap with the live boxes.
-
-    State is one small list of live boxes per recording; a new recording starts
-    empty, boxes expire. A micro-batch holds a bounded slice of a recording
-    (maxFilesPerTrigger). Needs the RocksDB state store.
-    """
-    return boxes.groupBy("camera", "video").transformWithStateInPandas(
-        _LinkState(threshold, int(expiry_s * 1_000_000)),
-        "camera string, video string, us bigint, rid string, track_no bigint",
-        "append",
-        "None",
-    )

@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from camtrail.operators import alerts
-
-
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, None where nothing was written yet; any other trouble is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+from camtrail.scale import broadcast_if_small, cut_lineage
+from camtrail.schema import RULES
+from camtrail.sources import keyed
+from camtrail.sources.keyed import KeyedTable
 
 
 def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -25,54 +18,73 @@ def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def live_tracks(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink for live boxes: one partial row per track and batch. Read the table with ``merged_tracks``."""
+LIVE = "id string, t_start timestamp, t_end timestamp, t_best timestamp, quality double, label string, camera string, hits bigint"
+
+
+def live_table(spark: SparkSession, path: str, schema: str = LIVE) -> KeyedTable:
+    """Live tracks by id, by camera and day of their start."""
+    return KeyedTable(spark, path, schema, "id", {"of_camera": F.col("camera"), "dt": F.to_date("t_start")})
+
+
+def live_tracks(path: str, run: str = "live", vacuum_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """Sink for live boxes: one row per track, merged with what the table has of it: start is the earliest, end the latest, the label the last seen.
+
+    A batch is one commit of a keyed table, so one that is delivered again adds nothing, and it reads and writes only the parts (camera and day) of its own
+    tracks. Each ``vacuum_every`` batches the files that no version names go, so their number follows the tracks, not the batches. ``run`` names the stream; streams
+    with checkpoints of their own need names of their own.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        kind = batch.schema["ts"].dataType.simpleString()
+        table, commit = live_table(batch.sparkSession, path, LIVE.replace("timestamp", kind)), f"{run}-{batch_id}"
+        if table.done(commit):
+            return
         at = F.struct("ts", "quality")
-        rows = batch.groupBy("id").agg(
+        new = batch.groupBy("id").agg(
             F.min("ts").alias("t_start"), F.max("ts").alias("t_end"),
             F.max_by("ts", F.struct("quality", "ts")).alias("t_best"), F.max("quality").alias("quality"),
             F.max_by("label", at).alias("label"), F.min_by("camera", at).alias("camera"), F.count(F.lit(1)).alias("hits"),
         )
-        _write_batch(rows, path, batch_id)
+        new = cut_lineage(new)
+        rows = table.rows_of(new.select("id")).unionByName(new)
+        table.upsert(rows.groupBy("id").agg(
+            F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.max_by("t_best", F.struct("quality", "t_best")).alias("t_best"),
+            F.max("quality").alias("quality"), F.max_by("label", "t_end").alias("label"), F.min_by("camera", "t_start").alias("camera"), F.sum("hits").alias("hits"),
+        ), commit)
+        if batch_id % vacuum_every == vacuum_every - 1:
+            table.vacuum()
 
     return write
 
 
-def merged_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Current live tracks: start is the earliest, end the latest over all batches, the label the last seen."""
-    parts = spark.read.parquet(path)
-    return parts.groupBy("id").agg(
-        F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"),
-        F.max_by("t_best", F.struct("quality", "t_best")).alias("t_best"), F.max_by("label", "t_end").alias("label"),
-        F.min_by("camera", "t_start").alias("camera"), F.sum("hits").alias("hits"),
-    )
-
+def alert_events(rules_path: str, events_path: str, run: str = "alerts", vacuum_every: int = 50, rules_schema: str = RULES) -> Callable[[DataFrame, int], None]:
+    """Sink for new tracks: fires every (rule, track) once, also when a batch is repeated, and sets last_triggered_at of the rules that fired.
 
-def alert_events(rules_path: str, events_path: str) -> Callable[[DataFrame, int], None]:
-    """Sink for new tracks: fires every (rule, track) once, also when a batch is repeated.
-
-    Rules are read again for each batch. Events of other batches are excluded
-    by an anti-join, this batch's own folder is replaced.
+    Both are keyed tables (``keyed.rules``, ``keyed.events``). Rules are read again for each batch. The id of an event comes from its rule and track, so the key index tells those that
+    have fired; the history is not read. ``run`` and ``vacuum_every`` as above.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rules = spark.read.parquet(rules_path)
-        stored = read_or_none(spark, events_path)
-        fired = None if stored is None else stored.filter(F.col("batch") != batch_id)
-        _write_batch(alerts.evaluate(rules, batch, fired).dropDuplicates(["rule_id", "track_id"]), events_path, batch_id)
+        spark, commit = batch.sparkSession, f"{run}-{batch_id}"
+        rules, events = keyed.rules(spark, rules_path, rules_schema), keyed.events(spark, events_path)
+        if rules.done(commit):
+            return
+        stored = rules.read().select(*rules.schema.names)
+        found = alerts.evaluate(stored, batch).dropDuplicates(["event_id"])
+        if not events.done(commit):
+            fresh = cut_lineage(found)
+            events.upsert(fresh.join(broadcast_if_small(events.existing(fresh.select("event_id"))), "event_id", "left_anti"), commit)
+        # Events of this batch, also if it stopped between the two tables; the newest time of a rule stays.
+        last = found.groupBy(F.col("rule_id").alias("id")).agg(F.max("ts").alias("_last"))
+        hit = stored.join(broadcast_if_small(last), "id").withColumn("last_triggered_at", F.greatest("last_triggered_at", "_last"))
+        rules.upsert(cut_lineage(hit.select(*rules.schema.names)), commit)
+        if batch_id % vacuum_every == vacuum_every - 1:
+            rules.vacuum()
+            events.vacuum()
 
     return write
 
 
-def last_triggered(rules: DataFrame, events: DataFrame) -> DataFrame:
-    """Rules with the newest event time of each."""
-    last = events.groupBy(F.col("rule_id").alias("id")).agg(F.max("ts").alias("_last"))
-    return rules.drop("last_triggered_at").join(last, "id", "left").withColumnRenamed("_last", "last_triggered_at")
-
-
 def with_vocabulary(vocabulary_path: str, out_path: str) -> Callable[[DataFrame, int], None]:
     """Keep detections whose label is in a vocabulary that may grow while the stream runs."""
 

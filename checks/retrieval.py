@@ -270,14 +270,18 @@ def _(d):
 
 
 @query("r03_rule_lifecycle", f"""SELECT 'rule' AS kind, id AS rule_id, count(*) AS n FROM rules WHERE is_active AND id NOT IN (SELECT id FROM rules WHERE camera_filter = 'cam_2') GROUP BY id
-    UNION ALL SELECT 'event', rule_id, count(*) FROM {ALERTS} WHERE rule_id NOT IN (SELECT id FROM rules WHERE camera_filter = 'cam_2') GROUP BY rule_id""")
+    UNION ALL SELECT 'event', rule_id, count(*) FROM {ALERTS} WHERE rule_id NOT IN (SELECT id FROM rules WHERE camera_filter = 'cam_2') GROUP BY rule_id
+    UNION ALL SELECT 'created', rule_name, count(*) FROM rules WHERE camera_filter = 'cam_2' GROUP BY rule_name""")
 def _(d):
-    """Delete the rules of one camera with their events, then list what is left."""
+    """Delete the rules of one camera with their events, make them again as new rules, then list what is there."""
     gone = d.rules.filter(F.col("camera_filter") == "cam_2").select("id")
     rules, events = alerts.delete_rules(d.rules, alerts.evaluate(d.rules, d.tracks), gone)
+    new = d.rules.filter(F.col("camera_filter") == "cam_2").select("rule_name", "query_text", "q_emb", "camera_filter", "min_score", "created_at")
+    made = alerts.create_rules(rules, new).filter(F.col("id").startswith("rule_")).groupBy("rule_name").agg(F.count_distinct("id").alias("n"))
     left = alerts.active_rules(rules).select(F.lit("rule").alias("kind"), F.col("id").alias("rule_id"), F.lit(1).cast("long").alias("n"))
     counted = events.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
-    return left.unionByName(counted.select(F.lit("event").alias("kind"), "rule_id", "n"))
+    created = made.select(F.lit("created").alias("kind"), F.col("rule_name").alias("rule_id"), "n")
+    return left.unionByName(counted.select(F.lit("event").alias("kind"), "rule_id", "n")).unionByName(created)
 
 
 JUDGED = f"""(SELECT query_id, rank, any_value(label) AS label, any_value(score) AS score, any_value(result_id) AS result_id, bool_or(h) AS hit,

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from camtrail.scale import shared_folder
-from camtrail.streaming import live, sinks, watch
+from camtrail.schema import RULES
+from camtrail.sources import keyed
+from camtrail.streaming import live, ordered, sinks, watch
 from checks.ingest import link_sql
 from checks.registry import query
 from checks.retrieval import ALERTS
@@ -64,6 +66,34 @@ def _(d):
     return out.select("camera", F.col("slot").cast("timestamp_ntz").alias("slot"), "frame_no", "received", "dropped")
 
 
+# Rows that the final watermark has passed; it is kept in milliseconds.
+MARK = "(SELECT epoch_us(max(recv_ts)) // 1000 * 1000 - 10000000 FROM stream_frames)"
+
+
+@query(
+    "t02_exact_fps_stream",
+    f"""SELECT camera, us, n, round(CASE WHEN n > 1 AND us - first > 100000 THEN (n - 1) / ((us - first) / 1000000.0::DOUBLE) ELSE n / 3600.0::DOUBLE END, 1) AS fps
+    FROM (SELECT DISTINCT camera, us, count(*) OVER w AS n, min(us) OVER w AS first FROM (SELECT camera, epoch_us(recv_ts) AS us FROM stream_frames)
+      WINDOW w AS (PARTITION BY camera ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)) WHERE us < {MARK}""",
+)
+def _(d):
+    """The rate at every frame from the ring of receive times, up to the watermark."""
+    d.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return run(d, ordered.frame_rates(frames(d), 3600))
+
+
+@query(
+    "t04_silences_stream",
+    f"""SELECT camera, us AS since_us, row_number() OVER (PARTITION BY camera ORDER BY us) AS reconnects FROM (
+      SELECT *, lead(us) OVER (PARTITION BY camera ORDER BY us, frame_no) AS next FROM (SELECT camera, frame_no, epoch_us(recv_ts) AS us FROM stream_frames))
+    WHERE us < {MARK} AND least(coalesce(next, {MARK}), {MARK}) - us > 1800000000""",
+)
+def _(d):
+    """Cameras that fell silent, with or without a frame after it."""
+    d.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return run(d, ordered.silences(frames(d), 1800)).select("camera", "since_us", "reconnects")
+
+
 @query(
     "t02_effective_fps_stream",
     f"""SELECT camera, closed AS "at", n FROM (SELECT camera, time_bucket(INTERVAL 30 MINUTE, recv_ts) + to_minutes(CAST(30 * k AS INTEGER)) AS closed, count(*) AS n
@@ -102,9 +132,9 @@ def _(d):
     return out.groupBy("camera").agg(F.count(F.lit(1)).alias("tracks"))
 
 
-@query("t07_box_linking_stream", link_sql("label") + "SELECT video, us, rid, track_no FROM steps")
+@query("t07_box_linking_stream", link_sql("label") + "SELECT video, us, rid, stretch, track_no FROM steps WHERE us < (SELECT max(frame_idx) FROM detections) * 1000000 - 10000000")
 def _(d):
-    """Boxes linked with keyed state; recordings of a hundred frames per label."""
+    """Boxes linked with keyed state in event-time order, up to the watermark; recordings of a hundred frames per label."""
     d.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     x1, y1 = (F.col("l_partkey") % 8) / 20.0, (F.col("l_suppkey") % 5) / 20.0
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -113,7 +143,7 @@ def _(d):
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("rid"), x1.alias("x1"), y1.alias("y1"),
         (x1 + 0.3 + F.col("l_quantity") / 250.0).alias("x2"), (y1 + 0.3 + F.col("l_discount")).alias("y2"),
     )
-    return run(d, live.link_boxes(rows)).drop("camera")
+    return run(d, ordered.link_boxes(rows)).drop("camera")
 
 
 @query(
@@ -127,19 +157,27 @@ def _(d):
     )
     at = f"{place(d)}/tracks"
     run_sink(d, rows, sinks.live_tracks(at))
-    return sinks.merged_tracks(d.spark, at).select("id", "t_start", "t_end", "t_best", "camera", "hits")
+    return sinks.live_table(d.spark, at, sinks.LIVE.replace("timestamp", "timestamp_ntz")).read().select("id", "t_start", "t_end", "t_best", "camera", "hits")
 
 
-@query("t09_incremental_alerts", f"SELECT rule_id, track_id, camera, round(sim, 4) AS score, ts FROM {ALERTS}")
+@query(
+    "t09_incremental_alerts",
+    f"""SELECT rule_id, track_id, camera, round(sim, 4) AS score, ts FROM {ALERTS}
+    UNION ALL SELECT r.id, NULL, NULL, NULL, max(a.ts) FROM rules r LEFT JOIN {ALERTS} a ON a.rule_id = r.id GROUP BY r.id""",
+)
 def _(d):
-    """New tracks stream against stored rules; a repeated batch adds nothing."""
+    """New tracks stream against stored rules; a repeated batch adds nothing. Events, and a row per rule with the time it last fired."""
     at = place(d)
-    d.rules.write.parquet(f"{at}/rules")
+    layout = RULES.replace("array<float>", "array<double>")
+    table = keyed.rules(d.spark, f"{at}/rules", layout)
+    table.upsert(d.rules, "rules")
     d.tracks.select("id", "camera", "label", "t_start", "snapshot", "emb").write.parquet(f"{at}/tracks")
     rows = d.spark.readStream.schema(d.spark.read.parquet(f"{at}/tracks").schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/tracks")
-    sink = sinks.alert_events(f"{at}/rules", f"{at}/events")
+    sink = sinks.alert_events(f"{at}/rules", f"{at}/events", rules_schema=layout)
     run_sink(d, rows, lambda batch, n: (sink(batch, n), sink(batch, n)) and None)
-    return d.spark.read.parquet(f"{at}/events").select("rule_id", "track_id", "camera", "score", "ts")
+    fired = keyed.events(d.spark, f"{at}/events").read().select("rule_id", "track_id", "camera", "score", "ts")
+    last = table.read().select(F.col("id").alias("rule_id"), F.col("last_triggered_at").alias("ts"))
+    return fired.unionByName(last, allowMissingColumns=True)
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from camtrail.operators import colours, live
 from camtrail.operators.live import BoxLinker
-from camtrail.sources import export, index, video_files
+from camtrail.sources import export, index, keyed, video_files
 from camtrail.streaming import live as streams, sinks, watch
 
 T0 = datetime(2026, 10, 8, 12)
@@ -69,23 +69,6 @@ def drive(frame, at, mode="append"):
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{at}/out")
 
 
-def test_streamed_linking_equals_batch(spark, tmp_path):
-    rows = [r for r in boxes(2) if r[1] == "v1"]
-    order = sorted({r[2] for r in rows})
-    cuts = [order[len(order) // 3], order[2 * len(order) // 3]]
-    src = str(tmp_path / "src")
-    for i in range(3):
-        low, high = ([0] + cuts)[i], (cuts + [10**15])[i]
-        write_in_order(spark.createDataFrame([r for r in rows if low <= r[2] < high], KIND), src, i)
-    stream = spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(src)
-    got = {r.rid: r.track_no for r in drive(streams.link_boxes(stream), str(tmp_path / "run")).collect()}
-    linker, want = BoxLinker(0.25, 5_000_000), {}
-    for us in order:
-        mine = sorted((r for r in rows if r[2] == us), key=lambda r: r[3])
-        want.update(zip((r[3] for r in mine), linker.frame(us, [r[4:8] for r in mine])))
-    assert got == want
-
-
 def frames(spark, seconds):
     rows = [("cam", i, T0 + timedelta(seconds=s), T0 + timedelta(seconds=s + 0.2)) for i, s in enumerate(seconds)]
     return spark.createDataFrame(rows, "camera string, frame_no long, recv_ts timestamp_ntz, processed_ts timestamp_ntz")
@@ -130,18 +113,50 @@ def test_rates_and_gaps(spark):
     assert [(r.recording, r.end_us - r.start_us) for r in live.recording_sessions(df).orderBy("recording").collect()] == [(1, 3_050_000), (2, 0)]
 
 
-def test_alert_sink_is_idempotent(spark, tmp_path):
+def test_alert_sink_is_idempotent(spark, tmp_path, monkeypatch):
     v = [1.0, 0.0]
     rules = spark.createDataFrame([("r1", "one", "q", v, None, 0.5, True)],
                                   "id string, rule_name string, query_text string, q_emb array<float>, camera_filter string, min_score double, is_active boolean")
-    rules.write.parquet(str(tmp_path / "rules"))
+    table = keyed.rules(spark, str(tmp_path / "rules"))
+    table.upsert(rules, "rules")
     batch = spark.createDataFrame([("t1", "c", "car", T0, "s", v), ("t2", "c", "car", T0, "s", [0.0, 1.0])],
                                   "id string, camera string, label string, t_start timestamp_ntz, snapshot string, emb array<float>")
     sink = sinks.alert_events(str(tmp_path / "rules"), str(tmp_path / "events"))
     for number in (0, 0, 1):
         sink(batch, number)
-    events = spark.read.parquet(str(tmp_path / "events")).collect()
-    assert [(e.rule_id, e.track_id) for e in events] == [("r1", "t1")]
+    events = keyed.events(spark, str(tmp_path / "events"))
+    assert [(e.rule_id, e.track_id) for e in events.read().collect()] == [("r1", "t1")]
+    assert table.read().first().last_triggered_at == T0
+    # A batch that stopped after its events: repeated, it fires nothing again, and the rules learn of it.
+    later = batch.withColumn("id", F.lit("t9")).withColumn("t_start", F.lit(T0 + timedelta(hours=1)).cast("timestamp_ntz")).limit(1)
+    known = sinks.keyed.KeyedTable.upsert
+    monkeypatch.setattr(sinks.keyed.KeyedTable, "upsert", lambda self, rows, commit: (_ for _ in ()).throw(OSError()) if "rules" in self.path else known(self, rows, commit))
+    with pytest.raises(OSError):
+        sink(later, 2)
+    monkeypatch.setattr(sinks.keyed.KeyedTable, "upsert", known)
+    sink(later, 2)
+    assert sorted(e.track_id for e in events.read().collect()) == ["t1", "t9"]
+    assert table.read().first().last_triggered_at == T0 + timedelta(hours=1)
+
+
+def test_live_table_stays_small_over_many_batches(spark, tmp_path):
+    path = str(tmp_path / "live")
+    sink = sinks.live_tracks(path, vacuum_every=4)
+    kind = "id string, camera string, ts timestamp_ntz, quality double, label string"
+    want, counts = {}, []
+    for n in range(12):
+        rows = [(f"t{i}", f"cam_{i % 2}", T0 + timedelta(seconds=10 * n + i), float((n * 7 + i) % 5), f"l{n}") for i in range(n // 4, n // 4 + 3)]
+        for i, camera, ts, q, label in rows:
+            start, _, hits = want.get(i, (ts, ts, 0))
+            want[i] = (start, ts, hits + 1)
+        batch = spark.createDataFrame(rows, kind)
+        sink(batch, n)
+        if n % 5 == 0:
+            sink(batch, n)
+        counts.append(len(glob.glob(f"{path}/data/**/*.parquet", recursive=True)))
+    got = {r.id: (r.t_start, r.t_end, r.hits) for r in sinks.live_table(spark, path, sinks.LIVE.replace("timestamp", "timestamp_ntz")).read().collect()}
+    assert got == want
+    assert counts[3] == counts[7] == counts[11] == 2
 
 
 def test_folder_watch_takes_each_file_once(spark, tmp_path):
