@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from camtrail import schema as S
 from camtrail.functions import boxes, text, vectors, vocabulary as V
 from camtrail.operators import alerts, colours, evaluation, greedy, live, tracks as T
 from camtrail.plans import ingest as plan
-from camtrail.scale import micros, shared_folder
+from camtrail.scale import micros
 from camtrail.sources import index, keyed, video_files
 from checks.expressions import dot
-from checks.registry import query
+from checks.registry import query, stored
 from checks.retrieval import ALERTS, greedy_sql
 from checks.views import seconds_sql
 
 # --- Index maintenance -------------------------------------------------------
 
 VIDEO_COLS = ["camera", "start_time", "fps", "width", "height", "duration_s", "start_source", "rotation", "indexed_at"]
-
-
-def stored(d, make, base):
-    """``base`` as a keyed table in the folder that all executors share."""
-    table = make(d.spark, f"{shared_folder(d.spark).rstrip('/')}/index-{uuid.uuid4().hex}", base.schema)
-    table.upsert(base, "base")
-    return table
-
-
 LATEST = f"(SELECT path, {', '.join(f'arg_max({c}, seq) AS {c}' for c in VIDEO_COLS)} FROM video_updates GROUP BY path)"
 
 

@@ -8,9 +8,9 @@ from camtrail.functions import text, vectors, vocabulary as V
 from camtrail.operators import alerts, assets, evaluation, greedy, places, providers, reid, scoring, search
 from camtrail.plans import ask as ask_plan
 from camtrail.scale import micros
-from camtrail.sources import video_files
+from camtrail.sources import keyed, video_files, zones
 from checks.expressions import BOOST, CLASSES_SQL, LABELS, PARSED, TRACKS_COLS, class_vectors, dot, norm, polygon_test
-from checks.registry import query
+from checks.registry import query, stored
 from checks.views import seconds_sql
 
 K = 5
@@ -110,6 +110,25 @@ def _(d):
     return batch(d).select("query_id", "rank", "result_id", "result_type", "score")
 
 
+# A night that three days of recordings reach into.
+ZONE_FROM, ZONE_TO, ZONE_LEAST = "2024-01-10 22:00:00", "2024-01-12 04:00:00", 0.3
+
+
+@query(
+    "f03_zone_mapped_search",
+    f"""SELECT query_id, rank, result_id, camera, score FROM (SELECT q.query_id, t.id AS result_id, t.camera, round({dot('q.q_emb', 't.emb')}, 4) AS score,
+      row_number() OVER (PARTITION BY q.query_id ORDER BY round({dot('q.q_emb', 't.emb')}, 4) DESC, t.id) AS rank FROM search_questions q
+      JOIN tracks t ON t.t_start <= TIMESTAMP '{ZONE_TO}' AND t.t_end >= TIMESTAMP '{ZONE_FROM}' WHERE {dot('q.q_emb', 't.emb')} >= {ZONE_LEAST}) WHERE rank <= {K}""",
+)
+def _(d):
+    """All questions over stored tracks, by a window and a threshold: folders of other days and files that cannot reach the threshold are not opened."""
+    table = stored(d, keyed.tracks, d.tracks)
+    at = lambda t: micros(F.lit(t).cast("timestamp_ntz"))
+    q = d.search_questions.select("query_id", "q_emb", at(ZONE_FROM).alias("start_us"), at(ZONE_TO).alias("end_us"))
+    found = search.top_k(q, zones.ZonedTable(table, least=ZONE_LEAST), k=K, threshold=ZONE_LEAST, dedup_s=None)
+    return found.select("query_id", "rank", "result_id", "camera", "score")
+
+
 @query(
     "v09_whole_frame_baseline",
     f"""SELECT query_id, rank, result_id, score FROM (SELECT q.query_id, f.id AS result_id, round({dot('q.q_emb', 'f.emb')}, 4) AS score,
