@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from camtrail.llm import tokens
 from camtrail.llm.vectors import batches
 from camtrail.scale import broadcast_if_small
 
@@ -19,7 +20,7 @@ RIDGE = 1e-3
 SHARPNESS = 4.0
 UNDETERMINED = "und"
 # Documents and bytes of a feature block.
-BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
+BLOCK_ROWS, BLOCK_BYTES = 128, 1 << 19
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -132,23 +133,23 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE
 ) -> DataFrame:
-    """``docs`` with held_out, lang_pred and score, from the whole text alone.
+    """``docs`` with held_out, lang_pred, score and margin, from the whole text alone.
 
     lang_pred is a language met in training, or ``und`` with score 0 if the text is null or has no letter or nothing could be learned. score is the
-    softmax of the decision values, so between 0 and 1. Ties go to the first language by name. Repeated rows get one answer each; a null id is not held out and is not learned from.
+    softmax of the decision values, so between 0 and 1; margin is the best decision value less the mean of the others, null where there are none. Ties go to the first language by name. Repeated rows get one answer each; a null id is not held out and is not learned from.
     Columns of ``docs`` named like a new one are replaced; an empty table gives no rows.
     """
     names, weights = train(docs, doc_id, text, lang, per_language)
-    docs = docs.drop("held_out", "lang_pred", "score")
+    docs = docs.drop("held_out", "lang_pred", "score", "margin")
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if not names:
-        return docs.withColumns({"held_out": held_out(doc_id), "lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return docs.withColumns({"held_out": held_out(doc_id), "lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "margin": F.lit(None).cast("double")})
 
-    @F.pandas_udf("struct<lang:string,score:double>")
+    @F.pandas_udf("struct<lang:string,score:double,margin:double>")
     def predict(column):
         import pandas as pd
 
-        out_lang, out_score = [], []
+        out_lang, out_score, out_margin = [], [], []
         for b in blocks([pa.RecordBatch.from_arrays([pa.array(column, pa.string())], ["text"])], "text"):
             texts = b.column("text")
             value = blended(presence(pc.fill_null(texts, ""))) @ weights[:-1] + weights[-1]
@@ -156,11 +157,15 @@ def identify(
             best = np.argmax(value, axis=1)
             out_lang += [names[i] for i in best]
             out_score += (e.max(1) / e.sum(1)).tolist()
-        return pd.DataFrame({"lang": out_lang, "score": out_score})
+            rest = (value.sum(1, dtype=np.float64) - value.max(1)) / max(1, len(names) - 1)
+            out_margin += (value.max(1) - rest).tolist() if len(names) > 1 else [None] * len(value)
+        tokens.release()
+        return pd.DataFrame({"lang": out_lang, "score": out_score, "margin": out_margin})
 
     answered = docs.withColumn("_answer", predict(F.col(text)))
     return answered.withColumns({
         "held_out": held_out(doc_id),
         "lang_pred": F.when(letter, F.col("_answer.lang")).otherwise(UNDETERMINED),
         "score": F.when(letter, F.col("_answer.score")).otherwise(0.0),
+        "margin": F.when(letter, F.col("_answer.margin")),
     }).drop("_answer")

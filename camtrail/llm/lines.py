@@ -20,16 +20,16 @@ def _key(line: Column, host: str) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True, page: str | None = None
 ) -> DataFrame:
     """(host, line_key, pages, host_pages) of the lines on more than ``ratio`` of the pages of a host and on ``min_pages`` pages at least.
 
-    A row is a page and counts a line once; without ``copies``, the rows of a host that have one text are one page. Counts are combined before the shuffle, so a host or
-    a line with a third of all rows costs one row per task. Without ``copies`` the copies of a text are combined so, and a line's texts are counted in two steps, the first over all tasks.
+    A row is a page and counts a line once; without ``copies``, the rows of a host that have one text are one page, and with a column ``page``, those that have one value in it. Counts are combined before the shuffle, so a host or
+    a line with a third of all rows costs one row per task. Rows of one page are combined so, and a line's pages are counted in two steps, the first over all tasks.
     """
-    rows = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    if not copies:
-        rows = rows.withColumn("name", F.xxhash64("text"))
+    copies = copies and page is None
+    name = F.xxhash64(F.col(text)) if page is None else F.col(page)
+    rows = docs.select(F.col(host).alias("host"), F.col(text).alias("text"), *([] if copies else [name.alias("name")]))
     keys = F.array_distinct(F.transform(F.filter(_lines("text"), lambda x: x != ""), lambda x: _key(x, "host")))
     pages = rows.select("host", F.explode(keys).alias("line_key"), *([] if copies else ["name"]))
     pages = (pages if copies else pages.distinct()).groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("pages"))
@@ -41,16 +41,16 @@ def boilerplate(
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True, page: str | None = None
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and three more columns: n_lines, n_removed and, where lines went, n_chars if ``docs`` has it.
 
     Lines are split at newlines and compared exactly; empty lines stay. A null host is a host of its own. A null text stays null
-    with no lines, an empty text has one empty line. Repeated rows are pages of their own, unless ``copies`` is false. No row is dropped: a page of boilerplate
+    with no lines, an empty text has one empty line. Repeated rows are pages of their own, unless ``copies`` is false or ``page`` names a column that tells pages apart. No row is dropped: a page of boilerplate
     alone ends with an empty text. A host has at most (mean lines per page / ratio) such lines, so the table of them is small
     beside the pages; it is broadcast only after it was counted, and otherwise joined by host with Spark's skew splitting.
     """
-    found = cut_lineage(boilerplate(docs, host, text, ratio, min_pages, copies).select("host", "line_key"))
+    found = cut_lineage(boilerplate(docs, host, text, ratio, min_pages, copies, page).select("host", "line_key"))
     sites = found.groupBy("host").agg(F.collect_list("line_key").alias("_bp_keys")).withColumnRenamed("host", "_bp_host")
     sites = F.broadcast(sites) if found.count() <= 200_000 else sites
     rows = docs.join(sites, F.col(host).eqNullSafe(F.col("_bp_host")), "left").drop("_bp_host")

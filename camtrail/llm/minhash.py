@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import IntegerType
 
+from camtrail.llm.tokens import release
 from camtrail.llm.vectors import batches
 from camtrail.scale import broadcast_if_small, cut_lineage
 
@@ -19,7 +20,7 @@ MATCHES = 34
 # Posting lists up to this length are joined with themselves, so pairs stay within half of it per posting; longer ones are compared in blocks.
 POSTINGS = 16
 BLOCK = 256
-SLICE = 4 << 20
+SLICE = 1 << 20
 HASHED = 1 << 16
 
 _MASK = (1 << 64) - 1
@@ -95,6 +96,7 @@ def _slices(frames, text: int):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
             yield b.slice(at, end - at)
             at = end
+    release()
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -170,22 +172,79 @@ def _collisions(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1).astype(np.int32))
 
 
-def _in_blocks(postings: DataFrame, sizes: DataFrame, signed: DataFrame, block: int, matches: int) -> DataFrame:
+def _frequent(rows: DataFrame) -> DataFrame:
+    """(key, all, most, inside) of posting lists (key, doc, component): their length, their most frequent component and its share."""
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("inside"))
+
+
+def _by_core(posted: DataFrame, long: DataFrame, parts: DataFrame, sized: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Documents against whole components by size arithmetic: (doc, core) that are settled, and the pairs (a, b) that they leave open.
+
+    A document of a long list is held against the list's most frequent component, and with it against the others that are. The core is the set of shingles that more than half of the
+    component's members have; every text around it is the core without some shingles, and with a few extra ones. Two of them share at most the smaller of their shares of the core and their
+    common extra shingles. So a link without common extra ones needs sizes small enough for those shares, and one with some needs so many of them that one is left after the most
+    frequent are passed over. Both follow from full sets, so no link is lost, and a document that is near all members but linked to none costs a row per component.
+    """
+    rows = posted.join(broadcast_if_small(long.select("key")), "key", "left_semi")
+    asked = rows.join(broadcast_if_small(_frequent(rows).select("key", "most")), "key").filter("component <> most").select("doc", F.col("most").alias("core")).distinct()
+    single = sized.filter("sets = 1").select("doc", F.col("n").alias("m"))
+    asked = cut_lineage(asked.join(single.withColumnRenamed("m", "d"), "doc"))
+    cores = asked.select("core").distinct()
+    members = parts.select(F.col("node").alias("doc"), F.col("component").alias("core")).union(cores.select(F.col("core").alias("doc"), "core")).distinct()
+    members = members.join(broadcast_if_small(cores), "core", "left_semi").join(single, "doc", "left")
+    members = cut_lineage(members)
+    # A member that stands for several sets leaves its component to the comparison in blocks.
+    odd = members.filter("m is null").select("core").distinct()
+    asked, members = (x.join(broadcast_if_small(odd), "core", "left_anti") for x in (asked, members))
+    ids = members.select("doc").union(asked.select("doc")).distinct()
+    sets = cut_lineage(sets_of(docs, cut_lineage(ids), doc_id, text, words))
+
+    held = members.join(sets, "doc").select("core", F.explode("shingles").alias("x"))
+    size = members.groupBy("core").agg(F.count(F.lit(1)).alias("size"))
+    base = held.groupBy("core", "x").agg(F.count(F.lit(1)).alias("n")).join(broadcast_if_small(size), "core").filter("2 * n > size")
+    base = cut_lineage(base.select("core", "x", F.lit(1).alias("inside")))
+    around = members.select("core", "doc", "m", F.lit(False).alias("ask")).union(asked.select("core", "doc", "d", F.lit(True)))
+    marked = around.join(sets, "doc").select("core", "doc", "m", "ask", F.explode("shingles").alias("x")).join(base, ["core", "x"], "left")
+    shares = cut_lineage(marked.groupBy("core", "doc", "m", "ask").agg(F.count("inside").alias("c")))
+    extras = cut_lineage(marked.filter("inside is null").select("core", "doc", "ask", "x"))
+
+    mine = shares.filter("ask").select("core", "doc", F.col("m").alias("d"), "c")
+    fits = mine.join(broadcast_if_small(shares.select("core", "m").distinct()), "core").filter(F.expr(f"{percent} * (d + m) <= c * {100 + percent} and 100 * m >= {percent} * d")).alias("p")
+    others = shares.alias("q")
+    small = fits.join(others, F.expr(f"p.core = q.core and p.m = q.m and {percent} * (p.d + p.m) <= q.c * {100 + percent} and p.doc <> q.doc")).select("p.doc", F.col("q.doc").alias("o"))
+
+    popular = extras.groupBy("core", "x").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lowest = shares.groupBy("core").agg(F.min("m").alias("lowest"))
+    least = F.expr(f"ceil({percent} * (d + greatest(lowest, ceil({percent} * d / 100))) / {100 + percent}) - c")
+    place = F.row_number().over(W.partitionBy("core", "doc").orderBy(F.desc("n"), "x"))
+    outside = extras.filter("ask").drop("ask").join(popular, ["core", "x"]).withColumn("_place", place)
+    outside = outside.join(mine, ["core", "doc"]).join(broadcast_if_small(lowest), "core").filter(F.col("_place") >= least)
+    several = outside.select("core", "x", "doc").join(extras.select("core", "x", F.col("doc").alias("o")), ["core", "x"]).filter("doc <> o").select("doc", "o")
+
+    pairs = small.union(several).select(F.least("doc", "o").alias("a"), F.greatest("doc", "o").alias("b")).distinct()
+    return asked.select("doc", "core"), pairs
+
+
+def _in_blocks(postings: DataFrame, sizes: DataFrame, signed: DataFrame, settled: DataFrame, block: int, matches: int) -> DataFrame:
     """Pairs of different components in long posting lists: only pairs with enough collisions leave a task, each from one list.
 
-    The documents of a list outside its most frequent component are compared, in blocks, with all documents of the list; those inside it are joined up already. A
+    The documents of a list outside its most frequent component are compared, in blocks, with all documents of the list but the members of components that they are ``settled``
+    (doc, core) with and the others settled with those; those inside it are joined up already. A
     pair that meets in several of these lists is reported by that of its first coordinate.
     """
     rows = postings.join(broadcast_if_small(sizes.select("key")), "key", "left_semi")
     bits = rows.groupBy("doc").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))").alias("bits"))
-    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    lists = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("inside"))
+    lists = _frequent(rows)
     chunks = lambda n: F.ceil(n / block).cast("int")
     lists = lists.select("key", "most", chunks(F.col("all")).alias("ns"), chunks(F.col("all") - F.col("inside")).alias("ms"))
     rows = rows.join(broadcast_if_small(lists), "key").join(bits, "doc").join(signed, "doc")
     mine = lambda n, salt: F.pmod(F.xxhash64("doc", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = [F.col(c).alias(c) for c in ("key", "i", "j", "doc", "component", "bits", "sig")]  # new names, so the sides can be told apart
+    skip = settled.groupBy("doc").agg(F.collect_set("core").alias("skip"))
+    rows = rows.join(broadcast_if_small(skip), "doc", "left").withColumn("skip", F.coalesce("skip", F.array().cast("array<long>")))
+    columns.append(F.col("skip").alias("skip"))
     few = rows.filter(F.col("component") != F.col("most")).withColumn("i", mine("ms", 1)).withColumn("j", every("ns")).select(*columns)
     all_ = rows.withColumn("j", mine("ns", 2)).withColumn("i", every("ms")).select(*columns)
 
@@ -196,9 +255,17 @@ def _in_blocks(postings: DataFrame, sizes: DataFrame, signed: DataFrame, block:
             y = np.frombuffer(b"".join(all_["sig"]), "<u4").reshape(len(all_), -1)
             doc, part = all_["doc"].to_numpy(), all_["component"].to_numpy()
             bit = (all_["bits"].to_numpy()[:, None] >> np.arange(COORDINATES)) & 1 == 1
-            for d, c, m, s in zip(few["doc"], few["component"], few["bits"], few["sig"], strict=True):
+            around = {k: part == k for k in {k for x in few["skip"] for k in x}}
+            for at, x in enumerate(all_["skip"]):
+                for k in x:
+                    if k in around:
+                        around[k][at] = True
+            for d, c, m, s, skip in zip(few["doc"], few["component"], few["bits"], few["sig"], few["skip"], strict=True):
                 equal = y == np.frombuffer(s, "<u4")
-                near = np.flatnonzero((equal.sum(1) >= matches) & (part != c))
+                open_ = part != c
+                for k in skip:
+                    open_ &= ~around[k]
+                near = np.flatnonzero((equal.sum(1) >= matches) & open_)
                 if len(near):
                     both = equal[near] & bit[near] & ((int(m) >> np.arange(COORDINATES)) & 1 == 1)
                     near = near[both.argmax(1) == here]
@@ -221,7 +288,8 @@ def near_duplicates(
     4. Posting lists with more than one component left stay open. A class all of whose lists are closed, or that shares too few shingles with all the others in open lists together, can have no
        link to come and leaves: a link to a set of s shingles takes percent * (own + s) / (100 + percent) common ones.
     5. Lists that are open still are joined with themselves, long ones in blocks, for pairs of different components; pairs with
-       ``matches`` collisions that were not tried yet are confirmed. So a group of near copies costs a pair per member, and no link between components is passed over.
+       ``matches`` collisions that were not tried yet are confirmed. In long lists, documents outside the most frequent component are held against its core of shingles
+       first, which settles most of them without a pair. So a group of near copies costs a pair per member, and no link between components is passed over.
 
     A link needs 100 * intersection >= ``percent`` * union, confirmed on full sets of 64-bit shingle hashes. Rows without words or with a null text have no shingles
     and are components of their own. Rows that repeat a doc_id are one node. A row without an id takes part with no node: its component is its class's, or
@@ -258,7 +326,9 @@ def near_duplicates(
     pairs = enough(pairs, signed, matches)
     long = open_.filter(F.col("size") > postings)
     if not long.isEmpty():
-        pairs = pairs.union(_in_blocks(posted, long, signed, block, matches)).distinct()
+        settled, near = _by_core(posted, long, parts, sized, docs, doc_id, text, words, percent)
+        settled = cut_lineage(settled)
+        pairs = pairs.union(_in_blocks(posted, long, signed, settled, block, matches)).union(enough(near, signed, matches)).distinct()
     more = confirm(cut_lineage(pairs.join(tried, ["a", "b"], "left_anti")), docs, doc_id, text, words, percent)
     parts = components(links.union(more)).withColumnRenamed("node", "doc")
 

@@ -158,11 +158,11 @@ def _cuts(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, size) for at in range(first, n, size)]
 
 
-def tokenized_pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, size: int, end: int) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, size: int, end: int, cached: int = tokens.CACHED) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(frames):
-        encoder = tokens.encoder(vocabulary)
+        encoder = tokens.encoder(vocabulary, cached)
         for b in frames:
             rows, piece, start, length, crc = [], [], [], [], []
             for r, ids in enumerate(encoder.encode(b.column(1))):
@@ -173,12 +173,14 @@ def tokenized_pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, s
                 [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        tokens.release()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, f"doc_id {kind}, {PIECE}")
 
 
 def pack_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = tokens.BYTE_BPE, size: int = LENGTH, end: int = END
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = tokens.BYTE_BPE, size: int = LENGTH, end: int = END,
+    cached: int = tokens.CACHED,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every document's ids and ``end`` in as few sequences of ``size`` as fitted patterns need.
 
@@ -191,7 +193,7 @@ def pack_documents(
     others are cut. Repeated rows are packed each. An empty table gives no rows. Other columns do not matter.
     """
     spark = docs.sparkSession
-    pieces = cut_lineage(tokenized_pieces(docs, doc_id, text, vocabulary, size, end))
+    pieces = cut_lineage(tokenized_pieces(docs, doc_id, text, vocabulary, size, end, cached))
     parts = -(-pieces.count() // WINDOW_ROWS) or 1
     pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     counts = pieces.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterator
@@ -31,6 +32,14 @@ def vocabulary(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slabs(texts: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
     """(start, texts) of slices of at most ``limit`` bytes, or of one text, as large_string; a null becomes an empty text."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -143,8 +152,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(name: str = BYTE_BPE) -> Encoder:
-    """The worker's encoder of a vocabulary, with its cache."""
+def encoder(name: str = BYTE_BPE, cached: int = CACHED) -> Encoder:
+    """The worker's encoder of a vocabulary, with its cache of about ``cached`` pieces."""
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(vocabulary(name))
+    _ENCODERS[name].cached = cached
     return _ENCODERS[name]

@@ -65,6 +65,33 @@ def test_components_against_all_pairs(spark, words, postings):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, words)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_band_around_the_bound_of_a_large_group(spark, seed):
+    """Many texts just below 80 % of a large component; some of them reach single members by their extra shingles, or by being shorter."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(5_000)]
+    base = rng.choices(vocabulary, k=200)
+
+    def edit(words, k, cut=0):
+        w = list(words)
+        for _ in range(k):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        return w[cut:]
+
+    group = [edit(base, rng.choice([0, 1, 2, 3])) for _ in range(80)]
+    group += [edit(base, 1, rng.choice([5, 15, 25])) for _ in range(10)]
+    variant = edit(base, 4)
+    group += [edit(variant, 1) for _ in range(10)]
+    band = [edit(base, k) for k in (5, 6, 7, 8, 9) for _ in range(8)] + [edit(variant, k) for k in (3, 4, 5, 6) for _ in range(6)]
+    band += [edit(base, 3, rng.choice([20, 30, 36])) for _ in range(8)] + [edit(base, 4) + rng.choices(vocabulary, k=rng.choice([20, 40])) for _ in range(8)]
+    texts = [" ".join(w) for w in group + band]
+    rng.shuffle(texts)
+    rows = [(i, t, None, 1) for i, t in enumerate(texts)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), words=4, postings=4, block=16).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4)
+    assert 3 < len({r["component_id"] for r in got}) < len(rows) - 50
+
+
 def test_sets_of_a_slice_are_those_of_the_rows():
     texts = pa.array([f"Word{i} ÉTÉ x{i} b c d{i % 3}" for i in range(900)])
     whole = minhash.shingle_sets(texts, 4)

@@ -23,39 +23,54 @@ def corpus():
     rows += [[300 + i, rows[5][1], "de", "s1", 0] for i in range(20)]
     rows += [[330, rows[7][1] + " extra", "de", "s2", 0]]
     rows += [[400, None, "en", "s0", 0], [401, "", "en", "s0", 0], [402, "123 456", "de", "s0", 0], [None, "the cat and the dog without a number at all", "en", None, 0]]
+    rows += [[12, "a text of its own under an id that another row has " + "and so on " * 3, "en", "s0", 0]]
+    say = lambda: " ".join(rng.choices(words["en"], k=12)) + f" {rng.random()}"
+    page = [say() for _ in range(40)]
+    rows += [[600 + k, "\n".join([*page[:k], say(), *page[k + 1 :]]), "en", "s3", 0] for k in range(30)]
     return [tuple(r[:4] + [len(r[1] or "")]) for r in rows] + [tuple(rows[9][:4] + [len(rows[9][1])])]
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def components(rows):
+    """A name per row that its near-duplicates share, and whether it has shingles."""
+    sets = [shingles(r[1]) for r in rows]
+    component = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = component[i], component[j]
+                component = [new if c == old else c for c in component]
+    return [c if s else ("alone", r[0]) for c, r, s in zip(component, rows, sets, strict=True)]
+
+
 def test_run_against_a_plain_version(spark, tmp_path):
     rows = corpus()
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
     kept = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
-    totals, pages = Counter(r[3] for r in kept), Counter()
-    for r in kept:
-        pages.update({(r[3], x) for x in r[1].split("\n") if x})
+    # A near-duplicate component is one page of its source.
+    named = list(zip(kept, components(kept), strict=True))
+    totals = Counter(source for source, _ in {(r[3], c) for r, c in named})
+    pages = Counter((source, x) for source, _, x in {(r[3], c, x) for r, c in named for x in r[1].split("\n") if x})
     bad = {k for k, n in pages.items() if n >= lines.MIN_PAGES and n > lines.RATIO * totals[k[0]]}
     kept = [(r[0], "\n".join(x for x in r[1].split("\n") if (r[3], x) not in bad), r[3]) for r in kept]
 
-    def shingles(t):
-        w = t.lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-
-    sets = [shingles(r[1]) for r in kept]
-    component = list(range(len(kept)))
-    for i in range(len(kept)):
-        for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                old, new = component[i], component[j]
-                component = [new if c == old else c for c in component]
+    texts = {}
+    for r in kept:
+        texts.setdefault(r[0], set()).add(r[1])
     best = {}
-    for c, r, s in zip(component, kept, sets, strict=True):
-        key = c if s else ("alone", r[0])
-        rank = (r[0] is not None, r[0])
-        if key not in best or rank < best[key][0]:
-            best[key] = (rank, r)
+    for c, r in zip(components(kept), kept, strict=True):
+        rank = (r[0] is not None and len(texts[r[0]]) > 1, r[0] is not None, r[0])
+        if c not in best or rank < best[c][0]:
+            best[c] = (rank, r)
     kept = [r for _, r in best.values()]
+    assert {r[1] for r in kept if r[0] == 12} == {r[1] for r in rows if r[0] == 12 and "its own" in r[1]} | {r[1] for r in kept if r[0] == 12 and "its own" not in r[1]}
+    assert [r for r in kept if r[0] and r[0] >= 600] == [(600, rows[[r[0] for r in rows].index(600)][1], "s3")]
 
     plan = mixing.plan_mix(spark.createDataFrame(kept, "doc_id long, text string, source string")).collect()
     whole = tokens.Encoder(tokens.vocabulary()).whole
@@ -96,3 +111,26 @@ def test_a_text_with_many_copies_keeps_its_lines(spark, tmp_path):
     got = [r for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r["doc_id"] < 30]
     ids = np.append(tokens.Encoder(tokens.vocabulary()).whole([body])[0], np.uint32(0)).astype("<u4")
     assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in got} == {(0, len(ids), zlib.crc32(ids.tobytes()))}
+
+
+def test_documents_stay_where_no_language_is_known(spark):
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(["the cat and the dog", "", None, "12 34", "der hund"])], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()) == [0, 4]
+    one = spark.createDataFrame([(i, "the cat and the dog", "en", "s", 0) for i in range(6)], SCHEMA)
+    assert corpus_pipeline.language(spark, one, "").count() == 6
+
+
+def test_an_id_with_two_texts_is_two_documents(spark):
+    a, b = "one two three four five six seven eight", "another text with quite other words in it"
+    docs = spark.createDataFrame([(1, a, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0), (5, b, "en", "s", 0)], SCHEMA)
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [(1, a), (5, b)]
+
+
+def test_language_margin_does_not_depend_on_the_number_of_languages(spark):
+    rng = random.Random(1)
+    rows = []
+    for k in range(12):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[k : k + 14], k=5)) for _ in range(40)]
+        rows += [(100 * k + i, " ".join(rng.choices(words, k=60)), f"l{k:02}", "s", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert corpus_pipeline.language(spark, docs, "").count() == len(rows)
