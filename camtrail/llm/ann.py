@@ -13,8 +13,11 @@ from camtrail.scale import cut_lineage
 K = 20
 # Rows the centroids are fitted on, at most; every row is indexed.
 SAMPLE = 16_384
-LISTS = 128
-PROBES = 80
+# A table of n rows has about sqrt(n) lists, within these bounds; the upper one leaves 16 sampled rows a list.
+LISTS = (64, SAMPLE // 16)
+# Share of the nearest neighbours within the sample that the visited lists must hold, and the sampled rows it is measured on.
+AIM = 0.96
+ASKED = 512
 # Column blocks end at these shares of the dimensions.
 BLOCKS = (0.25, 0.5, 0.75, 1.0)
 # One-sided test: a candidate is given up when its partial product lies this many deviations below what it would need.
@@ -33,20 +36,61 @@ def rotation(dim: int, seed: int = 1) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def fit_lists(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
-    """Centroids of unit directions of the sample (spherical k-means); fewer if the sample has fewer rows."""
+def directions(sample: np.ndarray) -> np.ndarray:
+    """Positions of the first row of each direction, in single precision: copies of a row, scaled or not, count once."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    return np.sort(np.unique(unit.astype(np.float32), axis=0, return_index=True)[1])
+
+
+def nearest_lists(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """List of each row and its product with that centroid, a block of rows at a time."""
+    own, best = np.empty(len(x), np.int64), np.empty(len(x))
+    for at in range(0, len(x), 2048):
+        s = x[at : at + 2048] @ centres.T
+        own[at : at + 2048] = np.argmax(s, axis=1)
+        best[at : at + 2048] = s.max(axis=1)
+    return own, best
+
+
+def fit_lists(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
+    """Centroids of the sample's distinct directions (spherical k-means); fewer if it has fewer of them.
+
+    A group of copies is one direction, so it draws one centroid at most. A list that nothing is nearest to starts again at the direction farthest from its own centroid.
+    """
+    unit = sample[directions(sample)]
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     rng = np.random.default_rng(seed)
     c = unit[rng.choice(len(unit), min(lists, len(unit)), replace=False)]
-    for _ in range(rounds):
-        own = np.argmax(unit @ c.T, axis=1)
+    for k in range(rounds):
+        own, best = nearest_lists(unit, c)
         sums = np.zeros_like(c)
         np.add.at(sums, own, unit)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         c = np.where(norms > 0, sums / np.maximum(norms, 1e-300), c)
+        empty = np.flatnonzero(np.bincount(own, minlength=len(c)) == 0)
+        if k + 1 < rounds:
+            c[empty] = unit[np.argsort(best, kind="stable")[: len(empty)]]
     return c
 
 
+def measure_probes(sample: np.ndarray, centres: np.ndarray, k: int, aim: float = AIM, seed: int = 2) -> int:
+    """Lists a query must visit to meet the share ``aim`` of its ``k`` nearest rows in the sample, over up to ASKED rows of distinct directions.
+
+    Neighbours within a sample are farther off than those within the whole table, so the table's recall is not below what is measured, up to chance.
+    """
+    own, _ = nearest_lists(sample, centres)
+    asked = directions(sample)
+    asked = asked[np.sort(np.random.default_rng(seed).choice(len(asked), min(len(asked), ASKED), replace=False))]
+    if len(sample) < 2:
+        return len(centres)
+    products = sample[asked] @ sample.T
+    products[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-products, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(sample[asked] @ centres.T), axis=1, kind="stable"), axis=1)
+    depth = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+    return int(depth[int(np.ceil(aim * len(depth))) - 1]) + 1
+
+
 def scan_list(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, floor: np.ndarray, k: int, z: float = Z, stats: dict | None = None):
     """The ``k`` best (query row, candidate row, exact product) per query among candidates ``x``, whose ``ids`` ascend; only products of ``floor`` or more count.
 
@@ -107,13 +151,13 @@ def scan_list(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, f
 
 
 def nearest(
-    rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, every: int = V.EVERY, lists: int = LISTS, probes: int = PROBES,
+    rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, every: int = V.EVERY, lists: int | None = None, probes: int | None = None,
     sample: int = SAMPLE, chunk: int = CHUNK, query_chunk: int = QUERY_CHUNK, z: float = Z,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each row whose id is divisible by ``every``.
 
-    Centroids are fitted on the ``sample`` rows with the smallest id hashes; all rows are indexed. A query visits the ``probes`` lists whose
-    centroids have the largest products with it; with at most ``probes`` lists the answer is exact up to the test's error. A list is cut into chunks by id hash on both sides, so a list
+    Centroids are fitted on the ``sample`` rows with the smallest id hashes; all rows are indexed. ``lists`` follows the square root of the rows and ``probes`` the recall within the
+    sample, unless they are given. A query visits the ``probes`` lists whose centroids have the largest products with it; with at most ``probes`` lists the answer is exact up to the test's error. A list is cut into chunks by id hash on both sides, so a list
     with a third of all rows is many cells; a cell holds about ``chunk`` vectors and ``query_chunk`` queries and returns at most ``k`` rows per query. What is broadcast is
     one row per list.
 
@@ -130,8 +174,9 @@ def nearest(
     first = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()
     if first.empty:
         return spark.createDataFrame([], V.RESULT.format("double"))
-    centres = fit_lists(np.stack(first["vector"].to_numpy()), lists)
-    probes = min(probes, len(centres))
+    known = np.stack(first["vector"].to_numpy())
+    centres = fit_lists(known, lists or int(np.clip(dims[0]["n"] ** 0.5, *LISTS)))
+    probes = min(probes or measure_probes(known, centres, k), len(centres))
 
     def place(count: int):
         def run(frames):

@@ -70,6 +70,37 @@ def test_nearest_recall(spark):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+@pytest.mark.parametrize("share", [0.34, 0.5, 0.67])
+def test_nearest_recall_with_many_equal_rows(spark, share):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 32))
+    equal = rng.random(len(x)) < share
+    x[equal] = x[7]
+    x[5::11] = x[5::11] * 2.0  # some copies are longer than others
+    want = brute(x, list(range(len(x))))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = answers(ann.nearest(df))
+    others = [q for q in want if not equal[q]]
+    hits = sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in others)
+    assert hits / (20 * len(others)) >= 0.9
+    for q in want:
+        assert q in got and len(got[q]) == 20
+
+
+def test_lists_follow_distinct_directions_and_measured_recall():
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (2_000, 16_000):
+        middle = rng.standard_normal((n // 200, 32)) * 2
+        x = middle[rng.integers(0, len(middle), n)] + rng.standard_normal((n, 32)) / 2
+        x[: n // 2] = x[0]
+        centres = ann.fit_lists(x, int(n**0.5))
+        own, _ = ann.nearest_lists(x, centres)
+        assert len(np.unique(own)) > 0.9 * len(centres)
+        shares.append(ann.measure_probes(x, centres, 20) / len(centres))
+    assert shares[1] < shares[0] < 0.5  # clustered rows need few lists, and a smaller share of them as they grow
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ann.nearest(empty).count() == 0 and topk.exact_top(empty).count() == 0
