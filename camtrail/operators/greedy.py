@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from camtrail.functions import boxes
-from camtrail.scale import broadcast_if_small, cut_lineage, floor_div, join_same, split_hot
+from camtrail.scale import broadcast_if_small, cut_lineage, floor_div, join_same, next_at_or_after, running_counts, split_hot
 
 MAX_GROUP = 2_000
 
@@ -237,24 +237,16 @@ def sample_by_interval(
 ) -> DataFrame:
     """Keep a frame when at least ``interval_s`` passed since the last kept one of its group.
 
-    The answer depends on all earlier frames, so each timeline is cut into
-    chunks that are solved for every possible entry (the frames of one interval
-    at the start of the chunk). The entries really taken are found by walking
-    the chunk summaries with pointer doubling; a second pass keeps the frames.
-    Chunks are spans of time sized so that one holds about ``chunk_rows`` frames.
+    The answer depends on all earlier frames. A timeline with more than ``chunk_rows`` different times is cut into chunks of that many, by rank, so neither a wrong clock nor a
+    burst makes one of them larger. A chunk is a map from entry to exit: it is solved for every frame that can be the first one kept in it (those of one interval at
+    its start). Exits are joined to the next entry in time order, the chain from a timeline's start is found by pointer doubling, and a second pass keeps the frames of the
+    entries on it. Frames without a time are not kept; of frames at one time the one with the smallest ``tie`` is.
     """
     keys = list(group)
     step = int(round(interval_s * 1_000_000))
-    size = frames.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(time_us).alias("_t0"), F.max(time_us).alias("_t1")
-    )
-    parts = F.ceil(F.col("_n") / chunk_rows)
-    span = F.greatest(F.ceil((F.col("_t1") - F.col("_t0") + 1) / parts), F.lit(2 * step)).cast("long")
-    size = cut_lineage(size.select(*keys, F.col("_t0"), span.alias("_span"), parts.alias("_parts")))
-    rows = join_same(frames, broadcast_if_small(size), keys)
-    offset = F.col(time_us) - F.col("_t0")
-    rows = rows.withColumn("_chunk", ((offset - F.pmod(offset, F.col("_span"))) / F.col("_span")).cast("long"))
-    times = cut_lineage(rows.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_set(time_us)).alias("_ts")))
+    timeline = frames.filter(F.col(time_us).isNotNull()).select(*keys, F.col(time_us)).distinct()
+    single, long = split_hot(timeline, keys, chunk_rows)
+    gathered = F.array_sort(F.collect_list(time_us)).alias("_ts")
 
     key_type = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keys).schema)
 
@@ -273,10 +265,12 @@ def sample_by_interval(
             yield pd.DataFrame(out, columns=[*keys, "_chunk", "entry", "leave"])
 
     # One summary row per possible entry of a chunk: first kept frame, earliest time the next may come.
-    one_chunk = join_same(times, broadcast_if_small(size.filter(F.col("_parts") <= 1).select(*keys)), keys, "left_semi")
-    many = join_same(times, broadcast_if_small(size.filter(F.col("_parts") > 1).select(*keys)), keys, "left_semi")
-    starts = one_chunk.select(*keys, "_chunk", "_ts", F.try_element_at("_ts", F.lit(1)).alias("entry"))
-    starts = starts.unionByName(_walk_chunks(many, keys, summarise, key_type))
+    starts = single.groupBy(*keys).agg(gathered).select(*keys, F.lit(0).cast("long").alias("_chunk"), "_ts", F.try_element_at("_ts", F.lit(1)).alias("entry"))
+    if long is not None:
+        ranked = running_counts(long.withColumn("_one", F.lit(1)), keys, time_us, ["_one"])
+        chunked = ranked.withColumn("_chunk", F.floor(F.col("before__one") / chunk_rows).cast("long"))
+        many = cut_lineage(chunked.groupBy(*keys, "_chunk").agg(gathered))
+        starts = starts.unionByName(_walk_chunks(many, keys, summarise, key_type))
 
     def keep(batches):
         for pdf in batches:
@@ -299,24 +293,10 @@ def sample_by_interval(
 def _walk_chunks(times: DataFrame, keys: list[str], summarise, key_type: str) -> DataFrame:
     """Chunks that a timeline really enters, with the first frame kept in each."""
     base = times.select(*keys, "_chunk", "_ts")
-    if times.isEmpty():
-        return base.withColumn("entry", F.lit(0).cast("long"))
     nodes = cut_lineage(base.mapInPandas(summarise, f"{key_type}, _chunk bigint, entry bigint, leave bigint"))
-    # The next node is the first possible entry at or after ``leave`` in a later chunk: at most two
-    # chunks ahead unless chunks are empty, so look it up in the next non-empty chunk and the one after.
-    order = W.partitionBy(*keys).orderBy("_chunk")
-    chunks = base.select(*keys, "_chunk", F.try_element_at("_ts", F.lit(-1)).alias("_end")).select(
-        *keys, "_chunk", F.lead("_chunk").over(order).alias("_c1"), F.lead("_chunk", 2).over(order).alias("_c2")
-    )
-    here = join_same(nodes, chunks, [*keys, "_chunk"])
-    ahead = nodes.select(*keys, F.col("_chunk").alias("_to"), F.col("entry").alias("_next"))
-    reach = here.withColumn("_to", F.explode(F.array_compact(F.array("_c1", "_c2"))))
-    link = (
-        join_same(reach, ahead, [*keys, "_to"])
-        .filter(F.col("_next") >= F.col("leave"))
-        .groupBy(*keys, "entry")
-        .agg(F.min("_next").alias("_next"))
-    )
+    # An exit lies after its chunk, and the first frame at or after it is a possible entry of the chunk that has it, however many chunks a burst puts between.
+    after = next_at_or_after(nodes.select(*keys, "leave").distinct(), nodes.select(*keys, "entry"), keys, "leave", "entry", "_next")
+    link = join_same(nodes, after.filter("_next is not null"), [*keys, "leave"])
     node = F.struct(*[F.col(c) for c in keys], F.col("entry").alias("at"))
     after = F.struct(*[F.col(c) for c in keys], F.col("_next").alias("at"))
     first = nodes.groupBy(*keys).agg(F.min("entry").alias("entry"))

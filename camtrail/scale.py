@@ -156,6 +156,26 @@ def running_counts(df: DataFrame, key: Sequence[str], order: str, sums: Sequence
     return out.drop("_range", *[f"_o_{c}" for c in sums])
 
 
+def next_at_or_after(probes: DataFrame, marks: DataFrame, key: Sequence[str], at: str, mark: str, out: str) -> DataFrame:
+    """(key, ``at``, ``out``): the smallest ``mark`` of the key at or after each distinct ``at``, null where there is none.
+
+    Both sides are range-partitioned together, so no key is gathered in one task; a range without a later mark takes the first one of the nearest range
+    that has any, from one row per (key, range).
+    """
+    keys = list(key)
+    both = marks.select(*keys, F.col(mark).alias("_at"), F.col(mark).alias("_mark"), F.lit(False).alias("_asked"))
+    both = both.unionByName(probes.select(*keys, F.col(at).alias("_at"), F.lit(None).cast(marks.schema[mark].dataType).alias("_mark"), F.lit(True).alias("_asked")))
+    both = both.groupBy(*keys, "_at").agg(F.max("_mark").alias("_mark"), F.max("_asked").alias("_asked"))
+    parts = both.repartitionByRange(*[F.col(c) for c in [*keys, "_at"]])
+    parts = cut_lineage(parts.withColumn("_range", F.spark_partition_id()))
+    later = W.partitionBy(*keys).orderBy("_range").rowsBetween(1, W.unboundedFollowing)
+    heads = parts.groupBy(*keys, "_range").agg(F.min("_mark").alias("_head"))
+    heads = heads.select(*keys, "_range", F.first("_head", ignorenulls=True).over(later).alias("_carry"))
+    inside = W.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(0, W.unboundedFollowing)
+    found = parts.withColumn("_inside", F.first("_mark", ignorenulls=True).over(inside)).filter("_asked")
+    return join_same(found, heads, [*keys, "_range"]).select(*keys, F.col("_at").alias(at), F.coalesce("_inside", "_carry").alias(out))
+
+
 def band_join(
     left: DataFrame,
     right: DataFrame,

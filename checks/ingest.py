@@ -415,13 +415,15 @@ def _(d):
 
 @query(
     "d05_chain_merge",
-    ROOTS + """, obs AS (SELECT t.camera, coalesce(c.root, t.id) AS track, o.offset_s, o.conf, o.label, o.frame_idx, o.rid FROM observations o JOIN tracks t ON t.track_id = o.track_id LEFT JOIN chain c ON c.id = t.id)
+    ROOTS + """, obs AS (SELECT coalesce(t.camera, o.camera) AS camera, coalesce(c.root, t.id, 'open-' || o.track_id) AS track, o.offset_s, o.conf, o.label, o.frame_idx, o.rid
+      FROM observations o LEFT JOIN tracks t ON t.track_id = o.track_id LEFT JOIN chain c ON c.id = t.id)
     SELECT camera, track AS track_id, count(*) AS hits, round(avg(conf), 9) AS mean_conf, max(offset_s) AS offset_end FROM obs GROUP BY camera, track""",
 )
 def _(d):
-    """Observations of stitched tracks summarised again over the whole chain."""
+    """Observations of stitched tracks summarised again over the whole chain. A track that is not in the index yet keeps its own camera and number."""
     ids = d.tracks.select("track_id", "id", F.col("camera").alias("cam"))
-    obs = d.observations.join(ids, "track_id").withColumn("track_id", F.col("id")).withColumn("camera", F.col("cam")).withColumn("video", F.lit("all"))
+    own = F.coalesce("id", F.concat(F.lit("open-"), "track_id"))
+    obs = d.observations.join(ids, "track_id", "left").withColumn("track_id", own).withColumn("camera", F.coalesce("cam", "camera")).withColumn("video", F.lit("all"))
     merged = T.merge_chains(obs.drop("id", "cam"), T.stitch_matches(stitch_pairs(d)))
     return merged.select("camera", "track_id", "hits", F.round("mean_conf", 9).alias("mean_conf"), "offset_end")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from camtrail.operators import greedy
-from camtrail.scale import follow_pointers
+from camtrail.scale import follow_pointers, next_at_or_after
 
 
 def loop_dedup(rows, window):
@@ -107,6 +107,30 @@ def test_sample_by_interval(spark, chunk_rows):
     assert got == want
 
 
+def test_sampling_with_a_wrong_clock_and_a_burst(spark):
+    rnd = random.Random(9)
+    times = [rnd.randrange(0, 400_000_000) for _ in range(600)]
+    times += [4_000_000_000_000_000, -7_000_000_000]  # clocks that are wrong
+    times += [200_000_000 + i * 500 for i in range(900)]  # more frames in one interval than a chunk holds
+    want, last = set(), None
+    for t in sorted(times):
+        if last is None or t - last >= 2_000_000:
+            want.add(t)
+            last = t
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(times)] + [("b", 1, 5), ("a", 9999, None)], "g string, i long, t long")
+    got = {(r.g, r.t) for r in greedy.sample_by_interval(df, ["g"], "t", "i", 2.0, 64).collect()}
+    assert got == {("a", t) for t in want} | {("b", 5)}
+
+
+def test_next_at_or_after(spark):
+    rnd = random.Random(2)
+    marks = sorted({(rnd.choice("ab"), rnd.randrange(500)) for _ in range(60)} | {(None, 7)}, key=str)
+    asked = sorted({(rnd.choice("abc"), rnd.randrange(600)) for _ in range(200)} | {(None, 3), (None, 8)}, key=str)
+    got = next_at_or_after(spark.createDataFrame(asked, "g string, t long"), spark.createDataFrame(marks, "g string, m long"), ["g"], "t", "m", "n")
+    want = {(g, t, min((m for h, m in marks if h == g and m >= t), default=None)) for g, t in asked}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(asked)
+
+
 def test_follow_pointers(spark):
     links = [(i, i + 1) for i in range(37)] + [(100, 101)]
     got = {r.a: (r.root, r.hops) for r in follow_pointers(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
