@@ -222,13 +222,16 @@ def _(d):
 
 @query("s18_folder_watch", "SELECT file, true AS filled FROM (VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") AS t(file)")
 def _(d):
-    """The files of the data folder, each taken once."""
+    """The files of the data folder, each taken once, when two looks agree on its size."""
     at = place(d)
-    files = watch.new_files(d.spark, d.folder, ("parquet",))
 
     def take(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/seen/batch={n}")
 
-    watch.watch(files, take, f"{at}/state", once=True).awaitTermination()
+    look = watch.stable_files(d.folder, f"{at}/looks", take, ("parquet",))
+    for _ in range(10):  # a look is due once a second has passed
+        watch.watch_stable(d.spark, look, f"{at}/state", once=True).awaitTermination()
+        if watch.looks_table(d.spark, f"{at}/looks").version() >= 2:
+            break
     seen = d.spark.read.parquet(f"{at}/seen")
     return seen.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("length") > 0).alias("filled"))

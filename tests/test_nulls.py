@@ -8,7 +8,7 @@ import pytest
 
 from camtrail.operators import alerts, greedy, live, providers
 from camtrail.scale import split_hot
-from camtrail.streaming import sinks
+from camtrail.sources import keyed
 
 from test_greedy import iou
 
@@ -104,12 +104,18 @@ def test_rules_that_differ_in_their_threshold_have_ids_of_their_own(spark):
     assert len({r.id for r in made}) == 4 and {r.min_score for r in made} == {0.2, 0.3, alerts.DEFAULT_SCORE}
 
 
-def test_a_damaged_event_table_is_not_taken_for_an_empty_one(spark, tmp_path):
-    assert sinks.read_or_none(spark, str(tmp_path / "none")) is None
-    (tmp_path / "events").mkdir()
-    (tmp_path / "events" / "part-0.parquet").write_bytes(b"not parquet at all")
+@pytest.mark.parametrize("damaged", ["versions/v=1", "data", "keys"])
+def test_a_damaged_event_table_is_not_taken_for_an_empty_one(spark, tmp_path, damaged):
+    table = keyed.events(spark, str(tmp_path / "events"))
+    assert table.version() == 0 and table.read().count() == 0
+    rows = spark.createDataFrame([("e1", datetime(2026, 1, 1))], "event_id string, ts timestamp_ntz")
+    table.upsert(rows, "one")
+    assert table.read().count() == 1
+    for file in (tmp_path / "events" / damaged).rglob("*.parquet"):
+        file.write_bytes(b"not parquet at all")
     with pytest.raises(Exception):
-        sinks.read_or_none(spark, str(tmp_path / "events"))
+        table.read().collect()
+        table.existing(rows.select("event_id")).collect()
 
 
 def test_equally_long_texts_are_compared_both_ways():
