@@ -20,7 +20,7 @@ AIM = 0.96
 ASKED = 512
 # Column blocks end at these shares of the dimensions.
 BLOCKS = (0.25, 0.5, 0.75, 1.0)
-# One-sided test: a candidate is given up when its partial product lies this many deviations below what it would need.
+# One-sided test: a candidate is given up when its partial product lies this many deviations below that of a candidate that just meets the floor.
 Z = 3.0
 CHUNK = 8192
 QUERY_CHUNK = 512
@@ -73,20 +73,26 @@ def fit_lists(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 1) -
     return c
 
 
-def measure_probes(sample: np.ndarray, centres: np.ndarray, k: int, aim: float = AIM, seed: int = 2) -> int:
+def measure_probes(
+    sample: np.ndarray, centres: np.ndarray, k: int, aim: float = AIM, seed: int = 2, asked: np.ndarray | None = None, same: np.ndarray | None = None,
+) -> int:
     """Lists a query must visit to meet the share ``aim`` of its ``k`` nearest rows in the sample, over up to ASKED rows of distinct directions.
 
+    They are rows of the sample, or the vectors ``asked``; ``same`` tells which sampled row each of those is (-1: none), as a row is no neighbour of its own.
     Neighbours within a sample are farther off than those within the whole table, so the table's recall is not below what is measured, up to chance.
     """
     own, _ = nearest_lists(sample, centres)
-    asked = directions(sample)
-    asked = asked[np.sort(np.random.default_rng(seed).choice(len(asked), min(len(asked), ASKED), replace=False))]
+    if asked is None or not len(asked):
+        asked, same = sample, np.arange(len(sample))
+    pick = directions(asked)
+    pick = pick[np.sort(np.random.default_rng(seed).choice(len(pick), min(len(pick), ASKED), replace=False))]
     if len(sample) < 2:
         return len(centres)
-    products = sample[asked] @ sample.T
-    products[np.arange(len(asked)), asked] = -np.inf
+    asked, same = asked[pick], same[pick]
+    products = asked @ sample.T
+    products[np.flatnonzero(same >= 0), same[same >= 0]] = -np.inf
     near = np.argsort(-products, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    place = np.argsort(np.argsort(-(sample[asked] @ centres.T), axis=1, kind="stable"), axis=1)
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
     depth = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
     return int(depth[int(np.ceil(aim * len(depth))) - 1]) + 1
 
@@ -94,8 +100,9 @@ def measure_probes(sample: np.ndarray, centres: np.ndarray, k: int, aim: float =
 def scan_list(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, floor: np.ndarray, k: int, z: float = Z, stats: dict | None = None):
     """The ``k`` best (query row, candidate row, exact product) per query among candidates ``x``, whose ``ids`` ascend; only products of ``floor`` or more count.
 
-    After each column block the rest of a product has mean 0 and about |q_rest| |x_rest| / sqrt(rest) deviation under the random rotation;
-    a candidate whose partial product plus ``z`` deviations (or the Cauchy bound, if less) stays under the query's current k-th score is abandoned.
+    Under the random rotation the rests of two vectors after a column block have about the cosine of the vectors, with a deviation of at most 1 / sqrt(rest). A candidate that
+    just meets the query's current k-th score has the cosine score / (|q| |x|); one whose partial product, with a rest of that cosine plus ``z`` deviations (or the Cauchy bound, if
+    less), stays under the score is abandoned. So near neighbours in tight groups, whose rests agree, are held against what such rests add.
     Blocks are products of whole tiles while many candidates live, and of single pairs after that. What is left is scored in double precision on the original vectors.
     """
     n, dim = x.shape
@@ -104,30 +111,36 @@ def scan_list(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, f
     xr, qr = (x / size @ turn).astype(np.float32), (q / size @ turn).astype(np.float32)
     cuts = sorted({max(1, int(round(b * dim))) for b in BLOCKS} | {dim})
     tail = lambda m, at: np.sqrt(np.einsum("ij,ij->i", m[:, at:], m[:, at:]))
-    weight = {c: np.float32(min(1.0, z / np.sqrt(dim - c)) if c < dim else 0.0) for c in cuts}
-    q_rest = {c: tail(qr, c) * weight[c] for c in cuts}
-    x_rest = {c: tail(xr, c) for c in cuts}
-    slack = np.float32(1e-5) * tail(qr, 0) * tail(xr, 0).max(initial=0)
+    weight = {c: np.float32(z / np.sqrt(dim - c) if c < dim else 0.0) for c in cuts}
+    q_rest, x_rest = {c: tail(qr, c) for c in cuts}, {c: tail(xr, c) for c in cuts}
+    q_len, x_len = tail(qr, 0), tail(xr, 0)
+    share = lambda rest, length: np.divide(rest, length, out=np.ones_like(rest), where=length > 0)
+    q_share, x_share = {c: share(q_rest[c], q_len) for c in cuts}, {c: share(x_rest[c], x_len) for c in cuts}
+    slack = np.float32(1e-5) * q_len * x_len.max(initial=0)
     r_best, i_best, s_best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     floor, at = floor.copy(), 0
     while at < n:
         end = min(n, at + (TILE if at else FIRST_TILE))
         part, need = xr[at:end], (floor / size / size).astype(np.float32) - slack
+        goal = np.maximum(need + slack, 0)  # a floor below 0 counts as a cosine of 0, which abandons less
         r = c = None
         low = 0
         for high in cuts:
             if r is None:
                 block = qr[:, low:high] @ part[:, low:high].T
                 total = block if low == 0 else total + block
-                alive = total + np.multiply.outer(q_rest[high], x_rest[high][at:end]) >= need[:, None]
-                done, share = alive.size, np.count_nonzero(alive) / max(1, alive.size)
-                if share < PAIRWISE or high == dim:
+                room = np.multiply.outer(q_rest[high], x_rest[high][at:end])
+                fair = room * weight[high] + np.multiply.outer(goal * q_share[high], x_share[high][at:end])
+                alive = total + np.minimum(room, fair) >= need[:, None]
+                done = alive.size
+                if np.count_nonzero(alive) < PAIRWISE * done or high == dim:
                     r, c = np.nonzero(alive)
                     p = total[r, c]
             else:
                 done = len(r)
                 p = p + np.einsum("ij,ij->i", qr[r, low:high], part[c, low:high])
-                keep = p + q_rest[high][r] * x_rest[high][at + c] >= need[r]
+                room = q_rest[high][r] * x_rest[high][at + c]
+                keep = p + np.minimum(room, room * weight[high] + goal[r] * q_share[high][r] * x_share[high][at + c]) >= need[r]
                 r, c, p = r[keep], c[keep], p[keep]
             if stats is not None:
                 stats["products"] = stats.get("products", 0) + done * (high - low)
@@ -171,12 +184,18 @@ def nearest(
         return spark.createDataFrame([], V.RESULT.format("double"))
     dim = dims[0]["dim"]
     good = good.filter((F.size("vector") == dim) & F.exists("vector", lambda x: x != 0))
-    first = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()
+    first = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     if first.empty:
         return spark.createDataFrame([], V.RESULT.format("double"))
     known = np.stack(first["vector"].to_numpy())
     centres = fit_lists(known, lists or int(np.clip(dims[0]["n"] ** 0.5, *LISTS)))
-    probes = min(probes or measure_probes(known, centres, k), len(centres))
+    if probes is None:
+        # Measured on queries themselves, as they may lie elsewhere than most rows.
+        some = V.queries_of(good, every).orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * ASKED).toPandas()
+        own = {v: i for i, v in enumerate(first["vec_id"])}
+        same = np.array([own.get(v, -1) for v in some["vec_id"]], np.int64)
+        probes = measure_probes(known, centres, k, asked=np.stack(some["vector"].to_numpy()) if len(some) else None, same=same)
+    probes = min(probes, len(centres))
 
     def place(count: int):
         def run(frames):

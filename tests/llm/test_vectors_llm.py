@@ -87,6 +87,36 @@ def test_nearest_recall_with_many_equal_rows(spark, share):
         assert q in got and len(got[q]) == 20
 
 
+@pytest.mark.parametrize("kind", ["groups", "offset", "flat"])
+def test_nearest_recall_where_near_vectors_agree_in_every_part(spark, kind):
+    rng = np.random.default_rng(12)
+    n, dim = 3000, 64
+    noise = rng.standard_normal((n, dim))
+    x = {
+        "groups": rng.standard_normal((20, dim))[rng.integers(0, 20, n)] + 0.3 * noise,  # tight groups
+        "offset": 1 + 0.3 * noise,  # all rows on one side
+        "flat": rng.standard_normal((n, 6)) @ rng.standard_normal((6, dim)) + 0.05 * noise,  # few real dimensions
+    }[kind]
+    want = brute(x, list(range(n)))
+    got = answers(ann.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")))
+    hits = sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9
+
+
+def test_probes_are_measured_on_the_queries():
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal((60, 32))
+    x = middle[rng.integers(0, 60, 3000)] + 0.1 * rng.standard_normal((3000, 32))
+    centres = ann.fit_lists(x, 60)
+    away = rng.standard_normal((200, 32))  # between the groups
+    own, _ = ann.nearest_lists(x, centres)
+    near = np.argsort(-(away @ x.T), axis=1)[:, :20]
+    probes = ann.measure_probes(x, centres, 20, asked=away, same=np.full(200, -1))
+    visited = np.argsort(-(away @ centres.T), axis=1)[:, :probes]
+    assert np.mean([np.isin(own[n], v).mean() for n, v in zip(near, visited)]) >= 0.9
+    assert probes > ann.measure_probes(x, centres, 20)
+
+
 def test_lists_follow_distinct_directions_and_measured_recall():
     rng = np.random.default_rng(4)
     shares = []
