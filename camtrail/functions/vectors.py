@@ -25,10 +25,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """L2 normalised copy; a zero vector stays zero."""
-    length = norm(a)
-    return F.when(length == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(
-        F.transform(a, lambda x: F.try_divide(x.cast("double"), length))
-    )
+
+    def scaled(length: Column) -> Column:
+        return F.when(length == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(
+            F.transform(a, lambda x: F.try_divide(x.cast("double"), length))
+        )
+
+    # The length is bound once; named in the inner lambda it would be worked out again for every element.
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))
 
 
 def pair_mean(a: Column, b: Column) -> Column:
@@ -44,9 +48,12 @@ def mean_vector(vector: str, dim: int) -> Column:
 def nearest_class(vector: Column, classes: Column) -> Column:
     """Best class of an ARRAY<STRUCT<name, vec>>; ties go to the smaller name. STRUCT<score, name>."""
     scored = F.transform(classes, lambda c: F.struct(dot(vector, c["vec"]).alias("score"), c["name"].alias("name")))
-    best = F.array_max(F.transform(scored, lambda s: s["score"]))
-    names = F.transform(F.filter(scored, lambda s: s["score"] == best), lambda s: s["name"])
-    return F.struct(best.alias("score"), F.array_min(names).alias("name"))
+    # One product per class: the best is the least of a key that sorts NaN first, then falling scores, then names.
+    keyed = F.transform(
+        F.filter(scored, lambda s: s["score"].isNotNull()),
+        lambda s: F.struct((~F.isnan(s["score"])).alias("number"), (-s["score"]).alias("falling"), s["name"].alias("name"), s["score"].alias("score")),
+    )
+    return F.get(F.transform(F.array(F.array_min(keyed)), lambda b: F.struct(b["score"].alias("score"), b["name"].alias("name"))), F.lit(0))
 
 
 @pandas_udf(T.ArrayType(T.FloatType()))

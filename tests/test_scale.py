@@ -39,3 +39,20 @@ def test_running_counts(spark):
     w = W.partitionBy("k").orderBy("o").rowsBetween(W.unboundedPreceding, -1)
     want = {(r.k, r.o, r.b or 0) for r in df.withColumn("b", F.sum("n").over(w)).collect()}
     assert {(r.k, r.o, r.before_n) for r in running_counts(df, ["k"], "o", ["n"]).collect()} == want
+
+
+def test_vector_expressions_work_out_lengths_and_products_once(spark):
+    """Plans that name a length or a product inside another lambda do work that grows with the square of the dimensions or classes."""
+    from pyspark.sql import functions as F
+
+    from camtrail.functions import vectors
+
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id int, v array<double>")
+    unit = rows.select("id", vectors.unit(F.col("v")).alias("u"))
+    assert [r["u"] for r in unit.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    nearest = "array(struct('b' as name, array(1D, 1D) as vec), struct('a' as name, array(1D, 1D) as vec), struct('c' as name, array(-1D, 0D) as vec), struct('n' as name, cast(null as array<double>) as vec))"
+    best = rows.select("id", vectors.nearest_class(F.col("v"), F.expr(nearest)).alias("b")).orderBy("id").collect()
+    assert [(r["b"]["score"], r["b"]["name"]) for r in best] == [(7.0, "a"), (0.0, "a"), (None, None)]
+    text = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert text(unit).count("aggregate(") <= 1
+    assert text(rows.select(vectors.nearest_class(F.col("v"), F.expr(nearest)).alias("b"))).count("aggregate(") <= 1
