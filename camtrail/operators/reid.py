@@ -52,9 +52,9 @@ def matches_of(
 def narrative(matches: DataFrame) -> DataFrame:
     """One line per probe: its own step, then the matches in time order."""
     stamp = F.date_format("t_start", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    step = F.concat(
-        F.lit("-> ["), "camera", F.lit(" @ "), stamp, F.lit(" (sim: "), F.format_string("%.2f", "similarity"), F.lit(")]")
-    )
+    # Two decimals of the binary value, half to even, as C and Python print them; Java's %.2f rounds the shortest decimal half up.
+    shown = F.format_number("similarity", 2)
+    step = F.concat(F.lit("-> ["), "camera", F.lit(" @ "), stamp, F.lit(" (sim: "), shown, F.lit(")]"))
     key = F.struct("t_start", (-F.col("similarity")).alias("s"), "track_id", step.alias("step"))
     head = F.concat(F.lit("["), "query_camera", F.lit(" @ "),
                     F.date_format("query_start", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("]"))

@@ -282,3 +282,14 @@ def test_scan_scores_all_pairs_of_the_first_batches_only(monkeypatch, distinct):
                 want.append((f"r{i:05d}", scores[i, j]))
                 seen.add((i % 3, i // 2))
         assert sorted(zip(mine["result_id"].to_pylist(), mine["score"].to_pylist())) == sorted(want)
+
+
+def test_narrative_rounds_the_binary_value_half_to_even(spark):
+    shown = {0.145: "0.14", 0.125: "0.12", 0.135: "0.14", 0.0651: "0.07", 1.0: "1.00"}
+    rows = spark.sql(" union all ".join(
+        f"select 'q' query_id, 'cam_1' query_camera, timestamp_ntz'2024-01-01 00:00:00' query_start, 'cam_2' camera, timestamp_ntz'2024-01-01 00:00:0{i}' t_start, {s}D similarity, 't{i}' track_id"
+        for i, s in enumerate(shown)
+    ))
+    line = reid.narrative(rows).first()["trajectory"]
+    assert [p.split(")")[0] for p in line.split("(sim: ")[1:]] == list(shown.values())
+    assert list(shown.values()) == [f"{s:.2f}" for s in shown]
