@@ -222,7 +222,7 @@ def _(d):
 
 @query("s18_folder_watch", "SELECT file, true AS filled FROM (VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") AS t(file)")
 def _(d):
-    """The files of the data folder, each taken once, when two looks agree on its size."""
+    """The tables of the data folder, each of their files taken once, when two looks agree on its size. A table may be a file or a folder of parts."""
     at = place(d)
 
     def take(batch: DataFrame, n: int) -> None:
@@ -234,4 +234,5 @@ def _(d):
         if watch.looks_table(d.spark, f"{at}/looks").version() >= 2:
             break
     seen = d.spark.read.parquet(f"{at}/seen")
-    return seen.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("length") > 0).alias("filled"))
+    file = F.regexp_extract("path", r"^.*?/([^/]+\.parquet)(?:/.*)?$", 1).alias("file")
+    return seen.groupBy(file).agg((F.min(F.col("length") > 0) & (F.count("path") == F.count_distinct("path"))).alias("filled"))

@@ -63,3 +63,17 @@ def test_the_clock_drives_the_looks(spark, tmp_path):
     for _ in range(4):
         watch.watch_stable(spark, look, str(tmp_path / "state"), once=True).awaitTermination()
     assert [(r["path"].split("/")[-1], r["length"]) for r in taken] == [("a.mp4", 3)]
+
+
+def test_the_watch_query_names_tables_stored_as_folders(spark, tmp_path):
+    from checks.all_queries import QUERIES
+    from checks.views import TABLES
+
+    for t in TABLES:
+        (tmp_path / "in").mkdir(exist_ok=True)
+        if t in ("events", "orders"):
+            spark.range(20).repartition(3).write.parquet(str(tmp_path / "in" / f"{t}.parquet"))
+        else:
+            (tmp_path / "in" / f"{t}.parquet").write_bytes(b"x")
+    found = QUERIES["s18_folder_watch"](spark, str(tmp_path / "in")).collect()
+    assert sorted(tuple(r) for r in found) == sorted((f"{t}.parquet", True) for t in TABLES)
