@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from camtrail.functions import boxes, text, vectors
-from camtrail.operators import greedy
-from camtrail.scale import band_join, broadcast_if_small, cut_lineage, follow_pointers, seconds
+from camtrail.operators import greedy, stitching
+from camtrail.scale import broadcast_if_small, cut_lineage, follow_pointers, seconds
 
 KEY = ("camera", "video", "track_id")
 
@@ -170,31 +170,42 @@ def stitch_pairs(
     """Candidate continuations: same group, small time gap, close boxes, similar vectors.
 
     Expects id, start_us, end_us, the first box centre (fx, fy), the last one
-    (lx, ly) and emb. Cheap tests come first inside the join; the cosine is
-    evaluated only for pairs that pass them.
+    (lx, ly) and emb. Pairs come out of cells of time, at most ``bucket_rows``
+    tracks to a side.
     """
-    keys = list(group)
-    base = tracks.select(*keys, F.col("id").alias("base_id"), "end_us", "lx", "ly", F.col("start_us").alias("base_us"),
-                         F.col("emb").alias("base_emb"))
-    cand = tracks.select(*keys, F.col("id").alias("cand_id"), F.col("start_us").alias("cand_us"), "fx", "fy",
-                         F.col("emb").alias("cand_emb"))
-    distance = F.sqrt((F.col("a.lx") - F.col("b.fx")) ** 2 + (F.col("a.ly") - F.col("b.fy")) ** 2)
-    need = F.when(F.col("a.grp") == "vehicle", min_cosine_vehicle).otherwise(min_cosine) if "grp" in keys else F.lit(min_cosine)
-    similar = vectors.dot(F.col("a.base_emb"), F.col("b.cand_emb")) >= need
-    # Time order of the two starts, then the id, tells base from candidate.
-    later = F.struct("b.cand_us", "b.cand_id") > F.struct("a.base_us", "a.base_id")
-    test = later & (distance <= max_distance) & similar
-    pairs = band_join(base, cand, keys, "end_us", "cand_us", 0, int(max_gap_s * 1_000_000), test, bucket_rows)
-    return pairs.select(
-        *keys,
-        "base_id",
-        "cand_id",
-        seconds(F.col("cand_us") - F.col("end_us"), 3).alias("gap_s"),
-        F.round(F.sqrt((F.col("lx") - F.col("fx")) ** 2 + (F.col("ly") - F.col("fy")) ** 2), 4).alias("center_dist"),
-        F.round(vectors.dot(F.col("base_emb"), F.col("cand_emb")), 4).alias("cosine_sim"),
+    keys, gap_us = list(group), int(max_gap_s * 1_000_000)
+    found = stitching.pairs(stitching.ends(tracks, keys), keys, gap_us, max_distance, min_cosine, min_cosine_vehicle, bucket_rows)
+    return _shown(found, keys)
+
+
+def _shown(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return found.select(
+        *keys, "base_id", "cand_id", seconds(F.col("wait_us"), 3).alias("gap_s"), F.round("distance", 4).alias("center_dist"), F.col("cosine").alias("cosine_sim")
     )
 
 
+def stitch(
+    tracks: DataFrame,
+    group: Sequence[str] = ("video", "grp"),
+    max_gap_s: float = 2.0,
+    max_distance: float = 0.25,
+    min_cosine: float = 0.80,
+    min_cosine_vehicle: float = 0.88,
+    **limits: int,
+) -> DataFrame:
+    """``stitch_matches`` of ``stitch_pairs`` without the pairs in between: they grow with the square of the tracks in a gap, the matches do not.
+
+    What the cells leave open, as in a burst larger than a cell, is matched from its pairs.
+    """
+    keys, gap_us = list(group), int(max_gap_s * 1_000_000)
+    rules = (keys, gap_us, max_distance, min_cosine, min_cosine_vehicle)
+    found, rest = stitching.matches(stitching.ends(tracks, keys), *rules, **limits)
+    found = _shown(found, keys)
+    if rest is None:
+        return found
+    return found.unionByName(stitch_matches(cut_lineage(_shown(stitching.pairs(rest, *rules, 20_000), keys)), keys))
+
+
 def stitch_matches(pairs: DataFrame, group: Sequence[str] = ("video", "grp"), max_group: int = greedy.MAX_GROUP) -> DataFrame:
     """One-to-one continuations, best cosine first."""
     return greedy.match_one_to_one(pairs, group, "base_id", "cand_id", "cosine_sim", max_group)

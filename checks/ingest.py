@@ -382,17 +382,19 @@ STITCH_PAIRS = f"""(SELECT a.camera AS video, a.grp, a.id AS base_id, b.id AS ca
    AND {dot('a.emb', 'b.emb')} >= CASE WHEN a.grp = 'vehicle' THEN -0.1 ELSE -0.2 END)"""
 
 
-def stitch_pairs(d):
-    rows = d.tracks.select(
+STITCH = {"max_gap_s": STITCH_GAP, "max_distance": 0.6, "min_cosine": -0.2, "min_cosine_vehicle": -0.1}
+
+
+def stitch_rows(d):
+    return d.tracks.select(
         F.col("camera").alias("video"), "grp", "id", micros(F.col("t_start")).alias("start_us"), micros(F.col("t_end")).alias("end_us"), "emb",
         ((F.col("bx1") + F.col("bx2")) / 2.0).alias("fx"), ((F.col("by1") + F.col("by2")) / 2.0).alias("fy"),
     ).withColumn("lx", F.col("fx")).withColumn("ly", F.col("fy"))
-    return T.stitch_pairs(rows, max_gap_s=STITCH_GAP, max_distance=0.6, min_cosine=-0.2, min_cosine_vehicle=-0.1)
 
 
 @query("j05_stitch_pairs", f"SELECT * FROM {STITCH_PAIRS}")
 def _(d):
-    return stitch_pairs(d).drop("center_dist")
+    return T.stitch_pairs(stitch_rows(d), **STITCH).drop("center_dist")
 
 
 MATCHED = greedy_sql(f"SELECT * FROM {STITCH_PAIRS}", "video, grp", "cosine_sim DESC, base_id, cand_id", "k.base_id = o.base_id OR k.cand_id = o.cand_id",
@@ -401,7 +403,7 @@ MATCHED = greedy_sql(f"SELECT * FROM {STITCH_PAIRS}", "video, grp", "cosine_sim
 
 @query("d04_one_to_one_matching", MATCHED + " SELECT base_id, cand_id FROM matched")
 def _(d):
-    return T.stitch_matches(stitch_pairs(d)).select("base_id", "cand_id")
+    return T.stitch(stitch_rows(d), **STITCH).select("base_id", "cand_id")
 
 
 ROOTS = MATCHED + """, chain AS (SELECT base_id AS root, cand_id AS id FROM matched WHERE base_id NOT IN (SELECT cand_id FROM matched)
@@ -410,7 +412,7 @@ ROOTS = MATCHED + """, chain AS (SELECT base_id AS root, cand_id AS id FROM matc
 
 @query("d05_chain_roots", ROOTS + " SELECT id, root FROM chain")
 def _(d):
-    return T.chain_roots(T.stitch_matches(stitch_pairs(d)))
+    return T.chain_roots(T.stitch(stitch_rows(d), **STITCH))
 
 
 @query(
@@ -424,7 +426,7 @@ def _(d):
     ids = d.tracks.select("track_id", "id", F.col("camera").alias("cam"))
     own = F.coalesce("id", F.concat(F.lit("open-"), "track_id"))
     obs = d.observations.join(ids, "track_id", "left").withColumn("track_id", own).withColumn("camera", F.coalesce("cam", "camera")).withColumn("video", F.lit("all"))
-    merged = T.merge_chains(obs.drop("id", "cam"), T.stitch_matches(stitch_pairs(d)))
+    merged = T.merge_chains(obs.drop("id", "cam"), T.stitch(stitch_rows(d), **STITCH))
     return merged.select("camera", "track_id", "hits", F.round("mean_conf", 9).alias("mean_conf"), "offset_end")
 
 

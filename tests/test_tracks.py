@@ -100,3 +100,34 @@ def test_detections_to_tracks(spark):
     assert {r.rid for r in fused.collect()} == {f"p{f}" for f in range(10)}
     built = ingest.build(fused.withColumn("ts", F.lit("2026-01-01").cast("timestamp_ntz"))).collect()
     assert len(built) == 1 and (built[0].hits, built[0].label, built[0].grp) == (10, "car", "vehicle")
+
+
+@pytest.mark.parametrize("limits", [{}, {"cell_pairs": 1}, {"cell_pairs": 1, "most_pairs": 20}, {"cell_rows": 30}])
+def test_stitching_without_pairs(spark, limits):
+    """Matches of many tracks in a gap, with copies whose cosines tie, for cells of all sizes and for what they leave open."""
+    rnd = random.Random(4)
+    us, rows = 1_000_000, []
+    for i in range(400):
+        start, v = rnd.randrange(16_000) * us // 400, rnd.choice([[1.0, 0.0], [0.8, 0.6], [0.6, 0.8], None])
+        rows.append((rnd.choice(["v", None] if i % 40 == 0 else ["v"]), rnd.choice(["person", "vehicle"]), f"t{i}", start, start + rnd.randrange(3) * us, v, rnd.randrange(4) / 10))
+    df = spark.createDataFrame(rows, "video string, grp string, id string, start_us long, end_us long, emb array<float>, fx double")
+    df = df.select("*", F.col("fx").alias("lx"), *[F.lit(0.5).alias(c) for c in ("fy", "ly")])
+    made = []
+    for a in rows:
+        for b in rows:
+            if a[0] is None or a[:2] != b[:2] or a[5] is None or b[5] is None or (b[3], b[2]) <= (a[3], a[2]) or not 0 <= b[3] - a[4] <= 2 * us or abs(a[6] - b[6]) > 0.25:
+                continue
+            s = sum(x * y for x, y in zip(a[5], b[5]))
+            if round(s, 4) >= (0.88 if a[1] == "vehicle" else 0.8):
+                made.append((-round(s, 4), a[2], b[2]))
+    # Products of these vectors lie far from both thresholds but for 0.8, which single precision carries above it.
+    assert {(r.base_id, r.cand_id) for r in T.stitch_pairs(df).collect()} == {m[1:] for m in made} and len(made) > 800
+    assert {(r.base_id, r.cand_id) for r in T.stitch_pairs(df, bucket_rows=16).collect()} == {m[1:] for m in made}
+    left, right, want = set(), set(), set()
+    for s, a, b in sorted(made):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            want.add((a, b))
+    got = [(r.base_id, r.cand_id) for r in T.stitch(df, **limits).collect()]
+    assert set(got) == want and len(got) == len(want)
