@@ -293,3 +293,28 @@ def test_narrative_rounds_the_binary_value_half_to_even(spark):
     line = reid.narrative(rows).first()["trajectory"]
     assert [p.split(")")[0] for p in line.split("(sim: ")[1:]] == list(shown.values())
     assert list(shown.values()) == [f"{s:.2f}" for s in shown]
+
+
+@pytest.mark.parametrize("length", [1.0, 3.0])
+def test_candidates_are_counted_without_being_formed(spark, length, monkeypatch):
+    """Set sizes under all filters and the fallback rule, also where long vectors put scores below the minimum; the sets themselves stay unformed."""
+    rnd = random.Random(8)
+    vector = lambda: [length * rnd.choice([-1.0, 1.0]) * x for x in rnd.choice([(1.0, 0.0), (0.6, 0.8)])]
+    at = datetime(2024, 1, 1)
+    tracks = spark.createDataFrame(
+        [(f"t{i}", f"cam_{i % 3}", at + timedelta(minutes=i), at + timedelta(minutes=i + 5), at, 0.0, rnd.choice(["car", "dog"]), 0.1, 0.1, rnd.choice([0.3, 0.9]), 0.3,
+          rnd.choice(["{}", '{"vehicle":[{"color":"red","fraction":0.7}]}']), vector()) for i in range(120)],
+        "id string, camera string, t_start timestamp_ntz, t_end timestamp_ntz, t_best timestamp_ntz, offset_best double, label string, bx1 double, by1 double, bx2 double, by2 double, colors string, emb array<float>")
+    frames = spark.createDataFrame([(f"f{i}", f"cam_{i % 3}", at + timedelta(minutes=i), 0.0, vector()) for i in range(90)],
+                                   "id string, camera string, t_abs timestamp_ntz, offset_s double, emb array<float>")
+    us = lambda m: int((at + timedelta(minutes=m) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    shape = [(0.0, 0.0), (0.35, 0.0), (0.35, 0.35), (0.0, 0.35)]
+    asked = [(i, vector(), rnd.choice([None, "1", "7"]), *rnd.choice([(None, None), (us(10), us(40))]), rnd.choice([None, ["car"], ["bird"]]),
+              shape if i % 4 == 0 else None, rnd.choice([[], ["red"]])) for i in range(30)]
+    q = spark.createDataFrame(asked, "query_id long, q_emb array<float>, camera_key string, start_us long, end_us long, labels array<string>, "
+                                     "polygon array<struct<x:double,y:double>>, colours array<string>")
+    formed = search.all_candidates(q, tracks, frames).groupBy("result_type", "query_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    want = {(r.result_type, r.query_id, r.n) for r in formed}
+    monkeypatch.setattr(scoring, "score", None)
+    assert {(r.result_type, r.query_id, r.n) for r in search.candidate_counts(q, tracks, frames).collect()} == want
+    assert {w[0] for w in want} == {"track", "frame"} and len({w[1] for w in want}) > 15
