@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from camtrail.functions import vectors
@@ -11,6 +12,7 @@ from camtrail.operators.scoring import matrix, round4, unit_rows
 from camtrail.scale import broadcast_if_small, cut_lineage, floor_div, micros, seconds
 
 CHUNK_ROWS = 8_000
+LOOK_ROWS = 2_000
 
 
 def matches_of(
@@ -168,6 +170,98 @@ def similar_pairs(
     return sent.groupBy("b", "c", "b2", "c2").applyInArrow(kernel, schema)
 
 
+def _first_kernel(min_similarity: float, gap_us: int, k: int, out: pa.Schema):
+    """First ``k`` matches of the sources (side 0) among candidates (side 1) that reach from the start of each source's window to ``_until``."""
+
+    def solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        side = table["_side"].to_numpy()
+        left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        left, right = left.sort_by("_us"), right.sort_by("_us")
+        lt, rt = left["_us"].to_numpy(), right["_us"].to_numpy()
+        until = left["_until"].to_numpy()
+        lv, rv = unit_rows(matrix(left["emb"])), unit_rows(matrix(right["emb"]))
+        cams = pa.chunked_array([*left["camera"].chunks, *right["camera"].chunks], type=pa.string())
+        code = cams.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        lc, rc = code[: len(lt)], code[len(lt):]
+        found = []
+        for at in range(0, len(lt), 256):
+            s = slice(at, at + 256)
+            a, b = np.searchsorted(rt, lt[s][0] - gap_us, side="left"), np.searchsorted(rt, until[s][-1], side="right")
+            count, step = np.zeros(len(lt[s]), np.int64), 128
+            while a < b:
+                # Rows of one instant stay together: the best of them in similarity come first.
+                e = min(np.searchsorted(rt, rt[min(a + step, b) - 1], side="right"), b)
+                open_ = np.flatnonzero(count < k)
+                if not len(open_):
+                    break
+                sim = lv[s][open_] @ rv[a:e].T
+                ok = (sim >= min_similarity) & (lc[s][open_, None] != rc[None, a:e])
+                ok &= (rt[None, a:e] >= lt[s][open_, None] - gap_us) & (rt[None, a:e] <= until[s][open_, None])
+                i, j = np.nonzero(ok)
+                np.add.at(count, open_[i], 1)
+                found.append((open_[i] + at, j + a, sim[i, j]))
+                a, step = e, min(2 * step, 4096)
+        i, j = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in (0, 1))
+        sim = round4(np.concatenate([f[2] for f in found])) if found else np.zeros(0)
+        lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
+        src, dst, su, du = lid[i], rid[j], lt[i], rt[j]
+        names = right["id"].combine_chunks()
+        place = np.empty(len(names), np.int64)
+        place[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        order = np.lexsort((place[j], -sim, du, i))
+        i, src, dst, su, du, sim = i[order], src[order], dst[order], su[order], du[order], sim[order]
+        start = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+        keep = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) < k
+        return pa.Table.from_arrays([pa.array(v[keep]).cast(f.type) for v, f in zip((src, dst, su, du, sim), out)], schema=out)
+
+    return solve
+
+
+def first_pairs(tracks: DataFrame, min_similarity: float, max_gap_s: float, k: int, chunk_rows: int = CHUNK_ROWS, look: int = LOOK_ROWS) -> DataFrame:
+    """``similar_pairs`` by time, at most the first ``k`` of a source, where a gap holds far more tracks than it takes to find them.
+
+    The first matches lie at the start of a source's window, so a source is shown a slice there that holds about ``look`` tracks, however many the window holds.
+    What has fewer than ``k`` matches in its slice is shown a slice of twice the length, up to the whole window.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    gap_us = int(round(max_gap_s * 1_000_000))
+    rows = tracks.filter(F.col("emb").isNotNull() & F.col("t_start").isNotNull()).select("id", "camera", micros(F.col("t_start")).alias("_us"), "emb")
+    cells = rows.groupBy(floor_div(F.col("_us"), gap_us + 1)).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    crowd = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    span = int(gap_us * look / crowd) if crowd else 2 * gap_us
+    if 4 * span >= 2 * gap_us:
+        return similar_pairs(tracks, min_similarity, max_gap_s, k, "time", chunk_rows)
+    kind = tracks.schema["id"].dataType
+    schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind), T.StructField("src_us", T.LongType()), T.StructField("dst_us", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    solve = _first_kernel(min_similarity, gap_us, k, to_arrow_schema(schema))
+    open_, out = rows, None
+    while True:
+        span = min(span, 2 * gap_us)
+        last = span == 2 * gap_us
+        width = span + 1  # a slice touches the cell of its start and the next one
+        begin = F.col("_us") - F.lit(gap_us)
+        first = floor_div(begin, width)
+        home = floor_div(F.col("_us"), width)
+        near = rows.select(F.explode(F.array(home - 1, home)).alias("_cell")).groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_cuts"))
+        parts = open_.groupBy(first.alias("_cell")).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_parts"))
+        known = broadcast_if_small(cut_lineage(parts.join(near, "_cell")))
+        asked = open_.withColumn("_cell", first).join(known, "_cell").withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+        asked = asked.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).select("_cell", "_part", "_cut", F.lit(0).alias("_side"), "id", "camera", "_us", (begin + span).alias("_until"), "emb")
+        shown = rows.withColumn("_cell", F.explode(F.array(home - 1, home))).join(known, "_cell").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        shown = shown.withColumn("_cut", F.pmod(F.xxhash64("id"), F.col("_cuts")).cast("int")).select("_cell", "_part", "_cut", F.lit(1).alias("_side"), "id", "camera", "_us", F.lit(0).cast("long").alias("_until"), "emb")
+        found = cut_lineage(asked.unionByName(shown).groupBy("_cell", "_part", "_cut").applyInArrow(solve, schema))
+        if last:
+            return found if out is None else out.unionByName(found)
+        full = found.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).select(F.col("src").alias("id"))
+        now = found.join(full.withColumnRenamed("id", "src"), "src", "left_semi")
+        out = now if out is None else out.unionByName(now)
+        open_ = cut_lineage(open_.join(full, "id", "left_anti"))
+        if open_.isEmpty():
+            return out
+        span *= 2
+
+
 def associations(
     tracks: DataFrame, min_similarity: float = 0.65, max_gap_s: float = 7200.0, k: int = 3, by: str = "time",
     chunk_rows: int = CHUNK_ROWS,
@@ -177,7 +271,10 @@ def associations(
     ``by="time"`` takes a track's first k matches in time order, "similarity"
     its best k. A pair found from both ends is reported from the earlier track.
     """
-    pairs = similar_pairs(tracks, min_similarity, max_gap_s, k, by, chunk_rows)
+    if by == "time":
+        pairs = first_pairs(tracks, min_similarity, max_gap_s, k, chunk_rows)
+    else:
+        pairs = similar_pairs(tracks, min_similarity, max_gap_s, k, by, chunk_rows)
     if by == "time":
         order = [F.col("dst_us"), F.desc("similarity"), F.col("dst")]
     else:

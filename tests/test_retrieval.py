@@ -168,6 +168,21 @@ def test_associations(spark, chunk_rows, by):
     assert got == best
 
 
+@pytest.mark.parametrize("chunk_rows", [2000, 9])
+@pytest.mark.parametrize("look", [3, 12])
+def test_first_matches_are_found_in_a_slice(spark, look, chunk_rows, monkeypatch):
+    """Slices of the window, doubled for those that need more, give the first matches that the whole window gives."""
+    tracks = spark.createDataFrame(make_tracks(250, 6, 0.2), TRACKS)
+    order = W.partitionBy("src").orderBy("dst_us", F.desc("similarity"), "dst")
+
+    def first(pairs):
+        return {tuple(r) for r in pairs.withColumn("_n", F.row_number().over(order)).filter("_n <= 3").drop("_n").collect()}
+
+    want = first(reid.similar_pairs(tracks, 0.4, 600, 3))
+    monkeypatch.setattr(reid, "similar_pairs", None)
+    assert first(reid.first_pairs(tracks, 0.4, 600, 3, chunk_rows, look)) == want and len(want) > 500
+
+
 def test_matches_of_unknown_track(spark):
     with pytest.raises(ValueError):
         reid.matches_of(spark.createDataFrame(make_tracks(3, 6), TRACKS), "nope")
