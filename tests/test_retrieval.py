@@ -107,6 +107,26 @@ def test_small_query_blocks_give_the_same(spark):
     assert key(every) == key(whole)
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_questions_with_a_window_read_their_span_alone(spark, block):
+    tracks = spark.createDataFrame(make_tracks(300, 31), TRACKS)
+    times = search.track_rows(tracks).agg(F.min("start_us"), F.max("end_us")).first()
+    gen = np.random.default_rng(6)
+    rows = [(i, gen.normal(size=8).tolist(), [None, "0", "1"][i % 3], times[0] if i % 2 else None, (times[0] + times[1]) // 2 if i % 2 else None) for i in range(18)]
+    q = spark.createDataFrame(rows, "query_id long, q_emb array<float>, camera_key string, start_us long, end_us long")
+    asked, scan = [], search._track_scan(tracks)
+
+    def noted(reach):
+        asked.append(reach)
+        return scan(reach)
+
+    names = ["result_id", "camera", "ts_us"]
+    found = scoring.score(noted, q, names, 300, block=block, chunk_bytes=4_000, cell_rows=200)
+    key = lambda df: sorted((r.query_id, r.result_id, r.score) for r in df.collect())
+    assert key(found) == key(scoring.score(search.track_rows(tracks), q, names, 300))
+    assert [b.timed for b in asked if b is not None] == [True, False]
+
+
 @pytest.mark.parametrize("block", [5, 4096])
 @pytest.mark.parametrize("distinct", [False, True])
 def test_floors_of_the_first_chunks_lose_nothing(spark, block, distinct):
