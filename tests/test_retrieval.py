@@ -107,6 +107,25 @@ def test_small_query_blocks_give_the_same(spark):
     assert key(every) == key(whole)
 
 
+def test_kept_rows_block_alike_on_pairs_and_on_the_grid():
+    gen, n = np.random.default_rng(1), 50
+    at = [None if i % 5 == 0 else int(gen.integers(0, 100)) for i in range(n)]
+    rows = pa.RecordBatch.from_pydict({
+        "result_id": [f"r{i}" for i in range(n)], "camera": pa.array([None if i % 7 == 0 else f"c{i % 3}" for i in range(n)], pa.string()), "ts_us": pa.array(at, pa.int64()),
+    })
+    one = lambda camera, ts, id: {"camera": camera, "ts_us": ts, "span": 15, "id": id}
+    kept = [[], None, [one("c1", 30, "x"), one(None, 50, "y")], [one("c0", None, "r5"), one("none", 3, "r9")]]
+    block = scoring.QueryBlock.read(pa.table({"query_id": range(4), "q_emb": [[0.0]] * 4, "kept": kept}))
+    tests = scoring._Tests(rows, block)
+    grid = tests.passed(np.arange(n)[:, None], np.arange(4)[None, :], np.ones((n, 4), bool))
+    i, j = np.divmod(np.arange(4 * n), 4)
+    assert (tests.passed(i, j, np.ones(4 * n, bool)).reshape(n, 4) == grid).all()
+    for r, row in enumerate(rows.to_pylist()):
+        for c, ks in enumerate(kept):
+            hit = [row["result_id"] == k["id"] if k["ts_us"] is None else row["camera"] == k["camera"] and row["ts_us"] is not None and abs(row["ts_us"] - k["ts_us"]) <= 15 for k in ks or []]
+            assert grid[r, c] == (not any(hit))
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_questions_with_a_window_read_their_span_alone(spark, block):
     tracks = spark.createDataFrame(make_tracks(300, 31), TRACKS)
