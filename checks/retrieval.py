@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from camtrail.functions import text, vectors, vocabulary as V
 from camtrail.operators import alerts, assets, evaluation, greedy, places, providers, reid, scoring, search
 from camtrail.plans import ask as ask_plan
-from camtrail.scale import micros
+from camtrail.scale import cut_lineage, micros
 from camtrail.sources import keyed, video_files, zones
 from checks.expressions import BOOST, CLASSES_SQL, LABELS, PARSED, TRACKS_COLS, class_vectors, dot, norm, polygon_test
 from checks.registry import query, stored
@@ -465,8 +465,8 @@ def _(d):
 def _(d):
     """Questions with an unknown place ask back; once the alias is saved the same questions resolve."""
     cams = places.known_cameras(d.videos, d.tracks)
-    parsed = places.parse(d.questions)
-    asked = places.clarify(places.resolve(parsed, cams, d.aliases), cams)
+    parsed = cut_lineage(places.parse(d.questions))  # read twice
+    asked = cut_lineage(places.clarify(places.resolve(parsed, cams, d.aliases), cams))
     yard = new_aliases(d).filter(F.col("camera") == "cam_4").filter(F.col("name").contains("Yard"))
     known = places.save_aliases(d.aliases, yard, F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
     pending = parsed.join(asked.select("query_id"), "query_id", "left_semi")
