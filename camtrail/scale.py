@@ -168,11 +168,12 @@ def next_at_or_after(probes: DataFrame, marks: DataFrame, key: Sequence[str], at
     both = both.groupBy(*keys, "_at").agg(F.max("_mark").alias("_mark"), F.max("_asked").alias("_asked"))
     parts = both.repartitionByRange(*[F.col(c) for c in [*keys, "_at"]])
     parts = cut_lineage(parts.withColumn("_range", F.spark_partition_id()))
-    later = W.partitionBy(*keys).orderBy("_range").rowsBetween(1, W.unboundedFollowing)
+    # Both windows run backwards in time: a frame that ends at the last row is worked out anew for every row, one that begins at the first is carried on.
+    later = W.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     heads = parts.groupBy(*keys, "_range").agg(F.min("_mark").alias("_head"))
-    heads = heads.select(*keys, "_range", F.first("_head", ignorenulls=True).over(later).alias("_carry"))
-    inside = W.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(0, W.unboundedFollowing)
-    found = parts.withColumn("_inside", F.first("_mark", ignorenulls=True).over(inside)).filter("_asked")
+    heads = heads.select(*keys, "_range", F.last("_head", ignorenulls=True).over(later).alias("_carry"))
+    inside = W.partitionBy(*keys, "_range").orderBy(F.desc("_at")).rowsBetween(W.unboundedPreceding, 0)
+    found = parts.withColumn("_inside", F.last("_mark", ignorenulls=True).over(inside)).filter("_asked")
     return join_same(found, heads, [*keys, "_range"]).select(*keys, F.col("_at").alias(at), F.coalesce("_inside", "_carry").alias(out))
 
 

@@ -56,3 +56,16 @@ def test_vector_expressions_work_out_lengths_and_products_once(spark):
     text = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert text(unit).count("aggregate(") <= 1
     assert text(rows.select(vectors.nearest_class(F.col("v"), F.expr(nearest)).alias("b"))).count("aggregate(") <= 1
+
+
+def test_next_at_or_after_carries_one_value_on(spark):
+    """A frame that ends at the last row is scanned anew for every row, so its cost is the square of a range's rows."""
+    from camtrail.scale import next_at_or_after
+
+    rnd = random.Random(5)
+    marks = sorted({(rnd.choice("aab"), rnd.randrange(4000)) for _ in range(400)})
+    probes = sorted({(rnd.choice("abc"), rnd.randrange(4100)) for _ in range(400)})
+    found = next_at_or_after(spark.createDataFrame(probes, "k string, t long"), spark.createDataFrame(marks, "k string, m long"), ["k"], "t", "m", "n")
+    want = {(k, t, min((m for j, m in marks if j == k and m >= t), default=None)) for k, t in probes}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "unboundedfollowing" not in found._jdf.queryExecution().analyzed().toString().lower()
