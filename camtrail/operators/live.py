@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from camtrail.scale import (
@@ -155,32 +155,61 @@ class BoxLinker:
     """Live boxes of one camera: gives each new box the id of the live box it overlaps most."""
 
     def __init__(self, threshold: float, expiry_us: int, live: list[tuple] = (), counter: int = 0):
-        self.threshold, self.expiry, self.live, self.counter = threshold, expiry_us, list(live), counter
+        self.threshold, self.expiry, self.counter = threshold, expiry_us, counter
+        # A column per live box: its id and time; its corners (x1, y1, x2, y2) and area.
+        self.told = np.array([b[:2] for b in live], np.int64).reshape(-1, 2).T
+        self.seen = self._measured(np.array([b[2:] for b in live], dtype=float))
+
+    @staticmethod
+    def _measured(boxes: np.ndarray) -> np.ndarray:
+        out = np.empty((5, len(boxes)))
+        out[:4] = boxes.reshape(-1, 4).T
+        out[4] = (out[2] - out[0]) * (out[3] - out[1])
+        return out
+
+    @property
+    def live(self) -> list[tuple]:
+        return [(*told, *box) for told, box in zip(self.told.T.tolist(), self.seen[:4].T.tolist())]
 
     def frame(self, at: int, boxes: np.ndarray) -> list[int]:
-        """Ids for the boxes of one frame. An id is given at most once per frame."""
-        self.live = [b for b in self.live if at - b[1] <= self.expiry]
-        old = np.array([b[2:] for b in self.live], dtype=float).reshape(-1, 4)
-        free = np.ones(len(old), dtype=bool)
-        ids = []
-        for box in boxes:
-            pick = None
-            if len(old):
-                w = np.minimum(old[:, 2], box[2]) - np.maximum(old[:, 0], box[0])
-                h = np.minimum(old[:, 3], box[3]) - np.maximum(old[:, 1], box[1])
-                inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-                union = (old[:, 2] - old[:, 0]) * (old[:, 3] - old[:, 1]) + (box[2] - box[0]) * (box[3] - box[1]) - inter
-                iou = np.where(free & (union > 0), inter / np.where(union > 0, union, 1), 0)
-                best = int(np.argmax(iou))
-                if iou[best] > self.threshold:
-                    pick, free[best] = best, False
-            if pick is None:
+        """Ids for the boxes of one frame. An id is given at most once per frame. Overlaps with all live boxes are worked out at once."""
+        old, told = self.seen, self.told
+        if len(told[1]):
+            kept = told[1] >= at - self.expiry
+            if not kept.all():
+                old, told = old[:, kept], told[:, kept]
+        n = len(boxes)
+        new = self._measured(np.asarray(boxes, dtype=float))
+        ids, hit, taken = [0] * n, [], []
+        if n and old.shape[1]:
+            side = np.minimum(old[2:4, None, :], new[2:4, :, None]) - np.maximum(old[:2, None, :], new[:2, :, None])
+            np.maximum(side, 0, out=side)
+            iou = side[0] * side[1]
+            union = old[4] + new[4][:, None] - iou
+            some = union > 0
+            iou = iou / union if some.all() else np.where(some, iou / np.where(some, union, 1), 0)
+            best = iou.argmax(axis=1).tolist()
+            for i, (pick, most) in enumerate(zip(best, iou.max(axis=1).tolist())):
+                if most > self.threshold and pick in taken:  # the best one is gone: look among those still free
+                    free = iou[i].copy()
+                    free[taken] = 0
+                    pick = int(free.argmax())
+                    most = free[pick]
+                if most > self.threshold:
+                    hit.append(i)
+                    taken.append(pick)
+            if hit:
+                for i, no in zip(hit, told[0, taken].tolist()):
+                    ids[i] = no
+                told[1, taken], old[:, taken] = at, new[:, hit]
+        fresh = [i for i in range(n) if not ids[i]]
+        if fresh:
+            for i in fresh:
                 self.counter += 1
-                ids.append(self.counter)
-                self.live.append((self.counter, at, *map(float, box)))
-            else:
-                ids.append(self.live[pick][0])
-                self.live[pick] = (ids[-1], at, *map(float, box))
+                ids[i] = self.counter
+            told = np.concatenate([told, [[ids[i] for i in fresh], [at] * len(fresh)]], axis=1)
+            old = np.concatenate([old, new[:, fresh]], axis=1)
+        self.seen, self.told = old, told
         return ids
 
 
@@ -205,27 +234,41 @@ def link_boxes(boxes: DataFrame, threshold: float = 0.25, expiry_s: float = 5.0,
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", track_no bigint"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linker, current, held = None, None, None
-        for pdf in batches:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
             if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
+                table = pa.concat_tables([held, table]).combine_chunks()
             # The last frame may go on in the next batch.
-            last = (pdf[names[:4]] == pdf[names[:4]].iloc[-1]).all(axis=1)
-            held, whole = pdf[last], pdf[~last]
-            if len(whole):
-                linker, current, done = _link(whole, linker, current, names, threshold, expiry)
-                yield done
+            starts = _starts(table, names[:4])
+            held = table.slice(starts[-1])
+            if starts[-1]:
+                linker, current, done = _link(table.slice(0, starts[-1]), starts[:-1], linker, current, names, threshold, expiry)
+                yield from done.to_batches()
         if held is not None:
-            yield _link(held, linker, current, names, threshold, expiry)[2]
+            yield from _link(held, np.zeros(1, int), linker, current, names, threshold, expiry)[2].to_batches()
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def _link(pdf: pd.DataFrame, linker, current, names: list[str], threshold: float, expiry: int):
-    out = []
-    for key, frame in pdf.groupby(names[:4], sort=False):
-        if key[:3] != current:
-            linker, current = BoxLinker(threshold, expiry), key[:3]
-        out.extend(linker.frame(int(key[3]), frame[["x1", "y1", "x2", "y2"]].to_numpy()))
-    return linker, current, pdf[names].assign(track_no=out)
+def _starts(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Places at which one of the columns changes; nulls are a value like any other."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in names:
+        codes = table[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _link(table: pa.Table, starts: np.ndarray, linker, current, names: list[str], threshold: float, expiry: int):
+    out, boxes = [], np.stack([table[c].to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+    heads = table.select(names[:4]).take(starts).to_pydict()
+    for *key, us, at, end in zip(*heads.values(), starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+        if key != current:
+            linker, current = BoxLinker(threshold, expiry), key
+        out.extend(linker.frame(us, boxes[at:end]))
+    return linker, current, table.select(names).append_column("track_no", pa.array(out, pa.int64()))

@@ -56,6 +56,13 @@ def test_link_boxes(spark, batch):
     assert got == plain_link(rows)
 
 
+def test_boxes_without_a_camera_are_linked(spark):
+    rows = boxes(2, 20)
+    got = live.link_boxes(spark.createDataFrame([(None, *r[1:]) for r in rows], KIND)).collect()
+    assert {(r.video, r.rid): (r.stretch, r.track_no) for r in got} == plain_link(rows)
+    assert {r.camera for r in got} == {None}
+
+
 def test_an_id_is_given_once_per_frame():
     linker = BoxLinker(0.25, 1_000_000)
     assert linker.frame(0, [(0, 0, 1, 1)]) == [1]
