@@ -91,3 +91,23 @@ def test_rates_equal_batch(spark, tmp_path, window):
     key = lambda df: sorted((r.camera, r.us, r.n, r.fps) for r in df.collect())
     assert key(out) == key(want)
     assert left <= 3
+
+
+def test_waiting_frames_are_cells_and_waiting_boxes_are_blocks(spark, tmp_path):
+    """The state of a key grows with its open cells or blocks, not row by row."""
+    waiting = frames(spark, "a", [0.01 * i for i in range(400)])
+    src = stream(spark, [waiting], FRAMES, str(tmp_path / "frames"))
+    out, left = drive(ordered.silences(src, 4.0), str(tmp_path / "silent"))
+    assert out.count() == 0 and left <= 2
+    rows = [("cam", "v", 10**9 + i, f"{i:03d}", 0.0, 0.0, 1.0, 1.0) for i in range(400)]
+    src = stream(spark, [rows], KIND, str(tmp_path / "boxes"))
+    out, left = drive(ordered.link_boxes(src), str(tmp_path / "linked"))
+    assert out.count() == 0 and left <= 3
+
+
+def test_rates_of_one_camera_are_chunks(spark, tmp_path):
+    rows = [("cam", i, T0 + timedelta(milliseconds=70 * i)) for i in range(200)]
+    src = stream(spark, [*shuffled(rows, lambda r: us(r[2]), 2), frames(spark, "end", [1000])], FRAMES, str(tmp_path / "src"))
+    out, _ = drive(ordered.frame_rates(src, 1.0, chunk_windows=2), str(tmp_path / "run"))
+    want = live.trailing_fps(spark.createDataFrame(rows, FRAMES), 1.0)
+    assert sorted((r.us, r.n, r.fps) for r in out.collect()) == sorted((r.us, r.n, r.fps) for r in want.collect())
