@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,16 +94,53 @@ def test_rates_equal_batch(spark, tmp_path, window):
     assert left <= 3
 
 
-def test_waiting_frames_are_cells_and_waiting_boxes_are_blocks(spark, tmp_path):
+class Store:
+    """A key's state in memory: what it holds, and timers that never fire."""
+
+    def __init__(self):
+        self.held = {}
+
+    def getListState(self, name, kind):
+        return Kept(self.held, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+class Kept:
+    def __init__(self, held, name):
+        self.held, self.name = held, name
+
+    def exists(self):
+        return self.name in self.held
+
+    def get(self):
+        return self.held.get(self.name, [])
+
+    def put(self, rows):
+        self.held[self.name] = list(rows)
+
+    def update(self, row):
+        self.held[self.name] = [row]
+
+    def clear(self):
+        self.held.pop(self.name, None)
+
+
+@pytest.mark.parametrize("kind", ["silence", "link"])
+def test_waiting_rows_are_cells_or_blocks(kind):
     """The state of a key grows with its open cells or blocks, not row by row."""
-    waiting = frames(spark, "a", [0.01 * i for i in range(400)])
-    src = stream(spark, [waiting], FRAMES, str(tmp_path / "frames"))
-    out, left = drive(ordered.silences(src, 4.0), str(tmp_path / "silent"))
-    assert out.count() == 0 and left <= 2
-    rows = [("cam", "v", 10**9 + i, f"{i:03d}", 0.0, 0.0, 1.0, 1.0) for i in range(400)]
-    src = stream(spark, [rows], KIND, str(tmp_path / "boxes"))
-    out, left = drive(ordered.link_boxes(src), str(tmp_path / "linked"))
-    assert out.count() == 0 and left <= 3
+    us = [10**9 + i for i in range(400)]
+    rows = pd.DataFrame({"us": us, "frame_no": us, "rid": [str(u) for u in us], "x1": 0.0, "y1": 0.0, "x2": 1.0, "y2": 1.0})
+    processor, store = ordered._Silence(4_000_000, 10) if kind == "silence" else ordered._Link(0.25, 5_000_000), Store()
+    processor.init(store)
+    assert not list(processor.handleInputRows(("cam", "v"), iter([rows]), store))
+    assert 1 <= sum(len(v) for v in store.held.values()) <= 2
 
 
 def test_rates_of_one_camera_are_chunks(spark, tmp_path):
