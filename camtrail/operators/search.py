@@ -140,6 +140,27 @@ def _candidates(queries: DataFrame, tracks: DataFrame, frames: DataFrame | None,
     return _rank(rows, m)
 
 
+def _many_plain(queries: DataFrame, *tables: Source | None) -> bool:
+    """More questions than one scan takes, and nothing but their vectors tells them apart."""
+    plain = set(queries.columns) <= {"query_id", "q_emb", "minimum"} and not any(callable(t) for t in tables)
+    return plain and not small(queries, scoring.QUERY_BLOCK)
+
+
+def _by_vectors(queries: DataFrame, rows: DataFrame, m: int, threshold: float | None, distinct: bool) -> DataFrame:
+    """Best ``m`` rows per question without filters: each different vector is scored once, with its rows behind it.
+
+    A vector that is not among the best ``m`` by score and first row has ``m`` better rows of other vectors before its own, so its rows cannot be among the best either.
+    """
+    groups = scoring.gather(rows, RESULT, m, distinct).withColumn("_vec", F.monotonically_increasing_id())
+    groups = cut_lineage(groups)  # numbers stay
+    first = F.get("rows", F.lit(0))
+    lead = F.concat(F.when(first["result_type"] == "track", "0").otherwise("1"), first["result_id"])
+    found = scoring.score(groups.select("_vec", lead.alias("result_id"), "emb"), queries, ["_vec", "result_id"], m, threshold)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "result_id")
+    found = found.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= m).select("query_id", "score", "_vec")
+    return _rank(found.join(groups.select("_vec", "rows"), "_vec").select("query_id", "score", F.inline("rows")), m)
+
+
 def top_k(
     queries: DataFrame,
     tracks: Source,
@@ -162,7 +183,16 @@ def top_k(
     ran out are scored again with what they kept blocked. Each pass adds at
     least one result, so there are at most k passes and nothing is ever cut
     that could have ranked. ``tracks`` and ``frames`` may be zoned tables; then only files that can hold an answer are read.
+    Many questions without filters meet each different vector once (``scoring.gather``).
     """
+    rows = None
+    if _many_plain(queries, tracks, frames):
+        queries = cut_lineage(queries)
+        rows = track_rows(tracks).select(*RESULT, "emb")
+        if frames is not None:
+            rows = rows.unionByName(frame_rows(frames).select(*RESULT, "emb"))
+        if dedup_s is None:
+            return _by_vectors(queries, rows, k, threshold, False)
     for name, kind in (("polygon", "array<struct<x:double,y:double>>"), ("labels", "array<string>")):
         if name not in queries.columns:
             queries = queries.withColumn(name, F.lit(None).cast(kind))
@@ -174,7 +204,10 @@ def top_k(
     longest = max(128, 8 * k)
     prefix = longest if small(pending, scoring.QUERY_BLOCK) else max(16, 3 * k)
     while True:
-        rows = _candidates(pending, tracks, frames, prefix, threshold, True, gated)
+        if rows is not None and done is None:
+            rows = _by_vectors(queries, rows, prefix, threshold, True)
+        else:
+            rows = _candidates(pending, tracks, frames, prefix, threshold, True, gated)
         packed = F.struct("rank", "score", *RESULT)
         groups = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(packed)).alias("rows"))
         groups = groups.join(pending.select("query_id", _kept(pending).alias("before")), "query_id")
@@ -253,6 +286,8 @@ def _kept(queries: DataFrame) -> Column:
 
 def frame_baseline(queries: DataFrame, frames: DataFrame, k: int = 5) -> DataFrame:
     """Whole-frame baseline: frames only, no de-duplication."""
+    if _many_plain(queries, frames):
+        return _by_vectors(cut_lineage(queries), frame_rows(frames).select(*RESULT, "emb"), k, None, False)
     return _rank(scoring.score(_frame_scan(frames), queries.drop("labels", "polygon", "colours"), RESULT, k), k)
 
 
