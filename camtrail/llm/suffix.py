@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from camtrail.scale import broadcast_if_small, cut_lineage
+from camtrail.scale import broadcast_if_small, cut_lineage, small
 
 LENGTH = 100
 # Bytes of an anchor. A window of LENGTH bytes is filed under the anchor with the smallest hash of the LENGTH - ANCHOR + 1 inside it.
@@ -24,6 +24,8 @@ CROWDED = MERGE_BYTES // 128
 # Crowded anchors are known before the buckets are made from strips of text, of which about this many have a crowded anchor.
 STRIP = 1 << 16
 STRIPS = 64
+# Tables of up to this many numbers are sent to the texts; longer ones make the texts move.
+KEY_ROWS = 2_000_000
 NO_ID = (1 << 63) - 1
 _rng = np.random.default_rng(31)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -402,7 +404,8 @@ def drop_repeats(
        shards of them are ordered, and their Burrows-Wheeler transforms are merged by interleave refinement; intervals of the merged order that share 100 bytes are the repeated windows.
     4. An anchor with more than ``crowded`` different snippets has its windows compared by 128-bit hash over all tasks instead. Such anchors are known beforehand from a part of
        the texts, and their snippets are dealt by content, so neither a bucket nor a merge holds all contexts of a common phrase.
-    5. Covered bytes are cut out of the texts concerned; others are not shuffled where the list of those is small enough to send.
+    5. Covered bytes are cut out of the texts concerned; others are not shuffled where the list of those is small enough to send (``KEY_ROWS``). Texts are shuffled twice at most: to
+       fetch snippets and to be cut.
 
     Null and short texts keep what they have, with 0 removed. A null doc_id comes after all others; rows that repeat doc_id and text are one document; rows that repeat a doc_id alone are ordered by a
     hash of their texts. An empty table gives no rows. Columns of ``docs`` named like a new one are replaced.
@@ -410,9 +413,13 @@ def drop_repeats(
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))
     rows = docs.withColumns({"_text": body, "_name": F.md5(body), "_own": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))})
-    copies = rows.groupBy("_name").agg(F.min("_own").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    rows = rows.join(broadcast_if_small(cut_lineage(copies)), "_name", "left")
-    rows = rows.withColumn("_t", F.crc32(F.col("_name").cast("binary"))).withColumn("_copy", F.coalesce(F.col("_own") != F.col("_first"), F.lit(False)))
+    copies = rows.groupBy("_name").agg(F.min("_own").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    # Known by one number, so that many of them can be sent, and checked by a second one. Where names share a number all go on as different texts, which costs time only.
+    copies = copies.groupBy(F.xxhash64("_name").alias("_code")).agg(F.min("_first").alias("_first"), F.min(F.xxhash64(F.lit(1), "_name")).alias("_check"), F.count(F.lit(1)).alias("_n"))
+    copies = cut_lineage(copies.filter("_n = 1").drop("_n"))
+    rows = rows.withColumn("_code", F.xxhash64("_name")).join(broadcast_if_small(copies, KEY_ROWS), "_code", "left")
+    same_text = F.col("_check") == F.xxhash64(F.lit(1), "_name")
+    rows = rows.withColumn("_t", F.crc32(F.col("_name").cast("binary"))).withColumn("_copy", F.coalesce(same_text & (F.col("_own") != F.col("_first")), F.lit(False)))
     size = F.octet_length("_text")
     long_ = rows.filter(~F.col("_copy") & (size >= LENGTH))
     texts = long_.select(F.col("_own").alias("a"), F.col("_t").alias("t"), F.col("_text").alias("text"))
@@ -427,7 +434,9 @@ def drop_repeats(
     wanted = compared.filter("kind > 0").groupBy("a", "t").agg(F.collect_list(F.struct("kind", "h", "lo", "hi")).alias("all"))
     wanted = cut_lineage(wanted)
     of = lambda kind: F.filter("all", lambda x: x["kind"] == kind).alias("wanted")
-    bodies = texts.join(broadcast_if_small(wanted.select("a", "t")), ["a", "t"], "left_semi").join(wanted, ["a", "t"])
+    asked = wanted.select("a").distinct()
+    found = texts.join(F.broadcast(asked), "a", "left_semi") if small(asked, KEY_ROWS) else texts
+    bodies = found.join(wanted.hint("shuffle_hash"), ["a", "t"])
     plain = bodies.select("a", "t", "text", of(1)).filter(F.size("wanted") > 0).mapInArrow(_cut_snippets, "h long, a long, t long, lo long, body binary")
     need = compared.filter("kind = 1").agg(F.sum(F.col("hi") - F.col("lo") + LENGTH)).first()[0] or 0
     plain = plain.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(max(1, -(-need // merge_bytes)))).cast("int"))
@@ -441,18 +450,25 @@ def drop_repeats(
         runs = runs.union(windows.join(firsts, "k").filter(F.struct("a", "t", "lo") != F.col("first")).select("a", "t", "lo", F.col("lo").alias("hi")))
     runs = cut_lineage(runs.groupBy(F.col("a").alias("_own"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs")))
 
-    hit = broadcast_if_small(runs.select("_own", "_t"))
+    # Texts move once at most, and those of documents without runs not at all where the ids can be sent.
+    hit = runs.select("_own").distinct()
     names = docs.columns + ["_text"]
-    plain_rows = rows.join(hit, ["_own", "_t"], "left_anti")
     whole = F.col("_copy") & (size >= LENGTH)
     empty = F.lit(b"").cast("binary")
-    untouched = plain_rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns], size.cast("long").alias("n_bytes"), F.when(whole, size.cast("long")).otherwise(0).alias("n_removed"),
-        F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"), F.when(whole, empty).otherwise(F.col("_text")).alias("kept"),
-    )
-    # Copies of a text that has repeats lie under their own id, so none of them is in ``hit`` unless they are the first.
-    touched = rows.join(hit, ["_own", "_t"], "left_semi").join(runs, ["_own", "_t"]).select(*names, "_runs")
+    out = [*[F.col(f"`{c}`") for c in docs.columns], size.cast("long").alias("n_bytes")]
+    near, far = rows, None
+    if small(hit, KEY_ROWS):
+        near, far = rows.join(F.broadcast(hit), "_own", "left_semi"), rows.join(F.broadcast(hit), "_own", "left_anti")
+    # A copy lies under its own id and has no runs but its whole text.
+    all_of_it = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("lo"), (size - LENGTH).cast("long").alias("hi"))))
+    none = F.array().cast("array<struct<lo:long,hi:long>>")
+    touched = near.join(runs.hint("shuffle_hash"), ["_own", "_t"], "left").select(*names, F.coalesce("_runs", all_of_it, none).alias("_runs"))
     schema = touched.select(*names).schema.add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    touched = touched.mapInArrow(lambda frames: _cut(frames, LENGTH, names), schema)
-    touched = touched.select(*[F.col(f"`{c}`") for c in docs.columns], size.cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept")
+    touched = touched.mapInArrow(lambda frames: _cut(frames, LENGTH, names), schema).select(*out, "n_removed", "n_spans", "kept")
+    if far is None:
+        return touched
+    untouched = far.select(
+        *out, F.when(whole, size.cast("long")).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"),
+        F.when(whole, empty).otherwise(F.col("_text")).alias("kept"),
+    )
     return untouched.unionByName(touched)
