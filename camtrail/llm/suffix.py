@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from camtrail.scale import broadcast_if_small, cut_lineage, small
+from camtrail.scale import broadcast_if_small, cut_lineage, free_shuffles, small
 
 LENGTH = 100
 # Bytes of an anchor. A window of LENGTH bytes is filed under the anchor with the smallest hash of the LENGTH - ANCHOR + 1 inside it.
@@ -429,6 +429,8 @@ def drop_repeats(
     filed = texts.mapInArrow(_file_anchors(max(1, -(-total // bucket_bytes)), apart), "bucket int, a long, t long, lo long, hi long, blob binary")
     compared = filed.groupBy("bucket").applyInPandas(_compare_anchors(crowded, apart), "kind int, h long, a long, t long, lo long, hi long")
     compared = cut_lineage(compared)
+    del filed
+    free_shuffles(docs.sparkSession)  # snippets and texts need not lie on disk together
     same = compared.filter("kind = 0").select("a", "t", "lo", "hi")
 
     wanted = compared.filter("kind > 0").groupBy("a", "t").agg(F.collect_list(F.struct("kind", "h", "lo", "hi")).alias("all"))
@@ -449,6 +451,8 @@ def drop_repeats(
         firsts = windows.groupBy("k").agg(F.min(F.struct("a", "t", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         runs = runs.union(windows.join(firsts, "k").filter(F.struct("a", "t", "lo") != F.col("first")).select("a", "t", "lo", F.col("lo").alias("hi")))
     runs = cut_lineage(runs.groupBy(F.col("a").alias("_own"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("lo", "hi")).alias("_runs")))
+    del merged, plain, bodies, found
+    free_shuffles(docs.sparkSession)
 
     # Texts move once at most, and those of documents without runs not at all where the ids can be sent.
     hit = runs.select("_own").distinct()
